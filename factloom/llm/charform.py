@@ -81,7 +81,7 @@ def _vectorised(keep_lines: bool):
     @F.pandas_udf("string")
     def form(values: pd.Series) -> pd.Series:
         known = {v: visual_form(v, keep_lines) for v in values.dropna().unique()}
-        return values.map(known)
+        return pd.Series([known.get(v) for v in values], dtype=object)
 
     return form
 
