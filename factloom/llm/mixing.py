@@ -85,9 +85,9 @@ def land(probs: np.ndarray, sizes: np.ndarray, rand: np.ndarray) -> np.ndarray:
 
 def _round(rows: DataFrame, last: bool) -> DataFrame:
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        # large documents first, so that those left for the landing are small
-        pdf = pdf.sort_values(["n_tokens", "u", "doc_key"], ascending=[False, True, True], kind="stable")
-        sizes, rand = pdf["n_tokens"].to_numpy(), pdf["u"].to_numpy()
+        pdf = pdf.sort_values(["u", "doc_key"], kind="stable")
+        sizes = pdf["n_tokens"].to_numpy()
+        rand = np.modf(pdf["u"].to_numpy() * 1_048_573.0)[0]  # the order uses the high bits, the draws the low ones
         p = fly(pdf["p"].to_numpy(dtype=float), sizes, rand)
         if last:
             p = land(p, sizes, rand)
