@@ -119,15 +119,31 @@ def _worth(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
-def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str = "prose", seed: int = 3, min_worth: float = 0.3) -> list[Rule]:
-    """The ordered rule list; rarer kinds first, ``default`` where no rule holds."""
+def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str = "prose", seeds: int = 6) -> list[Rule]:
+    """The ordered rule list; rarer kinds first, ``default`` where no rule holds.
+
+    Of lists grown from several random divisions the one with the fewest errors and rules is kept.
+    """
+    best: tuple[float, list[Rule]] | None = None
+    for seed in range(seeds):
+        rules = _induce_once(x, labels, default, seed)
+        said = np.full(len(labels), default, dtype=object)
+        for rule in reversed(rules):
+            said[rule.holds(x)] = rule.kind
+        cost = float((said != labels).sum()) + len(rules)
+        if best is None or cost < best[0]:
+            best = (cost, rules)
+    return best[1] if best else []
+
+
+def _induce_once(x: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int, min_worth: float = 0.3) -> list[Rule]:
     kinds, n = np.unique(labels, return_counts=True)
     rules: list[Rule] = []
     left = np.ones(len(labels), dtype=bool)
     rand = np.random.default_rng(seed)
     for kind in [k for _, k in sorted(zip(n.tolist(), kinds.tolist(), strict=True)) if k != default]:
         failures = 0
-        while (left & (labels == kind)).sum() >= 3 and failures < 3:
+        while (left & (labels == kind)).sum() >= 3 and failures < 8:
             at = rand.permutation(np.flatnonzero(left))
             grow, prune = at[: len(at) * 2 // 3], at[len(at) * 2 // 3 :]
             part = lambda rows: ({f: x[f][rows] for f in FEATURES}, labels[rows] == kind)  # noqa: B023,E731
