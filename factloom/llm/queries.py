@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import boilerplate, charform, leakage, mixing, quality, splitting
+from factloom.llm import boilerplate, charform, leakage, mixing, quality, residue, splitting
 from factloom.sources.tables import table
 from factloom.storage import materialize
 
@@ -44,6 +44,21 @@ def p2_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return web.unionByName(own.select(F.lit("social_post").alias("record_kind"), F.col("social_key").alias("record_key"), charform.form_column(F.col("post_text"), True).alias("text")))
 
 
+def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    digests = _web_digests(spark, sf)
+    repeated = materialize(boilerplate.frequent_lines(digests), "frequent")
+    rows = materialize(residue.bodies(table(spark, sf, "web_posts"), "post_key", "source", "title", "content", digests, repeated), "bodies")
+    return rows, residue.score(rows, residue.fit(rows))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _residue(spark, sf)[1].where("score > 0").select(F.col("doc_key").alias("post_key"))
+
+
+def p5_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.validation(*_residue(spark, sf))
+
+
 def _limits(spark: SparkSession, sf: str) -> dict[str, tuple[int, int]]:
     """The limits by table: a fixed table of two rows."""
     return {r["table_name"]: (r["max_chars"], r["overlap_chars"]) for r in table(spark, sf, "split_limits").limit(1000).collect()}
@@ -111,7 +126,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        p1_found, p1_clean, p2_found, p2_normalized, p7_found, p7_pieces, p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p10_found, p10_statistics,
+        p1_found, p1_clean, p2_found, p2_normalized, p5_found, p5_validation, p7_found, p7_pieces, p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p10_found, p10_statistics,
     ]
     return {f.__name__: f for f in own}
 

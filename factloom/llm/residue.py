@@ -13,7 +13,6 @@ Scoring covers every post and whole texts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,10 +32,12 @@ PHRASES = (
     r"không tồn tại hoặc đã bị gỡ|bảo trì|under maintenance|maintenance|temporarily unavailable|javascript|scripts to run|turn scripts on|loading\.\.\.|"
     r"đăng nhập để|log ?in (?:first|to)|sign in to|phiên làm việc|session (?:has )?expired|cookie|not available in your region|lorem ipsum|dolor sit amet|"
     r"consectetur|did not answer in time|nginx|trình duyệt của bạn|your browser|are you a robot|captcha|subscribe to (?:read|continue)|"
-    r"nội dung đang (?:được )?cập nhật|đang cập nhật|coming soon|placeholder|sample text|văn bản mẫu"
+    r"nội dung đang (?:được )?cập nhật|đang cập nhật|coming soon|placeholder|sample text|văn bản mẫu|"
+    r"tiêu đề mẫu|nội dung mẫu|chèn nội dung|headline goes here|text goes here|replace this text|thay đoạn này|quá nhiều yêu cầu|too many requests|"
+    r"không phải (?:là )?(?:người máy|robot)|not a robot|\basdf\b|\bqwerty?\b|xx/xx/xxxx"
 )
-SLOTS = r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|<%[^%]*%>|\[\[[^\[\]]*\]\]|\{#\}|%[a-z_]+%|__[a-z_]+__|\[[a-z_ ]+\]|\bundefined\b|\bnan\b"
-DENSE = ("chars", "lines", "prose", "phrases", "slots", "slot_share", "no_title", "title_in_body")
+SLOTS = r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|<%[^%]*%>|\[\[[^\[\]]*\]\]|\{#\}|%[a-z_]+%|__[a-z_]+__|\[[\p{L}_ #]+\]|_{3,}|#ref!|#n/a|#value!|\[object object\]|\bundefined\b|\bnan\b"
+DENSE = ("chars", "lines", "prose", "phrases", "slots", "slot_share", "no_title", "title_in_body", "repeated_lines", "distinct_words")
 
 
 def bodies(posts: DataFrame, key: str, source: str, title: str, text: str, digests: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -65,6 +66,8 @@ def bodies(posts: DataFrame, key: str, source: str, title: str, text: str, diges
         (F.coalesce(F.try_divide(F.lit(100.0) * slots, F.length("body")), F.lit(0.0))).alias("slot_share"),
         F.when(F.col("title").isNull() | (F.col("title") == ""), 1.0).otherwise(0.0).alias("no_title"),
         F.coalesce(F.contains(F.col("body"), F.regexp_replace(F.substring("title", 1, 30), "[0-9]+(?:[.,][0-9]+)*", "#")).cast("double"), F.lit(0.0)).alias("title_in_body"),
+        (1 - F.coalesce(F.try_divide(F.size(F.array_distinct("left")).cast("double"), F.size("left")), F.lit(1.0))).alias("repeated_lines"),
+        F.coalesce(F.try_divide(F.size(F.array_distinct(F.split("body", "[ \n]"))).cast("double"), F.size(F.split("body", "[ \n]"))), F.lit(1.0)).alias("distinct_words"),
     )
 
 
@@ -72,8 +75,8 @@ def weak_label(rows: DataFrame) -> DataFrame:
     """``rows`` with ``weak``: 1, 0 or null."""
     short = (F.col("prose") == 0) & (F.col("chars") < np.log1p(700.0))
     signs = F.col("phrases") + F.col("slots")
-    positive = short & ((F.col("phrases") > 0) | (F.col("slots") >= 3))
-    negative = ((F.col("prose") >= 2) & (signs == 0)) | ((F.col("prose") >= 3) & (signs <= 2))
+    positive = (short & ((F.col("phrases") > 0) | (F.col("slots") >= 2))) | ((F.col("prose") == 0) & (F.col("slots") >= 3) & (F.col("slot_share") >= 0.5))
+    negative = (F.col("prose") >= 2) & (signs <= 2)
     return rows.withColumn("weak", F.when(positive, 1).when(negative, 0))
 
 
@@ -177,6 +180,3 @@ def validation(rows: DataFrame, scored: DataFrame) -> DataFrame:
         count(F.col("weak") == 1).alias("positives"), count(F.col("weak") == 0).alias("negatives"),
         count((F.col("weak") == 1) & hit).alias("positives_found"), count((F.col("weak") == 0) & hit).alias("negatives_found"),
     )
-
-
-_PHRASE_RE = re.compile(PHRASES)  # checks that the pattern is valid in both engines' common subset
