@@ -29,7 +29,7 @@ from factloom.storage import materialize
 PLAIN = (
     "\\t\\n\\r -~©«»×÷–—‘’“”•€。"
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïñòóôõöøùúûüýþÿ"
-    "ĂăĐđĨĩŨũƠơƯư\\u1EA0-\\u1EF9\\u4E00-\\u9FFF"
+    "\\u1EA0-\\u1EF9ĂăĐđĨĩŨũƠơƯư\\u4E00-\\u9FFF"
 )
 DIRTY_JAVA = f"[^{PLAIN}\\x{{1F300}}-\\x{{1FAFF}}]"
 

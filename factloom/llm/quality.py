@@ -30,26 +30,33 @@ COMMON_WORDS = (
 ).split()
 FEATURES = (
     "n_words mean_word_length symbol_ratio digit_ratio n_lines words_per_line end_punctuation_share common_word_share "
-    "distinct_word_share broken_word_share mixed_word_share bullet_share cell_ratio upper_ratio longest_word sentence_words"
+    "distinct_word_share broken_word_share mixed_word_share bullet_share cell_ratio sentence_words"
 ).split()
 
 
+def alternatives(words: list[str]) -> str:
+    """A pattern for any of ``words``, branching on the first character, so that most places fail at once."""
+    heads = sorted({w[0] for w in words})
+    tails = {h: sorted({w[1:] for w in words if w[0] == h}, key=lambda t: (-len(t), t)) for h in heads}
+    return "|".join(f"{h}(?:{'|'.join(tails[h])})" for h in heads)
+
+
 def statistics(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and the columns of ``FEATURES`` for each row; shares of nothing are 0."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = documents.select(*keep, t.alias("t"), F.split(F.lower(form_column(t)), " ").alias("w"))
-    common = " (?:" + "|".join(COMMON_WORDS) + ")(?= )"
+    common = f" (?:{alternatives(COMMON_WORDS)})(?= )"
     n_words = F.when(F.get("w", F.lit(0)) == "", 0).otherwise(F.size("w"))
     n = lambda pattern: F.regexp_count("t", F.lit(pattern))
     some = base.withColumns({
         "n_words": n_words, "n_chars": F.length("t"),
-        "n_lines": n("(?m)^.*\\S.*$"), "ends": n("(?m)[.!?…。:;][\"'”’)\\]]*\\s*$"),
-        "symbols": n("[^\\p{L}\\p{N}\\p{M}\\s]"), "digits": n("\\p{N}"), "uppers": n("\\p{Lu}"),
-        "broken": n("\\p{L}[^\\p{L}\\p{N}\\p{M}\\s'’.­-]+\\p{L}"), "mixed": n("\\p{L}\\p{N}|\\p{N}\\p{L}"),
-        "bullets": n("(?m)^\\s*(?:[-–•*+]|\\d+[.)]|https?://|#)"), "cells": n("[|\\t]| {3,}|\\d,\\d"),
+        "n_lines": n("\\S[^\\n]*"), "ends": n("(?m)[.!?…。:;][\"'”’)\\]]*\\s*$"),
+        "symbols": n("[^a-zA-Z0-9\\s\\p{L}\\p{N}\\p{M}]"), "digits": n("[0-9]"),
+        "broken": n("(?<=\\p{L})[^a-zA-Z0-9\\s'’.\\u00AD\\p{L}\\p{N}\\p{M}-](?=\\p{L})"), "mixed": n("(?<=\\p{L})[0-9]|[0-9](?=\\p{L})"),
+        "bullets": n("(?m)^\\s*(?:[-–•*+]|\\d+[.)]|https?://|#)"), "cells": n("[|\\t]| {3,}|(?<=[0-9]),(?=[0-9])"),
         "sentences": n("[.!?。](?=\\s|$)"),
         "common": F.regexp_count(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.lit(common)),
-        "kinds": F.size(F.array_distinct("w")), "longest": F.aggregate("w", F.lit(0), lambda a, x: F.greatest(a, F.length(x))),
+        "kinds": F.size(F.array_distinct("w")),
     })
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return some.select(
@@ -58,8 +65,7 @@ def statistics(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
         share("symbols", "n_chars").alias("symbol_ratio"), share("digits", "n_chars").alias("digit_ratio"), F.col("n_lines").cast("double").alias("n_lines"),
         share("n_words", "n_lines").alias("words_per_line"), share("ends", "n_lines").alias("end_punctuation_share"), share("common", "n_words").alias("common_word_share"),
         share("kinds", "n_words").alias("distinct_word_share"), share("broken", "n_words").alias("broken_word_share"), share("mixed", "n_words").alias("mixed_word_share"),
-        share("bullets", "n_lines").alias("bullet_share"), share("cells", "n_words").alias("cell_ratio"), share("uppers", "n_chars").alias("upper_ratio"),
-        F.col("longest").cast("double").alias("longest_word"), share("n_words", "sentences").alias("sentence_words"),
+        share("bullets", "n_lines").alias("bullet_share"), share("cells", "n_words").alias("cell_ratio"), share("n_words", "sentences").alias("sentence_words"),
     )
 
 
