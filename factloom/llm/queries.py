@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import boilerplate, charform, leakage, mixing, quality, residue, splitting
+from factloom.llm import boilerplate, charform, leakage, mixing, overlap, quality, residue, splitting
 from factloom.sources.tables import table
 from factloom.storage import materialize
 
@@ -59,6 +59,19 @@ def p5_validation(spark: SparkSession, sf: str) -> DataFrame:
     return residue.validation(*_residue(spark, sf))
 
 
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlaps(table(spark, sf, "labeled_claims"), "sample_id", "split_name", ["text", "evidence"])
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    both = [F.col("eval_key"), F.col("train_key")]
+    return _overlaps(spark, sf).where("eval_key <> train_key").select("field_name", F.least(*both).alias("key_a"), F.greatest(*both).alias("key_b")).distinct()
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.report(_overlaps(spark, sf), table(spark, sf, "labeled_claims"), "sample_id", "split_name", "source")
+
+
 def _limits(spark: SparkSession, sf: str) -> dict[str, tuple[int, int]]:
     """The limits by table: a fixed table of two rows."""
     return {r["table_name"]: (r["max_chars"], r["overlap_chars"]) for r in table(spark, sf, "split_limits").limit(1000).collect()}
@@ -126,7 +139,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        p1_found, p1_clean, p2_found, p2_normalized, p5_found, p5_validation, p7_found, p7_pieces, p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p10_found, p10_statistics,
+        p1_found, p1_clean, p2_found, p2_normalized, p5_found, p5_validation, p6_found, p6_report, p7_found, p7_pieces, p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p10_found, p10_statistics,
     ]
     return {f.__name__: f for f in own}
 
