@@ -27,9 +27,9 @@ from factloom.storage import materialize
 
 # Characters that need no change besides blank space (Java and Python classes alike).
 PLAIN = (
-    "\\t\\n\\r -~©«»×÷–—‘’“”•€。"
-    "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïñòóôõöøùúûüýþÿ"
-    "\\u1EA0-\\u1EF9ĂăĐđĨĩŨũƠơƯư\\u4E00-\\u9FFF"
+    "\\t\\n\\r -~\\u1EA0-\\u1EF9\\u0110-\\u0111\\u01A0-\\u01A1\\u01AF-\\u01B0\\u0102-\\u0103"
+    "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝÞàáâãäåæçèéêëìíîïñòóôõöøùúûüýþÿ©«»×÷"
+    "\\u4E00-\\u9FFF\\u0128-\\u0129\\u0168-\\u0169–—‘’“”•€。"
 )
 DIRTY_JAVA = f"[^{PLAIN}\\x{{1F300}}-\\x{{1FAFF}}]"
 
@@ -53,20 +53,25 @@ _KEPT = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>")
 
 
 @lru_cache(1)
-def _kept_re() -> re.Pattern[str]:
+def _kept() -> frozenset[str]:
     """The characters whose compatibility form looks different, found by rule in the Unicode data."""
-    own = [chr(c) for c in range(0xA0, 0x1F200) if unicodedata.decomposition(chr(c)).startswith(_KEPT)]
-    return re.compile(f"([{re.escape(''.join(own))}]+)")
+    return frozenset(chr(c) for c in range(0xA0, 0x1F200) if unicodedata.decomposition(chr(c)).startswith(_KEPT))
+
+
+def _decomposed(text: str) -> str:
+    """Compatibility decomposition of all but the kept characters."""
+    if _kept().isdisjoint(text):
+        return unicodedata.normalize("NFKD", text)
+    return "".join(c if c in _kept() else unicodedata.normalize("NFKD", c) for c in text)
 
 
 def visual_form(text: str, keep_lines: bool = False) -> str:
     """The visual form of one text; with ``keep_lines`` line feeds stay where they are."""
     text = _IGNORABLE.sub("", text)
     if not text.isascii():
-        parts = _kept_re().split(text) if _kept_re().search(text) else [text]
-        parts[::2] = [unicodedata.normalize("NFKD", p) for p in parts[::2]]
-        text = _ALIKE_RE.sub(lambda m: _ALIKE[m[0]], "".join(parts))
+        text = _ALIKE_RE.sub(lambda m: _ALIKE[m[0]], _decomposed(text))
         text = unicodedata.normalize("NFC", text)
+    text = text.replace("ß", "ss").replace("ẞ", "SS")
     if keep_lines:
         return _BLANKS_IN_LINE.sub(" ", text)
     return _BLANKS.sub(" ", text).strip(" ")
@@ -95,8 +100,8 @@ def form_column(text: Column, keep_lines: bool = False) -> Column:
 
 
 def folded_column(text: Column, keep_lines: bool = False) -> Column:
-    """``form_column`` in lower case with the sharp s spelt out."""
-    return F.replace(F.lower(form_column(text, keep_lines)), F.lit("ß"), F.lit("ss"))
+    """``form_column`` with case folded; the sharp s, the one letter here that folds to two, is no plain character."""
+    return F.lower(form_column(text, keep_lines))
 
 
 def with_forms(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:

@@ -45,10 +45,12 @@ def p2_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    digests = _web_digests(spark, sf)
+    posts = table(spark, sf, "web_posts")
+    digests = boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at"), keep=("title",), keep_lines=True)
+    digests = materialize(digests, "digests")
     repeated = materialize(boilerplate.frequent_lines(digests), "frequent")
-    rows = materialize(residue.bodies(table(spark, sf, "web_posts"), "post_key", "source", "title", "content", digests, repeated), "bodies")
-    return rows, residue.score(rows, residue.fit(rows))
+    rows = materialize(residue.bodies(residue.sample(digests), repeated), "sample")
+    return rows, residue.score(residue.bodies(digests, repeated), residue.fit(rows))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,8 @@ Weak labels come from response statuses and phrases: a short body made of such p
 lines of prose, is a positive; a body of prose is a negative, also if it mentions such a thing in passing.
 Everything between is left unlabelled and is for the classifier to decide.
 
-Training reads a bounded, documented sample: at most ``max_train`` rows of each label, chosen by hash.
+Weak labels are given to a bounded, documented sample of ``max_sample`` documents, of which training reads at
+most ``max_train`` rows of each label, chosen by hash.
 Hosts are divided by hash as well: a quarter of them is kept out of training and used to validate.
 Scoring covers every post and whole texts.
 """
@@ -37,46 +38,57 @@ PHRASES = (
     r"không phải (?:là )?(?:người máy|robot)|not a robot|\basdf\b|\bqwerty?\b|xx/xx/xxxx"
 )
 SLOTS = r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|<%[^%]*%>|\[\[[^\[\]]*\]\]|\{#\}|%[a-z_]+%|__[a-z_]+__|\[[\p{L}_ #]+\]|_{3,}|#ref!|#n/a|#value!|\[object object\]|\bundefined\b|\bnan\b"
-DENSE = ("chars", "lines", "prose", "phrases", "slots", "slot_share", "no_title", "title_in_body", "repeated_lines", "distinct_words")
+MARKS = r"[{$<\[_%#](?=[{%\[_a-z(])"
+DENSE = ("chars", "lines", "prose", "marks", "no_title", "title_in_body", "repeated_lines", "distinct_words")
 
 
-def bodies(posts: DataFrame, key: str, source: str, title: str, text: str, digests: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(doc_key, source, body, chars, lines, prose, phrases, slots, ...) for every post whose text is not null.
+def bodies(digests: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_key, source, left, body and the columns of DENSE).
 
-    ``prose`` counts lines of 60 characters or more without phrase or slot. A post without source keeps all its lines.
+    ``digests`` comes from ``boilerplate.digest_lines`` with the title kept and the lines; ``left`` are the
+    lines that are neither blank nor repeated. A source without repeated lines keeps all its lines.
     """
-    own = posts.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("doc_key"), F.col(source).alias("source"), F.lower(F.trim(F.col(title))).alias("title"),
-        boilerplate.line_keys(F.col(text)).alias("k"), F.xxhash64(source).alias("src"),
-    )
     by_source = materialize(boilerplate.per_source(repeated), "repeated")
     if boilerplate.count_at_most(by_source, boilerplate.BROADCAST_SOURCES) <= boilerplate.BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
-    own = own.join(by_source, "src", "left")
+    own = digests.select("doc_key", "source", "src", "title", "k", "lines").join(by_source, "src", "left")
     known = F.coalesce("repeated", F.array().cast("array<bigint>"))
-    left = F.filter("k", lambda x: (x != "") & ~F.array_contains(known, F.xxhash64(x)))
-    own = own.select("doc_key", "source", "title", left.alias("left")).withColumn("body", F.array_join("left", "\n"))
-    odd = f"{PHRASES}|{SLOTS}"
-    slots = F.regexp_count("body", F.lit(SLOTS))
+    left = F.filter("k", lambda x, i: (x != "") & ~F.array_contains(known, F.get("lines", i)))
+    own = own.select("doc_key", "source", F.lower(F.trim("title")).alias("title"), left.alias("left")).withColumn("body", F.array_join("left", "\n"))
+    words = F.split("body", "[ \\n]")
+    head = F.regexp_replace(F.substring("title", 1, 30), "[0-9]+(?:[.,][0-9]+)*", "#")
     return own.select(
-        "doc_key", "source", "body",
+        "doc_key", "source", "left", "body",
         F.log1p(F.length("body").cast("double")).alias("chars"), F.log1p(F.size("left").cast("double")).alias("lines"),
-        F.size(F.filter("left", lambda x: (F.length(x) >= 60) & ~x.rlike(odd))).cast("double").alias("prose"),
-        F.regexp_count("body", F.lit(PHRASES)).cast("double").alias("phrases"), slots.cast("double").alias("slots"),
-        (F.coalesce(F.try_divide(F.lit(100.0) * slots, F.length("body")), F.lit(0.0))).alias("slot_share"),
+        F.size(F.filter("left", lambda x: F.length(x) >= 60)).cast("double").alias("prose"),
+        F.coalesce(F.try_divide(F.lit(100.0) * F.regexp_count("body", F.lit(MARKS)), F.length("body")), F.lit(0.0)).alias("marks"),
         F.when(F.col("title").isNull() | (F.col("title") == ""), 1.0).otherwise(0.0).alias("no_title"),
-        F.coalesce(F.contains(F.col("body"), F.regexp_replace(F.substring("title", 1, 30), "[0-9]+(?:[.,][0-9]+)*", "#")).cast("double"), F.lit(0.0)).alias("title_in_body"),
+        F.coalesce(F.contains(F.col("body"), head).cast("double"), F.lit(0.0)).alias("title_in_body"),
         (1 - F.coalesce(F.try_divide(F.size(F.array_distinct("left")).cast("double"), F.size("left")), F.lit(1.0))).alias("repeated_lines"),
-        F.coalesce(F.try_divide(F.size(F.array_distinct(F.split("body", "[ \n]"))).cast("double"), F.size(F.split("body", "[ \n]"))), F.lit(1.0)).alias("distinct_words"),
+        F.coalesce(F.try_divide(F.size(F.array_distinct(words)).cast("double"), F.size(words)), F.lit(1.0)).alias("distinct_words"),
     )
 
 
+def sample(digests: DataFrame, max_sample: int = 8_000) -> DataFrame:
+    """At most about ``max_sample`` documents, those with the smallest hashes; all of a smaller table."""
+    n = digests.count()
+    if n <= max_sample:
+        return digests
+    return digests.where(F.shiftrightunsigned(F.xxhash64("doc_key", F.lit(5)), 1) < int(max_sample / n * (1 << 63)))
+
+
 def weak_label(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``weak``: 1, 0 or null."""
-    short = (F.col("prose") == 0) & (F.col("chars") < np.log1p(700.0))
+    """``rows`` with ``weak``: 1, 0 or null. Lines of 60 characters or more without phrase or slot are taken for prose."""
+    odd = f"{PHRASES}|{SLOTS}"
+    rows = rows.withColumns({
+        "phrases": F.regexp_count("body", F.lit(PHRASES)), "slots": F.regexp_count("body", F.lit(SLOTS)),
+        "plain": F.size(F.filter("left", lambda x: (F.length(x) >= 60) & ~x.rlike(odd))),
+    })
+    slot_share = F.coalesce(F.try_divide(F.lit(100.0) * F.col("slots"), F.length("body")), F.lit(0.0))
+    short = (F.col("plain") == 0) & (F.col("chars") < np.log1p(700.0))
     signs = F.col("phrases") + F.col("slots")
-    positive = (short & ((F.col("phrases") > 0) | (F.col("slots") >= 2))) | ((F.col("prose") == 0) & (F.col("slots") >= 3) & (F.col("slot_share") >= 0.5))
-    negative = (F.col("prose") >= 2) & (signs <= 2)
+    positive = (short & ((F.col("phrases") > 0) | (F.col("slots") >= 2))) | ((F.col("plain") == 0) & (F.col("slots") >= 3) & (slot_share >= 0.5))
+    negative = (F.col("plain") >= 2) & (signs <= 2)
     return rows.withColumn("weak", F.when(positive, 1).when(negative, 0))
 
 
@@ -90,6 +102,11 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def scaled(dense: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Dense features in standard units, cut at 3, so that a rare feature cannot outweigh the text."""
+    return np.clip((dense - mean) / scale, -3.0, 3.0)
+
+
 @dataclass
 class Model:
     """Weights of the n-gram buckets, of the dense features, and the bias."""
@@ -110,13 +127,13 @@ class Model:
         n = np.maximum(0, ends - starts - GRAM + 1)
         first = np.minimum(starts, len(total) - 1)
         sums = np.where(n > 0, total[np.minimum(first + n, len(total) - 1)] - total[first], 0.0)
-        return sums / np.sqrt(np.maximum(1, n)) + ((dense - self.mean) / self.scale) @ self.dense + self.bias
+        return sums / np.sqrt(np.maximum(1, n)) + scaled(dense, self.mean, self.scale) @ self.dense + self.bias
 
 
 def train(texts: list[str], dense: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.08, ridge: float = 1e-4, seed: int = 1) -> Model:
     """Logistic regression with a ridge penalty, by stochastic gradient steps with per-weight rates."""
     mean, scale = dense.mean(0), dense.std(0) + 1e-6
-    z = (dense - mean) / scale
+    z = scaled(dense, mean, scale)
     docs = []
     for t in texts:
         h, c = np.unique(_gram_hashes(np.frombuffer(t.encode(), dtype=np.uint8)), return_counts=True)
@@ -145,14 +162,16 @@ def held_out(source: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(source, F.lit(11)), F.lit(4)) == 0
 
 
-def fit(rows: DataFrame, max_train: int = 2_000) -> Model | None:
+def fit(weakly: DataFrame, max_train: int = 2_000) -> Model | None:
     """The model from at most ``max_train`` weak labels of each value on the training hosts; None without positives."""
-    labelled = weak_label(rows).where(F.col("weak").isNotNull() & ~F.coalesce(held_out(F.col("source")), F.lit(False)))
-    picked = [labelled.where(F.col("weak") == k).orderBy(F.xxhash64("doc_key")).limit(max_train) for k in (1, 0)]
-    sample = picked[0].unionByName(picked[1]).select("doc_key", "body", *DENSE, "weak").toPandas().sort_values("doc_key", kind="stable")
-    if sample.empty or sample["weak"].nunique() < 2:
+    labelled = weak_label(weakly).where(F.col("weak").isNotNull() & ~F.coalesce(held_out(F.col("source")), F.lit(False)))
+    few = lambda k, *order, n=max_train: labelled.where(F.col("weak") == k).orderBy(*order, F.xxhash64("doc_key")).limit(n)
+    # half of the negatives are the shortest articles: the hard ones
+    picked = few(1).unionByName(few(0, n=max_train // 2)).unionByName(few(0, "chars", n=max_train // 2))
+    rows = picked.select("doc_key", "body", *DENSE, "weak").toPandas().drop_duplicates("doc_key").sort_values("doc_key", kind="stable")
+    if rows.empty or rows["weak"].nunique() < 2:
         return None
-    return train(sample["body"].tolist(), sample[list(DENSE)].to_numpy(dtype=float), sample["weak"].to_numpy(dtype=int))
+    return train(rows["body"].tolist(), rows[list(DENSE)].to_numpy(dtype=float), rows["weak"].to_numpy(dtype=int))
 
 
 def score(rows: DataFrame, model: Model | None) -> DataFrame:
@@ -163,9 +182,11 @@ def score(rows: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dense = np.column_stack([b.column(f).to_numpy() for f in DENSE]) if len(b) else np.zeros((0, len(DENSE)))
-            s = shared.value.score(b.column("body"), dense)
-            yield pa.RecordBatch.from_arrays([b.column("doc_key"), b.column("source"), pa.array(s, pa.float64())], names=["doc_key", "source", "score"])
+            for lo in range(0, len(b), 512):  # n-gram arrays are eight times the text: keep them small
+                part = b.slice(lo, 512)
+                dense = np.column_stack([part.column(f).to_numpy() for f in DENSE])
+                s = shared.value.score(part.column("body"), dense)
+                yield pa.RecordBatch.from_arrays([part.column("doc_key"), part.column("source"), pa.array(s, pa.float64())], names=["doc_key", "source", "score"])
 
     return rows.select("doc_key", "source", "body", *DENSE).mapInArrow(run, "doc_key bigint, source string, score double")
 
