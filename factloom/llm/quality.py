@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.charform import form_column
+from factloom.llm.patterns import alternatives
 
 # Frequent function words of Vietnamese and English prose.
 COMMON_WORDS = (
@@ -34,13 +35,6 @@ FEATURES = (
 ).split()
 
 
-def alternatives(words: list[str]) -> str:
-    """A pattern for any of ``words``, branching on the first character, so that most places fail at once."""
-    heads = sorted({w[0] for w in words})
-    tails = {h: sorted({w[1:] for w in words if w[0] == h}, key=lambda t: (-len(t), t)) for h in heads}
-    return "|".join(f"{h}(?:{'|'.join(tails[h])})" for h in heads)
-
-
 def statistics(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and the columns of ``FEATURES`` for each row; shares of nothing are 0."""
     t = F.coalesce(F.col(text), F.lit(""))

@@ -23,20 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import boilerplate
+from factloom.llm.patterns import alternatives
 from factloom.storage import materialize
 
 BITS, GRAM = 18, 6
-# Statuses and phrases of pages without content; figures appear as #.
+# Statuses and phrases of pages without content, in small letters; figures appear as #.
 PHRASES = (
-    r"### (?:not found|bad gateway|service unavailable|forbidden|internal server error|gateway time-?out)|access denied|request was blocked|"
-    r"fatal error|stack trace|uncaught exception|error code|mã sự cố|mã lỗi|reference:|không tìm thấy trang|page (?:was )?not found|"
-    r"không tồn tại hoặc đã bị gỡ|bảo trì|under maintenance|maintenance|temporarily unavailable|javascript|scripts to run|turn scripts on|loading\.\.\.|"
-    r"đăng nhập để|log ?in (?:first|to)|sign in to|phiên làm việc|session (?:has )?expired|cookie|not available in your region|lorem ipsum|dolor sit amet|"
-    r"consectetur|did not answer in time|nginx|trình duyệt của bạn|your browser|are you a robot|captcha|subscribe to (?:read|continue)|"
-    r"nội dung đang (?:được )?cập nhật|đang cập nhật|coming soon|placeholder|sample text|văn bản mẫu|"
-    r"tiêu đề mẫu|nội dung mẫu|chèn nội dung|headline goes here|text goes here|replace this text|thay đoạn này|quá nhiều yêu cầu|too many requests|"
-    r"không phải (?:là )?(?:người máy|robot)|not a robot|\basdf\b|\bqwerty?\b|xx/xx/xxxx"
-)
+    "# not found", "# bad gateway", "# service unavailable", "# forbidden", "# internal server error", "# gateway timeout", "# gateway time-out",
+    "access denied", "request was blocked", "fatal error", "stack trace", "uncaught exception", "error code", "mã sự cố", "mã lỗi", "reference:",
+    "không tìm thấy trang", "page not found", "page was not found", "không tồn tại hoặc đã bị gỡ", "bảo trì", "maintenance", "temporarily unavailable",
+    "javascript", "scripts to run", "turn scripts on", "loading...", "đăng nhập để", "log in first", "log in to", "login to", "sign in to",
+    "phiên làm việc", "session expired", "session has expired", "cookie", "not available in your region", "lorem ipsum", "dolor", "consectetur",
+    "did not answer in time", "nginx", "trình duyệt của bạn", "your browser", "are you a robot", "not a robot", "captcha", "subscribe to read",
+    "subscribe to continue", "đang cập nhật", "đang được cập nhật", "coming soon", "placeholder", "sample text", "văn bản mẫu", "tiêu đề mẫu",
+    "nội dung mẫu", "chèn nội dung", "headline goes here", "text goes here", "replace this text", "thay đoạn này", "quá nhiều yêu cầu",
+    "too many requests", "không phải người máy", "không phải robot", "không phải là robot", "asdf", "qwerty", "xx/xx/xxxx",
+)
 SLOTS = r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|<%[^%]*%>|\[\[[^\[\]]*\]\]|\{#\}|%[a-z_]+%|__[a-z_]+__|\[[\p{L}_ #]+\]|_{3,}|#ref!|#n/a|#value!|\[object object\]|\bundefined\b|\bnan\b"
 MARKS = r"[{$<\[_%#](?=[{%\[_a-z(])"
 DENSE = ("chars", "lines", "prose", "marks", "no_title", "title_in_body", "repeated_lines", "distinct_words")
@@ -79,14 +81,13 @@ def sample(digests: DataFrame, max_sample: int = 8_000) -> DataFrame:
 
 def weak_label(rows: DataFrame) -> DataFrame:
     """``rows`` with ``weak``: 1, 0 or null. Lines of 60 characters or more without phrase or slot are taken for prose."""
-    odd = f"{PHRASES}|{SLOTS}"
-    rows = rows.withColumns({
-        "phrases": F.regexp_count("body", F.lit(PHRASES)), "slots": F.regexp_count("body", F.lit(SLOTS)),
-        "plain": F.size(F.filter("left", lambda x: (F.length(x) >= 60) & ~x.rlike(odd))),
-    })
+    phrase = alternatives(PHRASES)
+    sort = F.transform("left", lambda x: F.when(x.rlike(phrase) | x.rlike(SLOTS), 0).when(F.length(x) >= 60, 1).otherwise(2))
+    rows = rows.withColumn("slots", F.regexp_count("body", F.lit(SLOTS))).withColumn("_sort", sort)
+    rows = rows.withColumn("phrases", F.size(F.filter("_sort", lambda k: k == 0))).withColumn("plain", F.size(F.filter("_sort", lambda k: k == 1))).drop("_sort")
     slot_share = F.coalesce(F.try_divide(F.lit(100.0) * F.col("slots"), F.length("body")), F.lit(0.0))
     short = (F.col("plain") == 0) & (F.col("chars") < np.log1p(700.0))
-    signs = F.col("phrases") + F.col("slots")
+    signs = F.greatest("phrases", "slots")
     positive = (short & ((F.col("phrases") > 0) | (F.col("slots") >= 2))) | ((F.col("plain") == 0) & (F.col("slots") >= 3) & (slot_share >= 0.5))
     negative = (F.col("plain") >= 2) & (signs <= 2)
     return rows.withColumn("weak", F.when(positive, 1).when(negative, 0))
@@ -163,8 +164,8 @@ def held_out(source: F.Column) -> F.Column:
 
 
 def fit(weakly: DataFrame, max_train: int = 2_000) -> Model | None:
-    """The model from at most ``max_train`` weak labels of each value on the training hosts; None without positives."""
-    labelled = weak_label(weakly).where(F.col("weak").isNotNull() & ~F.coalesce(held_out(F.col("source")), F.lit(False)))
+    """``weakly`` comes from ``weak_label``. The model from at most ``max_train`` weak labels of each value on the training hosts; None without positives."""
+    labelled = weakly.where(F.col("weak").isNotNull() & ~F.coalesce(held_out(F.col("source")), F.lit(False)))
     few = lambda k, *order, n=max_train: labelled.where(F.col("weak") == k).orderBy(*order, F.xxhash64("doc_key")).limit(n)
     # half of the negatives are the shortest articles: the hard ones
     picked = few(1).unionByName(few(0, n=max_train // 2)).unionByName(few(0, "chars", n=max_train // 2))
@@ -192,8 +193,8 @@ def score(rows: DataFrame, model: Model | None) -> DataFrame:
 
 
 def validation(rows: DataFrame, scored: DataFrame) -> DataFrame:
-    """Per group of hosts (trained on or unseen): weak labels, and how many of them the classifier confirms."""
-    both = weak_label(rows).where("weak is not null").select("doc_key", "weak").join(scored, "doc_key")
+    """``rows`` comes from ``weak_label``. Per group of hosts (trained on or unseen): weak labels, and how many of them the classifier confirms."""
+    both = rows.where("weak is not null").select("doc_key", "weak").join(scored, "doc_key")
     group = F.when(F.coalesce(held_out(F.col("source")), F.lit(False)), "unseen").otherwise("trained")
     hit = F.col("score") > 0
     count = lambda c: F.sum(c.cast("long"))
