@@ -35,7 +35,7 @@ CARRIERS = {
     "phone": ["sđt {}", "zalo {}", "gọi số {} giúp em", "ai cần thì alo {}", "ib hoặc nhắn {}", "điện thoại: {}", "call {}", "WhatsApp {}", "my number is {}", "text me on {}", "tel {}", "phone: {}", "hotline riêng {}"],
     "id_number": ["CCCD {}", "số CCCD: {}", "CMND {}", "cmnd cũ là {}", "căn cước công dân số {}", "can cuoc {}", "số định danh {}", "hộ chiếu số {}", "passport no. {}", "ID card no. {}", "national id {}", "SSN {}", "my SSN is {}", "passport {}"],
     "address": ["địa chỉ {}", "nhà em ở {}", "ship về {} nhé", "tới {} mà đòi tiền", "tới nhà {}", "I live at {}", "send it to {}", "their office is really at {}", "at {}", "giao tới {}", "my address: {}"],
-    "person": ["tên mình là {}", "ký tên: {}", "người đứng tên {}", "anh {} nhận tiền", "chị {} tư vấn cho tôi", "gặp ông {} ở quầy", "bạn {} làm chứng", "bà {} hứa trả", "ask for {}", "Mrs {} took my deposit", "Mr {} told me", "I was scammed by {}", "regards, {}", "he calls himself {}", "my name is {}", "signed {}", "agent {} called me", "cô {} gọi cho tôi", "thầy {}"],
+    "person": ["tên mình là {}", "ký tên: {}", "người đứng tên {}", "anh {} nhận tiền", "chị {} tư vấn cho tôi", "gặp ông {} ở quầy", "bạn {} làm chứng", "bà {} hứa trả", "ask for {}", "Mrs {} took my deposit", "Mr {} told me", "I was scammed by {}", "regards, {}", "he calls himself {}", "my name is {}", "signed {}", "agent {} called me", "cô {} gọi cho tôi", "thầy {}", "chủ tài khoản {}", "the agent calls himself {}", "account holder {}", "người nhận {}"],
 }
 
 
@@ -119,7 +119,7 @@ def make(kind: str, r: random.Random) -> str:
 SUSPECT = re.compile(
     r"@\S+\.\w|\[at\]|\(at\)| @ |(?i:sđt|zalo|alo |nhắn |whatsapp|my number|text me|điện thoại|call |cccd|cmnd|căn cước|can cuoc|định danh|hộ chiếu|passport|ssn|national id|id card|"
     r"địa chỉ|ship về|đòi tiền|nhà em|i live|send it|really at|gửi bằng chứng|hộp thư|email|mail mình|write to|contact me|tên mình|ký tên|đứng tên|nhận tiền|tư vấn|gặp ông|làm chứng|"
-    r"ask for|mrs|\bmr\b|scammed|regards|himself|herself|my name|liên hệ)|gọi số|goi so|dia chi|ship ve|doi tien|ten minh|ky ten|nhan tien|tu van|gap ong|lam chung|dinh danh|ho chieu"
+    r"ask for|mrs|\bmr\b|scammed|regards|himself|herself|my name|liên hệ|chủ tài khoản|chu tai khoan|account holder)|gọi số|goi so|dia chi|ship ve|doi tien|ten minh|ky ten|nhan tien|tu van|gap ong|lam chung|dinh danh|ho chieu"
 )
 
 
@@ -131,6 +131,8 @@ def example(background: str, r: random.Random) -> tuple[str, list[tuple[int, int
         item, carrier = make(kind, r), r.choice(CARRIERS[kind])
         if r.random() < 0.12 and kind in ("address", "person"):
             carrier, item = (_plain(carrier), item)
+        if kind == "person" and r.random() < 0.08:
+            item = _plain(item).upper()
         before, after = carrier.split("{}")
         phrase, at = before + item + after, len(before)
         left, right = r.choice([("(", ")"), ("- ", " -"), ("", ","), ("", ""), ("", "."), ("\n", "\n"), ("", " ")])
@@ -161,8 +163,9 @@ def dataset(texts: list[str], n: int, seed: int) -> tuple[np.ndarray, np.ndarray
     """(codes, labels, mask) of windows, each (steps, windows)."""
     r = random.Random(seed)
     codes, labels, masks = [], [], []
+    short = [t for t in texts if len(t) <= 60] or texts
     while len(codes) < n:
-        text, spans = r.choice(texts), []
+        text, spans = r.choice(short if r.random() < 0.25 else texts), []
         if r.random() < 0.7:
             text, spans = example(text, r)
         c, y = pii.encode(text), bio(text, spans)

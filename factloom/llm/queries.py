@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import boilerplate, charform, leakage, mixing, overlap, quality, residue, splitting
+from factloom.llm import boilerplate, charform, leakage, mixing, overlap, pii, quality, residue, splitting
 from factloom.sources.tables import table
 from factloom.storage import materialize
 
@@ -44,12 +44,23 @@ def p2_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return web.unionByName(own.select(F.lit("social_post").alias("record_kind"), F.col("social_key").alias("record_key"), charform.form_column(F.col("post_text"), True).alias("text")))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    posts = pii.with_kinds(table(spark, sf, "social_posts"), "social_key", "post_text", "social_post")
+    return posts.unionByName(pii.with_kinds(table(spark, sf, "flat_comments"), "comment_key", "comment_text", "comment"))
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    posts = table(spark, sf, "social_posts").select(F.lit("social_post").alias("record_kind"), F.col("social_key").alias("record_key"), F.col("post_text").alias("text"))
+    comments = table(spark, sf, "flat_comments").select(F.lit("comment").alias("record_kind"), F.col("comment_key").alias("record_key"), F.col("comment_text").alias("text"))
+    return pii.redacted(posts.unionByName(comments), "text")
+
+
 def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     posts = table(spark, sf, "web_posts")
     digests = boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at"), keep=("title",), keep_lines=True)
     digests = materialize(digests, "digests")
     repeated = materialize(boilerplate.frequent_lines(digests), "frequent")
-    rows = materialize(residue.bodies(residue.sample(digests), repeated), "sample")
+    rows = materialize(residue.weak_label(residue.bodies(residue.sample(digests), repeated)), "sample")
     return rows, residue.score(residue.bodies(digests, repeated), residue.fit(rows))
 
 
@@ -141,7 +152,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        p1_found, p1_clean, p2_found, p2_normalized, p5_found, p5_validation, p6_found, p6_report, p7_found, p7_pieces, p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p10_found, p10_statistics,
+        p1_found, p1_clean, p2_found, p2_normalized, p3_found, p3_redacted, p5_found, p5_validation, p6_found, p6_report, p7_found, p7_pieces, p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p10_found, p10_statistics,
     ]
     return {f.__name__: f for f in own}
 
