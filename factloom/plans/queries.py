@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import timelines
+from factloom.plans import text_queries  # noqa: F401
+from factloom.plans.registry import QUERIES, SQL, query
 from factloom.sources.tables import table
 
 # record_kind, table, key, raw value, arrival
@@ -26,13 +28,14 @@ def _timed(spark: SparkSession, sf: str) -> DataFrame:
     return timelines.with_readings(out, F.col("raw"), table(spark, sf, "feed_sources"))
 
 
+@query()
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return timelines.choose_instants(_timed(spark, sf)).select("record_kind", "record_key", timelines.utc_text(F.col("instant")).alias("utc_time"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found,)}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
