@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def lenient(text: Column, as_of: Column) -> Column:
     """ISO forms and Unix seconds as a timestamp in UTC; ``as_of`` for null, blank and anything else."""
     t = F.regexp_replace(F.trim(text), "Z", "+00:00")
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?([+-]\d{2}:?\d{2})?)?$"), F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?([+-]\d{2}:?\d{2})?)?$"), F.regexp_replace(F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"^(.{11}\d{2}:\d{2})([+-]|$)", "$1:00$2").try_cast("timestamp"))
     compact = F.when(t.rlike(r"^\d{8}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd")))
     seconds = F.when(t.rlike(r"^[+-]?\d+(\.\d*)?$") & ~t.rlike(r"^\d{8}$"), t.try_cast("double"))
     return F.coalesce(iso, compact, F.timestamp_seconds(F.when(F.abs(seconds) < 2.5e11, seconds)), as_of)

@@ -109,9 +109,9 @@ def t22_bot_wall(spark: SparkSession, sf: str) -> DataFrame:
 u AS (SELECT post_key, try_cast(i.y || '-' || lpad(i.m, 2, '0') || '-' || lpad(i.d, 2, '0') AS date) AS x,
  CASE WHEN try_cast(f.a AS int) > 12 THEN try_cast(f.y || '-' || lpad(f.b, 2, '0') || '-' || lpad(f.a, 2, '0') AS date) ELSE try_cast(f.y || '-' || lpad(f.a, 2, '0') || '-' || lpad(f.b, 2, '0') AS date) END AS y,
  try_cast(w.y || '-' || lpad(w.m, 2, '0') || '-01' AS date) AS z FROM t)
-SELECT post_key, coalesce(x, y, z) AS day FROM u""")
+SELECT post_key, CAST(coalesce(x, y, z) AS varchar) AS day FROM u""")
 def t26_element_date(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "web_posts").select("post_key", clock.element_date(F.col("date_raw")).alias("day"))
+    return table(spark, sf, "web_posts").select("post_key", clock.element_date(F.col("date_raw")).cast("string").alias("day"))
 
 
 @query()
@@ -287,10 +287,10 @@ def w5_first_by_url(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""WITH t AS (SELECT doc_id, text, published_at AS ts, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{_WS}]', '', 'g'), '[{_WS}]+', ' ', 'g')) AS k FROM documents)
-SELECT min(doc_id) AS first_row, md5(arg_min(text, doc_id)) AS text_md5, epoch_us(arg_min(ts, doc_id) FILTER (ts IS NOT NULL)) AS ts_us FROM t GROUP BY k""")
+SELECT min(doc_id) AS first_row, md5(arg_min(text, doc_id)) AS text_md5, CAST(epoch_us(arg_min(ts, doc_id) FILTER (ts IS NOT NULL)) AS varchar) AS ts_us FROM t GROUP BY k""")
 def w6_dedup_backfill(spark: SparkSession, sf: str) -> DataFrame:
     out = kb.backfilled(table(spark, sf, "documents"), text.normalize(F.col("text")), "text", "published_at", "doc_id")
-    return out.select("first_row", F.md5("text").alias("text_md5"), F.unix_micros("ts").alias("ts_us"))
+    return out.select("first_row", F.md5("text").alias("text_md5"), F.unix_micros("ts").cast("string").alias("ts_us"))
 
 
 @query("SELECT min(comment_key) AS comment_key FROM flat_comments WHERE comment_text IS NOT NULL GROUP BY md5(comment_text)")
