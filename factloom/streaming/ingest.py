@@ -41,8 +41,9 @@ def upsert_stream(posts: DataFrame, target: str, checkpoint: str, key: str, sequ
 
 
 def _latest(rows: DataFrame, key: str, sequence: str) -> DataFrame:
+    # a missing sequence counts as the earliest; of equal ones a hash decides, so that reruns agree
     others = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.coalesce(F.col(sequence).cast("string"), F.lit("")), F.xxhash64(*others))).alias("r"))
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.col(sequence), F.xxhash64(*others))).alias("r"))
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in others]).select(*rows.columns)
 
 
