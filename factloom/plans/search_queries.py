@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import labels, text
-from factloom.operators import metrics, models, posts, retrieval
+from factloom.operators import metrics, models, posts, retrieval, search
 from factloom.plans.registry import query
 from factloom.sources.tables import table
 
@@ -35,11 +35,12 @@ s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM s)"
 
 
-def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+def _bm25(spark: SparkSession, sf: str, field: str = "text") -> DataFrame:
+    docs, claims = table(spark, sf, "documents").select("doc_id", F.col(field).alias("text")), _claims(spark, sf)
     tokens = text.word_tokens(F.col("text"))
     n, mean = docs.agg(F.count("*"), F.avg(F.size(tokens))).first()
-    return retrieval.bm25(retrieval.postings(docs, "doc_id", tokens), n, mean or 0.0, _claims(spark, sf), "sample_id", tokens)
+    post = retrieval.asked_postings(docs, "doc_id", tokens, retrieval.query_terms(claims, "sample_id", tokens))
+    return retrieval.bm25(post, n, mean or 0.0, claims, "sample_id", tokens)
 
 
 @query(f"WITH {_BM25}, {_RANKED} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank < 20")
@@ -48,20 +49,10 @@ def r2_bm25_top(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
-_FIELDS = {"title": 3.0, "text": 1.0}
-
-
 @query()
 def r4_bm25_fields(spark: SparkSession, sf: str) -> DataFrame:
-    docs, out = table(spark, sf, "documents"), None
-    for field, boost in _FIELDS.items():
-        tokens = text.word_tokens(F.col("text"))
-        own = docs.select("doc_id", F.col(field).alias("text"))
-        n, mean = own.agg(F.count("*"), F.avg(F.size(tokens))).first()
-        s = retrieval.bm25(retrieval.postings(own, "doc_id", tokens), n, mean or 0.0, _claims(spark, sf), "sample_id", tokens).withColumn("score", F.col("score") * boost)
-        out = s if out is None else out.unionByName(s)
-    best = out.groupBy("query_id", "doc_id").agg(F.max("score").alias("best_field"), F.sum("score").alias("most_fields"))
-    return retrieval.top(best.withColumn("score", F.col("best_field") + 1.5 * F.col("most_fields")), 20)
+    found = search.fielded(table(spark, sf, "documents"), "doc_id", {"title": 3.0, "text": 1.0}, _claims(spark, sf), "sample_id", "text")
+    return retrieval.top(found.withColumn("score", F.round("score", 9)), 20)
 
 
 _DOT = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"

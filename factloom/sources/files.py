@@ -52,3 +52,20 @@ def save_index(tables: dict[str, DataFrame], path: str) -> None:
 def load_index(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
     """Read index tables back."""
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def claim_evidence_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(claims, report) of a CSV with claim and evidence.
+
+    Claims that are blank or "nan", null evidence and empty evidence lists are left out and counted in the report.
+    """
+    from factloom.operators.evidence import evidence_list, literal_list
+
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    items = F.filter(F.coalesce(literal_list(F.col("evidence")), evidence_list(F.col("evidence"))), lambda x: F.length(F.trim(x)) >= 10)
+    rows = raw.select(F.trim("claim").alias("claim"), items.alias("evidences"))
+    good = (F.coalesce(F.col("claim"), F.lit("")) != "") & (F.lower("claim") != "nan") & (F.coalesce(F.size("evidences"), F.lit(0)) > 0)
+    rows = rows.withColumn("ok", F.coalesce(good, F.lit(False)))
+    n = F.when(F.col("ok"), F.size("evidences"))
+    report = rows.agg(F.count("*").alias("total"), F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("skipped"), F.avg(n).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"))
+    return rows.where("ok").select("claim", "evidences"), report
