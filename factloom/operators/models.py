@@ -153,13 +153,14 @@ def lexical_scorer(prompts: list[str]) -> np.ndarray:
     return np.array(out).reshape(len(prompts), 3)
 
 
-def triplets(claims: DataFrame, key: str, claim: str, evidence: str, negatives: int = 3, buckets: int = 64) -> DataFrame:
+def triplets(claims: DataFrame, key: str, claim: str, evidence: str, negatives: int = 3, bucket_rows: int = 1_000) -> DataFrame:
     """(key, anchor, positive, negatives): evidence of other claims drawn by hash within buckets; fewer than wanted are repeated.
 
-    Claims meet only those of their hash bucket next in order, so the work grows with the rows, not with their square.
+    Claims meet only those next in order in their hash bucket of about ``bucket_rows`` rows, so no task gets more, and the work
+    grows with the rows, not with their square.
     """
     rows = claims.where(F.col(evidence).isNotNull() & (F.trim(evidence) != "")).select(key, F.col(claim).alias("anchor"), F.col(evidence).alias("positive"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(max(1, rows.count() // bucket_rows))))
     w = W.partitionBy("bucket").orderBy(F.xxhash64(key, F.lit(1)), key)
     near = F.filter(F.array(*[F.lead("positive", i).over(w) for i in range(1, negatives + 1)], *[F.lag("positive", i).over(w) for i in range(1, negatives + 1)]), lambda x: x.isNotNull())
     rows = rows.withColumn("near", near)

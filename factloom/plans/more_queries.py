@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import feeds, models, search, spans
-from factloom.operators.retrieval import cosine
+from factloom.operators.retrieval import cosine, small
 from factloom.plans.registry import query
 from factloom.plans.search_queries import _COS
 from factloom.sources import synthetic
@@ -25,16 +25,18 @@ def a10_span_pooling(spark: SparkSession, sf: str) -> DataFrame:
     return spans.pooled(tokens, chunks, "sample_id", F.length("token")).select("sample_id", "chunk_no", "n_tokens", F.round("mean", 6).alias("mean"))
 
 
-@query(f"""WITH p AS (SELECT vec_id, label, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS pe, lead(embedding) OVER (ORDER BY label, vec_id) AS x, lead(label) OVER (ORDER BY label, vec_id) AS nl FROM embeddings),
-o AS (SELECT label, arg_min(embedding, vec_id) AS oe FROM embeddings GROUP BY label), n AS (SELECT p.vec_id, p.embedding, p.pe, o.oe FROM p JOIN o ON o.label = (p.label + 1) % (SELECT count(DISTINCT label) FROM embeddings) WHERE p.pe IS NOT NULL),
+@query(f"""WITH o AS (SELECT label, arg_min(embedding, vec_id) AS e, min(vec_id) AS v FROM embeddings GROUP BY label), k AS (SELECT count(*) AS k FROM o),
+n AS (SELECT m.vec_id, m.embedding, p.e AS pe, q.e AS oe FROM embeddings m JOIN o p ON p.label = m.label AND p.v <> m.vec_id JOIN o q ON q.label = (m.label + 1) % (SELECT k FROM k)),
 s AS (SELECT a.vec_id, {_COS.replace("b.embedding", "a.pe")} AS pos, {_COS.replace("b.embedding", "a.oe")} AS neg FROM n a)
 SELECT count(*) AS n, round(avg(pos), 5) AS positive, round(avg(neg), 5) AS negative, round(avg(pos - neg), 5) AS gap, round(avg(CASE WHEN round(pos, 9) > round(neg, 9) THEN 1.0 ELSE 0 END), 5) AS separated FROM s""")
 def a9_embedding_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    n_labels = v.agg(F.countDistinct("label")).first()[0] or 1
-    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("oe")).select(F.pmod(F.col("label") + n_labels - 1, F.lit(n_labels)).alias("label"), "oe")
-    own = v.withColumn("pe", F.lead("embedding").over(W.partitionBy("label").orderBy("vec_id"))).where("pe is not null").join(F.broadcast(first), "label")
-    s = own.select(cosine(F.col("embedding"), F.col("pe")).alias("pos"), cosine(F.col("embedding"), F.col("oe")).alias("neg"))
+    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"), F.min("vec_id").alias("v"))
+    n_labels = max(1, first.count())
+    own = first.select("label", F.col("e").alias("pe"), "v")
+    other = first.select(F.pmod(F.col("label") + n_labels - 1, F.lit(n_labels)).alias("label"), F.col("e").alias("oe"))
+    both = v.join(small(own), "label").where("v <> vec_id").join(small(other), "label")
+    s = both.select(cosine(F.col("embedding"), F.col("pe")).alias("pos"), cosine(F.col("embedding"), F.col("oe")).alias("neg"))
     won = F.when(F.round("pos", 9) > F.round("neg", 9), 1.0).otherwise(0.0)
     return s.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(a) for c, a in ((F.col("pos"), "positive"), (F.col("neg"), "negative"), (F.col("pos") - F.col("neg"), "gap"), (won, "separated"))])
 

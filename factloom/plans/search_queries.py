@@ -288,23 +288,24 @@ def m17_label_scores(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("sample_id", models.argmax(fused).alias("label_id"), F.round(F.array_max(fused), 6).alias("confidence"))
 
 
-def _nested(spark: SparkSession, sf: str) -> DataFrame:
-    """Canonical posts of the latest fetch with their comments and replies, each side by key."""
-    latest = table(spark, sf, "social_posts").groupBy("post_id").agg(F.max_by(F.struct("source", "post_date", "post_url", "post_text", "image_urls", "video_urls", "comment_count"), "social_key").alias("p"))
-    own = table(spark, sf, "flat_comments").where("not is_reply").groupBy("post_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("comment_key", "comment_text", "comment_reactions"))), lambda c: F.struct(c["comment_text"].alias("text"), c["comment_reactions"].alias("reaction_count"), F.array().cast("array<struct<text:string,reaction_count:string>>").alias("replies"))).alias("comments"))
-    return latest.join(own, "post_id", "left").select("post_id", "p.*", "comments")
+def _latest_posts(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ("source", "post_date", "post_url", "post_text", "image_urls", "video_urls", "comment_count")
+    return table(spark, sf, "social_posts").groupBy("post_id").agg(F.max_by(F.struct(*fields), "social_key").alias("p")).select("post_id", "p.*")
 
 
 @query("""WITH p AS (SELECT post_id, arg_max(coalesce(post_text, ''), social_key) AS x FROM social_posts GROUP BY post_id)
 SELECT p.post_id, coalesce(c.comment_text, '') AS comment_text, coalesce(c.comment_reactions, '') AS comment_reactions, false AS is_reply FROM p LEFT JOIN (SELECT * FROM flat_comments WHERE NOT is_reply) c ON c.post_id = p.post_id""")
 def j8_flat_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return posts.flat_rows(_nested(spark, sf)).select("post_id", "comment_text", "comment_reactions", "is_reply")
+    # comments already stand in rows of their own here: a join keeps a post with very many of them out of a single array
+    own = table(spark, sf, "flat_comments").where("not is_reply").select("post_id", "comment_text", "comment_reactions")
+    empty = {c: F.coalesce(c, F.lit("")) for c in ("comment_text", "comment_reactions")}
+    return _latest_posts(spark, sf).select("post_id").join(own, "post_id", "left").withColumns(empty).withColumn("is_reply", F.lit(False))
 
 
 @query()
 def snk6_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return posts.markdown(_nested(spark, sf)).select("post_id", F.length("md").alias("n_chars"))
+    nested = F.array().cast("array<struct<text:string,reaction_count:string,replies:array<struct<text:string,reaction_count:string>>>>")
+    return posts.markdown(_latest_posts(spark, sf).fillna("", ["source", "post_date", "post_url", "post_text"]).withColumn("comments", nested)).select("post_id", F.length("md").alias("n_chars"))
 
 
 @query("SELECT event_id, CAST(coalesce(json_extract_string(props, '$.x'), json_extract_string(props, '$.k'), '0') AS bigint) AS n FROM events")

@@ -171,7 +171,7 @@ def test_models(spark):
     assert row.s == pytest.approx(list(e / e.sum())) and row.a == 1 and row.g == pytest.approx([0.75, 0.75]) and row.z == [0.0, 0.0]
     v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.1]), (3, 0, [0.0, 1.0]), (4, 1, [0.0, 0.0]), (5, 1, [0.0, 0.0])], "k int, c int, v array<double>")
     assert {r.c: r.medoid for r in models.medoids(v, "k", "c", "v").collect()} == {0: 2, 1: 4}
-    t = models.triplets(spark.createDataFrame([(i, f"c{i}", f"e{i % 5}") for i in range(40)] + [(99, "x", None), (98, "x", " ")], "k int, c string, e string"), "k", "c", "e", 3, 4).collect()
+    t = models.triplets(spark.createDataFrame([(i, f"c{i}", f"e{i % 5}") for i in range(40)] + [(99, "x", None), (98, "x", " ")], "k int, c string, e string"), "k", "c", "e", 3, 10).collect()
     assert len(t) == 40 and all(len(r.negatives) == 3 and r.positive not in r.negatives for r in t)
     two = spark.createDataFrame([(i, [1.0 + i % 3 * 0.01, 0.0] if i % 2 else [0.0, 1.0 + i % 3 * 0.01]) for i in range(20)], "k int, v array<double>")
     assert models.choose_clusters(two, "v", 2, 4).select("cluster").distinct().count() == 2
