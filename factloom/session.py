@@ -27,6 +27,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per context: their Python may have no other way to import it."""
+    import atexit
+    import shutil
     import tempfile
     import zipfile
     from pathlib import Path
@@ -40,5 +42,6 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*")):
             if path.is_file() and "__pycache__" not in path.parts:
                 archive.write(path, Path("factloom") / path.relative_to(root))
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
     context.addPyFile(str(target))
     context._factloom_shipped = True
