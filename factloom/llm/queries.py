@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import boilerplate, charform, leakage, mixing, overlap, pii, quality, residue, splitting
+from factloom.operators.timelines import with_readings
 from factloom.sources.tables import table
 from factloom.storage import materialize
 
 
-def _web_digests(spark: SparkSession, sf: str) -> DataFrame:
-    posts = table(spark, sf, "web_posts")
-    return materialize(boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at")), "digests")
+def _web_digests(spark: SparkSession, sf: str, dated: bool = False) -> DataFrame:
+    """Line digests of the posts; with ``dated`` the day is the publication's, read from its text, else that of the fetch."""
+    posts, day = table(spark, sf, "web_posts").select("post_key", "source", "content", "date_raw", "fetched_at"), F.to_date("fetched_at")
+    if dated:
+        posts = with_readings(posts, F.col("date_raw"), table(spark, sf, "feed_sources"))
+        day = F.coalesce(F.to_date(F.timestamp_seconds(F.get("instants", F.lit(0)))), day)
+    return materialize(boilerplate.digest_lines(posts, "post_key", "source", "content", day), "digests")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +29,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
-    posts, digests = table(spark, sf, "web_posts"), _web_digests(spark, sf)
+    posts, digests = table(spark, sf, "web_posts"), _web_digests(spark, sf, dated=True)
     clean = boilerplate.strip_lines(posts.select("post_key", "source", "content"), "post_key", "content", digests, boilerplate.boilerplate(digests))
     return clean.select("post_key", "source", "body", "n_removed")
 
