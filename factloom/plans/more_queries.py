@@ -146,3 +146,14 @@ def f12_dimension_check(spark: SparkSession, sf: str) -> DataFrame:
 def m6_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     p = F.lit(0.2) + (F.col("sample_id") % 7) / 10.0
     return table(spark, sf, "labeled_claims").select("sample_id", F.round(models.cross_entropy(F.array(p, 1 - p), F.lit(0), [0.5, 2.0]), 6).alias("loss"))
+
+
+@query()
+def verify_claims(spark: SparkSession, sf: str) -> DataFrame:
+    from factloom.plans.search_queries import _hybrid
+    from factloom.plans.verify import predictions
+
+    claims = table(spark, sf, "labeled_claims").where("sample_id % 100 = 0").select("sample_id", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("link"))
+    out = predictions(claims, "sample_id", "text", _hybrid(spark, sf), docs, models.lexical_scorer, models.SlotNetwork(5))
+    return out.select("sample_id", "verdict", "label_id", F.round("confidence", 6).alias("confidence"), F.size("evidence").alias("n_evidence"), F.array_join("source_links", "; ").alias("links"))
