@@ -19,7 +19,7 @@ def _web_digests(spark: SparkSession, sf: str, dated: bool = False) -> DataFrame
     if dated:
         posts = with_readings(posts, F.col("date_raw"), table(spark, sf, "feed_sources"))
         day = F.coalesce(F.to_date(F.timestamp_seconds(F.get("instants", F.lit(0)))), day)
-    return materialize(boilerplate.digest_lines(posts, "post_key", "source", "content", day), "digests")
+    return materialize(boilerplate.digest_lines(posts, "post_key", "source", "content", day, clusters=dated), "digests")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +62,7 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     posts = table(spark, sf, "web_posts")
-    digests = boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at"), keep=("title",), keep_lines=True)
+    digests = boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at"), keep=("title",), keep_lines=True, clusters=False)
     digests = materialize(digests, "digests")
     repeated = materialize(boilerplate.frequent_lines(digests), "frequent")
     rows = materialize(residue.weak_label(residue.bodies(residue.sample(digests), repeated)), "sample")
