@@ -31,6 +31,7 @@ PLAIN = (
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝÞàáâãäåæçèéêëìíîïñòóôõöøùúûüýþÿ©«»×÷"
     "\\u4E00-\\u9FFF\\u0128-\\u0129\\u0168-\\u0169–—‘’“”•€。"
 )
+ASCII_BLANKS = " \\t\\r\\x0B\\x0C\\x1C-\\x1F"
 DIRTY_JAVA = f"[^{PLAIN}\\x{{1F300}}-\\x{{1FAFF}}]"
 
 # Characters the Unicode standard calls default-ignorable.
@@ -93,10 +94,11 @@ def _vectorised(keep_lines: bool):
 
 def form_column(text: Column, keep_lines: bool = False) -> Column:
     """``visual_form`` as a column; only texts with unusual characters visit Python."""
-    fixed = F.coalesce(_vectorised(keep_lines)(F.when(text.rlike(DIRTY_JAVA), text)), text)
+    dirty = (F.octet_length(text) != F.length(text)) & text.rlike(DIRTY_JAVA)  # ASCII has no other form
+    fixed = F.coalesce(_vectorised(keep_lines)(F.when(dirty, text)), text)
     if keep_lines:
-        return F.regexp_replace(fixed, "[ \\t\\r]+", " ")
-    return F.trim(F.regexp_replace(fixed, "[ \\t\\r\\n]+", " "))
+        return F.regexp_replace(fixed, f"[{ASCII_BLANKS}]+", " ")
+    return F.trim(F.regexp_replace(fixed, f"[{ASCII_BLANKS}\\n]+", " "))
 
 
 def folded_column(text: Column, keep_lines: bool = False) -> Column:

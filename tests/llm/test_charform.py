@@ -29,7 +29,7 @@ def test_form_is_stable():
 
 
 def test_column_equals_function(spark):
-    texts = [t for p in SAME + OTHER for t in p] + ["", " ", "a\n\n b\t c\r\n", "x" * 200_000, "😀 中文", None]
+    texts = [t for p in SAME + OTHER for t in p] + ["", " ", "a\n\n b\t c\r\n", "a\x0b\x1cb\x1f",  "x" * 200_000, "😀 中文", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     for r in df.select("t", C.form_column(F.col("t")).alias("f"), C.form_column(F.col("t"), True).alias("k")).collect():
         assert r.f == (None if r.t is None else C.visual_form(r.t))
