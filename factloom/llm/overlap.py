@@ -223,7 +223,8 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_statements(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def overlaps(claims: DataFrame, key: str, split: str, fields: list[str], train: str = "train", evals: tuple[str, ...] = ("dev", "test"), salts: int = 8) -> DataFrame:
+def overlaps(claims: DataFrame, key: str, split: str, fields: list[str], train: str = "train", evals: tuple[str, ...] = ("dev", "test"), salts: int = 4,
+             min_shared: float = 0.4) -> DataFrame:
     """(field_name, eval_key, train_key): every pair of an evaluation and a training record with the same field, exactly or nearly."""
     rows = None
     for field in fields:
@@ -236,8 +237,12 @@ def overlaps(claims: DataFrame, key: str, split: str, fields: list[str], train:
     e = keyed.where("side = 'e'").select("field_name", "bucket", F.col("cls").alias("ec"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     t = keyed.where("side = 't'").select("field_name", "bucket", F.col("cls").alias("tc"), F.pmod(F.xxhash64("cls"), F.lit(salts)).cast("int").alias("salt"))
     near = e.join(t, ["field_name", "bucket", "salt"]).where("ec <> tc").select("field_name", "ec", "tc").distinct()
-    texts = lambda side, name: classes.where(F.col("side") == side).select("field_name", F.col("cls").alias(name), F.col("cased").alias(f"text_{name}"))
+    words = F.array_distinct(F.flatten(F.transform("canon", lambda s: F.split(s, " "))))
+    texts = lambda side, name: classes.where(F.col("side") == side).select("field_name", F.col("cls").alias(name), F.col("cased").alias(f"text_{name}"), words.alias(f"w_{name}"))
     near = near.join(texts("e", "ec"), ["field_name", "ec"]).join(texts("t", "tc"), ["field_name", "tc"])
+    # the edits allowed leave well over 0.4 of the words in common: most chance candidates end here, in the JVM
+    shared = F.size(F.array_intersect("w_ec", "w_tc"))
+    near = near.where(shared >= min_shared * (F.size("w_ec") + F.size("w_tc") - shared))
     near = near.where(_same("text_ec", "text_tc")).select("field_name", "ec", "tc")
     equal = classes.where("side = 'e'").select("field_name", F.col("cls").alias("ec")).join(classes.where("side = 't'").select("field_name", F.col("cls").alias("ec")), ["field_name", "ec"])
     pairs = materialize(near.unionByName(equal.withColumn("tc", F.col("ec"))), "class_pairs")
