@@ -7,6 +7,7 @@ any executor, and later passes read it in columns.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder named in spark.checkpoint.dir; where that is unset in a local session (tests), a new one."""
     path = spark.conf.get(_SETTING, None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_SETTING} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set(_SETTING, path)
         _made[path] = spark
