@@ -126,10 +126,11 @@ def look_alike_pairs(forms: DataFrame, salts: int = 16) -> DataFrame:
     """
     forms = materialize(forms, "forms")
     several = forms.groupBy("record_kind", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi")
-    rows = materialize(forms.join(several.select("record_kind", "form"), ["record_kind", "form"], "left_semi"), "variants")
+    # shuffled on purpose: the variants grow with the table
+    rows = materialize(forms.join(several.select("record_kind", "form").hint("merge"), ["record_kind", "form"], "left_semi"), "variants")
     a = rows.select("record_kind", "form", F.col("record_key").alias("key_a"), F.col("raw").alias("raw_a"))
     a = a.withColumn("salt", F.pmod(F.xxhash64("key_a"), F.lit(salts)))
     b = rows.select("record_kind", "form", F.col("record_key").alias("key_b"), F.col("raw").alias("raw_b"))
     b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    pairs = a.join(b, ["record_kind", "form", "salt"]).where("key_a < key_b and raw_a <> raw_b")
+    pairs = a.join(b.hint("merge"), ["record_kind", "form", "salt"]).where("key_a < key_b and raw_a <> raw_b")
     return pairs.select("record_kind", "key_a", "key_b").distinct()
