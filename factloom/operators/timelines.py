@@ -147,7 +147,9 @@ def choose_instants(read: DataFrame, block_rows: int = 20_000) -> DataFrame:
     and source form a sequence by ``arrived`` (missing first) and key; records without source form one of their own.
     """
     seq = F.xxhash64("record_kind", "source")
-    rows = read.where(F.size("instants") > 0).select("record_kind", "record_key", seq.alias("seq"), "arrived", "orders", "instants", "day_first")
+    rows = read.select("record_kind", "record_key", seq.alias("seq"), "arrived", "orders", "instants", "day_first")
+    # written once: the range partitioning samples it first, and a filter would otherwise read every value twice
+    rows = materialize(rows, "readings").where(F.size("instants") > 0)
     cut = rows.repartitionByRange("seq", "arrived", "record_key").sortWithinPartitions("seq", "arrived", "record_key")
     cut = cut.withColumn("pid", F.spark_partition_id().cast("long")).drop("arrived")
     schema = "record_kind string, record_key bigint, seq bigint, orders array<int>, instants array<bigint>, day_first boolean, block bigint, pos bigint"
