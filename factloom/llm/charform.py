@@ -109,10 +109,12 @@ def folded_column(text: Column, keep_lines: bool = False) -> Column:
 def with_forms(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     """(record_kind, record_key, form, raw): digests of the visual form and of the text itself.
 
-    The form is a 128-bit digest, so that equal digests mean equal forms. Null and blank texts give no row.
+    The form is a 128-bit digest, so that equal digests mean equal forms. Null and empty texts give no row. A
+    blank text gets the empty form, which ``look_alike_pairs`` leaves out: a filter here would be pushed
+    below the form and compute it twice.
     """
     own = df.select(F.col(key).alias("record_key"), F.col(text).alias("t")).where("t is not null and t <> ''")
-    own = own.select("record_key", form_column(F.col("t")).alias("f"), F.xxhash64("t").alias("raw")).where("f <> ''")
+    own = own.select("record_key", form_column(F.col("t")).alias("f"), F.xxhash64("t").alias("raw"))
     return own.select(F.lit(kind).alias("record_kind"), "record_key", F.unhex(F.md5("f")).alias("form"), "raw")
 
 
@@ -124,7 +126,7 @@ def look_alike_pairs(forms: DataFrame, salts: int = 16) -> DataFrame:
     spread over ``salts`` tasks. Rows with the same raw text are never paired with each other.
     Empty input gives no row; a key that is null takes part in no pair.
     """
-    forms = materialize(forms, "forms")
+    forms = materialize(forms, "forms").where(F.col("form") != F.unhex(F.md5(F.lit(""))))
     several = forms.groupBy("record_kind", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi")
     # shuffled on purpose: the variants grow with the table
     rows = materialize(forms.join(several.select("record_kind", "form").hint("merge"), ["record_kind", "form"], "left_semi"), "variants")

@@ -51,13 +51,17 @@ def canonical(text: Column) -> Column:
 
 
 def records(claims: DataFrame, key: str, split: str, field: str, train: str, evals: list[str]) -> DataFrame:
-    """(record_key, side, field_name, cls, cased, canon): a row per record whose field states something."""
-    own = claims.where(F.col(split).isin(train, *evals)).select(
+    """(record_key, side, field_name, cls, cased, canon): a row per record whose field is not null.
+
+    ``canon`` is empty for a field that states nothing; the caller leaves such rows out once the table is written, as
+    an earlier filter would be pushed below the statements and compute them twice.
+    """
+    own = claims.where(F.col(split).isin(train, *evals) & F.col(field).isNotNull()).select(
         F.col(key).alias("record_key"), F.when(F.col(split) == train, "t").otherwise("e").alias("side"), statements(F.col(field)).alias("s")
-    ).where(F.size("s") > 0)
+    )
     canon = F.filter(F.transform("s", canonical), lambda x: x != "")
     own = own.select("record_key", "side", F.lit(field).alias("field_name"), F.array_join("s", "\n").alias("cased"), canon.alias("canon"))
-    return own.where(F.size("canon") > 0).withColumn("cls", F.unhex(F.md5(F.array_join(F.array_sort(F.array_distinct("canon")), "\n"))))
+    return own.withColumn("cls", F.unhex(F.md5(F.array_join(F.array_sort(F.array_distinct("canon")), "\n"))))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +234,7 @@ def overlaps(claims: DataFrame, key: str, split: str, fields: list[str], train:
     for field in fields:
         one = records(claims, key, split, field, train, list(evals))
         rows = one if rows is None else rows.unionByName(one)
-    rows = materialize(rows, "records")
+    rows = materialize(rows, "records").where(F.size("canon") > 0)
     classes = rows.groupBy("field_name", "side", "cls").agg(F.max_by(F.struct("cased", "canon"), F.length(F.regexp_replace("cased", "[^A-Z]", ""))).alias("m"))
     classes = materialize(classes.select("field_name", "side", "cls", "m.cased", "m.canon"), "classes")
     keyed = materialize(buckets(classes), "buckets")

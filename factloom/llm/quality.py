@@ -45,8 +45,8 @@ def statistics(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
     some = base.withColumns({
         "n_words": n_words, "n_chars": F.length("t"),
         "n_lines": n("\\S[^\\n]*"), "ends": n("(?m)[.!?…。:;][\"'”’)\\]]*\\s*$"),
-        "symbols": n(f"[^\\s{WORD_CHARS}]"), "digits": n("[0-9]"),
-        "broken": n(f"(?<=\\p{{L}})[^\\s'’.\\u00AD{WORD_CHARS}-](?=\\p{{L}})"), "mixed": n("(?<=\\p{L})[0-9]|[0-9](?=\\p{L})"),
+        "symbols": n(f"[^a-zA-Z0-9\\s{WORD_CHARS}]"), "digits": n("[0-9]"),
+        "broken": n(f"(?<=\\p{{L}})[^a-zA-Z0-9\\s'’.\\u00AD{WORD_CHARS}-](?=\\p{{L}})"), "mixed": n("(?<=\\p{L})[0-9]|[0-9](?=\\p{L})"),
         "bullets": n("(?m)^\\s*(?:[-–•*+]|\\d+[.)]|https?://|#)"), "cells": n("[|\\t]| {3,}|(?<=[0-9]),(?=[0-9])"),
         "sentences": n("[.!?。](?=\\s|$)"),
         "common": F.regexp_count(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.lit(common)),
