@@ -110,7 +110,7 @@ def j9_story_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.post_rows(raw, "r").select("post_id", "text", "author", F.col("comment_count").cast("int").alias("comment_count"))
 
 
-@query("""SELECT f.source, sum(CASE WHEN c.comment_key IS NOT NULL THEN 1 ELSE 0 END) AS n FROM feed_sources f LEFT JOIN flat_comments c ON c.source = f.source AND c.is_reply GROUP BY f.source""")
+@query("""SELECT f.source, CAST(sum(CASE WHEN c.comment_key IS NOT NULL THEN 1 ELSE 0 END) AS bigint) AS n FROM feed_sources f LEFT JOIN flat_comments c ON c.source = f.source AND c.is_reply GROUP BY f.source""")
 def jn7_replies_per_source(spark: SparkSession, sf: str) -> DataFrame:
     counts = table(spark, sf, "flat_comments").where("is_reply").groupBy("source").agg(F.count("*").alias("c"))
     return table(spark, sf, "feed_sources").join(counts, "source", "left").groupBy("source").agg(F.coalesce(F.max("c"), F.lit(0)).alias("n"))

@@ -32,7 +32,7 @@ po AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT doc
 q AS (SELECT DISTINCT sample_id AS query_id, unnest({_TOKENS}) AS term FROM labeled_claims WHERE sample_id % 100 = 0),
 df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
 s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), c GROUP BY query_id, doc_id)"""
-_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM s)"
+_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM s)"
 
 
 def _bm25(spark: SparkSession, sf: str, field: str = "text") -> DataFrame:

@@ -197,9 +197,9 @@ def dt1_lenient_time(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labeled_claims").select("sample_id", F.floor(F.unix_millis(when) / 1000).cast("long").alias("seconds"))
 
 
-@query(f"SELECT doc_id, round(greatest(0, (epoch_us(TIMESTAMPTZ '{AS_OF}+00:00') - epoch_us(published_at)) / 8.64e10), 6) AS age FROM documents WHERE published_at IS NOT NULL")
+@query(f"SELECT doc_id, round(greatest(0, (epoch_us(TIMESTAMPTZ '{AS_OF}+00:00') - epoch_us(published_at)) / 8.64e10), 3) AS age FROM documents WHERE published_at IS NOT NULL")
 def dt5_age_days(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("published_at is not null").select("doc_id", F.round(clock.age_days(F.col("published_at"), F.lit(AS_OF).cast("timestamp")), 6).alias("age"))
+    return table(spark, sf, "documents").where("published_at is not null").select("doc_id", F.round(clock.age_days(F.col("published_at"), F.lit(AS_OF).cast("timestamp")), 3).alias("age"))
 
 
 @query("SELECT doc_id, strftime(to_timestamp(floor(epoch(published_at))) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM documents")
@@ -257,10 +257,10 @@ _LABELS = {p: "CASE " + " ".join(f"WHEN upper(trim(label)) IN ({_sql_list(names)
 _WHOLE = "CASE WHEN n > -1 AND n < 3 AND trunc(n) IN (0, 1, 2) THEN CAST(trunc(n) AS int) END"
 
 
-@query(f"""SELECT sample_id, coalesce(CASE WHEN n IN (0, 1, 2) THEN CAST(n AS int) END, {_LABELS["loader"]}, 2) AS loader, coalesce({_WHOLE}, {_LABELS["fusion"]}) AS fusion, coalesce({_WHOLE}, {_LABELS["tuned"]}, 2) AS tuned
+@query(f"""SELECT sample_id, coalesce(CASE WHEN n IN (0, 1, 2) THEN CAST(n AS int) END, {_LABELS["loader"]}, 2) AS loader, coalesce({_WHOLE}, {_LABELS["fusion"]}, -1) AS fusion, coalesce({_WHOLE}, {_LABELS["tuned"]}, 2) AS tuned
 FROM (SELECT *, try_cast(label AS double) AS n FROM labeled_claims)""")
 def l1_label_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labeled_claims").select("sample_id", *[labels.label_id(F.col("label"), p).alias(p) for p in labels.ALIASES])
+    return table(spark, sf, "labeled_claims").select("sample_id", *[F.coalesce(labels.label_id(F.col("label"), p), F.lit(-1)).alias(p) for p in labels.ALIASES])
 
 
 @query()
