@@ -22,8 +22,9 @@ def _as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
-def _claims(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labeled_claims").where("sample_id % 100 = 0").select("sample_id", "text")
+def _claims(spark: SparkSession, sf: str, every: int = 100) -> DataFrame:
+    """The stated query set: claims whose id is divisible by ``every``."""
+    return table(spark, sf, "labeled_claims").where(F.col("sample_id") % every == 0).select("sample_id", "text")
 
 
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
@@ -35,8 +36,8 @@ s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM s)"
 
 
-def _bm25(spark: SparkSession, sf: str, field: str = "text") -> DataFrame:
-    docs, claims = table(spark, sf, "documents").select("doc_id", F.col(field).alias("text")), _claims(spark, sf)
+def _bm25(spark: SparkSession, sf: str, every: int = 100) -> DataFrame:
+    docs, claims = table(spark, sf, "documents").select("doc_id", "text"), _claims(spark, sf, every)
     tokens = text.word_tokens(F.col("text"))
     n, mean = docs.agg(F.count("*"), F.avg(F.size(tokens))).first()
     post = retrieval.asked_postings(docs, "doc_id", tokens, retrieval.query_terms(claims, "sample_id", tokens))
@@ -118,8 +119,8 @@ def r16_cyclicity(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.cyclicity(_history(spark, sf), "grp", "ts").select("grp", F.round("cyclicity", 5).alias("cyclicity"))
 
 
-def _hybrid(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
-    scored = retrieval.top(_bm25(spark, sf).withColumn("score", F.round("score", 9)), 100)
+def _hybrid(spark: SparkSession, sf: str, k: int = 5, every: int = 100) -> DataFrame:
+    scored = retrieval.top(_bm25(spark, sf, every).withColumn("score", F.round("score", 9)), 100)
     # without dense vectors for the texts, a document's order stands in for its dense rank
     ranked = scored.select("query_id", "doc_id", retrieval.rrf((F.col("rank"), 1.0), (F.col("doc_id").cast("double"), 1.0)).alias("rrf_score"))
     history = _history(spark, sf)
@@ -322,6 +323,5 @@ def s4_daily_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """The hybrid ranking of claims over documents."""
-    return r21_hybrid_top(spark, sf)
-
+    """The hybrid ranking of all claims over the documents; meant for small tables of claims."""
+    return _hybrid(spark, sf, every=1).select("query_id", "doc_id", F.round("score", 5).alias("score"), "final_rank")
