@@ -155,5 +155,5 @@ def verify_claims(spark: SparkSession, sf: str) -> DataFrame:
 
     claims = table(spark, sf, "labeled_claims").where("sample_id % 100 = 0").select("sample_id", "text")
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("link"))
-    out = predictions(claims, "sample_id", "text", _hybrid(spark, sf), docs, models.lexical_scorer, models.SlotNetwork(5))
+    out = predictions(claims, "sample_id", "text", _hybrid(spark, sf, whole=True), docs, models.lexical_scorer, models.SlotNetwork(5))
     return out.select("sample_id", "verdict", "label_id", F.round("confidence", 6).alias("confidence"), F.size("evidence").alias("n_evidence"), F.array_join("source_links", "; ").alias("links"))

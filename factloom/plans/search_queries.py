@@ -13,6 +13,7 @@ from factloom.functions import labels, text
 from factloom.operators import metrics, models, posts, retrieval, search
 from factloom.plans.registry import query
 from factloom.sources.tables import table
+from factloom.storage import materialize
 
 AS_OF = "2026-01-01 00:00:00"
 _AS_OF_US = f"epoch_us(TIMESTAMPTZ '{AS_OF}+00:00')"
@@ -119,10 +120,15 @@ def r16_cyclicity(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.cyclicity(_history(spark, sf), "grp", "ts").select("grp", F.round("cyclicity", 5).alias("cyclicity"))
 
 
-def _hybrid(spark: SparkSession, sf: str, k: int = 5, every: int = 100) -> DataFrame:
-    scored = retrieval.top(_bm25(spark, sf, every).withColumn("score", F.round("score", 9)), 100)
+def _hybrid(spark: SparkSession, sf: str, k: int = 5, every: int = 100, whole: bool = False) -> DataFrame:
+    """The hybrid ranking: over all documents with ``whole``, else over the 100 best by BM25, as the SQL of r21, r24 and r25 states."""
+    scored = _bm25(spark, sf, every).withColumn("score", F.round("score", 9))
     # without dense vectors for the texts, a document's order stands in for its dense rank
-    ranked = scored.select("query_id", "doc_id", retrieval.rrf((F.col("rank"), 1.0), (F.col("doc_id").cast("double"), 1.0)).alias("rrf_score"))
+    if whole:
+        asked = _claims(spark, sf, every).where(F.trim("text") != "").select(F.col("sample_id").alias("query_id"))
+        ranked = retrieval.fuse_whole(materialize(scored, "scores"), table(spark, sf, "documents"), asked)
+    else:
+        ranked = retrieval.top(scored, 100).select("query_id", "doc_id", retrieval.rrf((F.col("rank"), 1.0), (F.col("doc_id").cast("double"), 1.0)).alias("rrf_score"))
     history = _history(spark, sf)
     groups = retrieval.trend(history, "grp", "ts", _as_of()).select("grp", "trend").join(retrieval.cyclicity(history, "grp", "ts"), "grp", "full")
     return retrieval.hybrid(ranked, history, groups, _as_of(), k=k)
@@ -324,4 +330,4 @@ def s4_daily_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The hybrid ranking of all claims over the documents; meant for small tables of claims."""
-    return _hybrid(spark, sf, every=1).select("query_id", "doc_id", F.round("score", 5).alias("score"), "final_rank")
+    return _hybrid(spark, sf, every=1, whole=True).select("query_id", "doc_id", F.round("score", 5).alias("score"), "final_rank")
