@@ -157,16 +157,22 @@ def triplets(claims: DataFrame, key: str, claim: str, evidence: str, negatives:
     """(key, anchor, positive, negatives): evidence of other claims drawn by hash within buckets; fewer than wanted are repeated.
 
     Claims meet only those next in order in their hash bucket of about ``bucket_rows`` rows, so no task gets more, and the work
-    grows with the rows, not with their square.
+    grows with the rows, not with their square. A claim whose neighbours all carry its own evidence draws from a few distinct
+    texts of the whole table instead; where the table has no other text, its own pads, so that every claim with evidence has a row.
     """
     rows = claims.where(F.col(evidence).isNotNull() & (F.trim(evidence) != "")).select(key, F.col(claim).alias("anchor"), F.col(evidence).alias("positive"))
+    # one more than wanted: one of them may be the claim's own
+    spare = rows.select("positive").distinct().orderBy(F.xxhash64("positive", F.lit(2)), "positive").limit(negatives + 1).agg(F.collect_list("positive").alias("spare"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(max(1, rows.count() // bucket_rows))))
     w = W.partitionBy("bucket").orderBy(F.xxhash64(key, F.lit(1)), key)
     near = F.filter(F.array(*[F.lead("positive", i).over(w) for i in range(1, negatives + 1)], *[F.lag("positive", i).over(w) for i in range(1, negatives + 1)]), lambda x: x.isNotNull())
-    rows = rows.withColumn("near", near)
-    others = F.filter("near", lambda x: x != F.col("positive"))
+    rows = rows.withColumn("near", near).crossJoin(F.broadcast(spare))
+    differing = lambda c: F.filter(c, lambda x: x != F.col("positive"))
+    rows = rows.withColumn("others", differing("near"))
+    rows = rows.withColumn("others", F.when(F.size("others") > 0, F.col("others")).otherwise(differing("spare")))
+    others = F.when(F.size("others") > 0, F.col("others")).otherwise(F.array("positive"))
     padded = F.slice(F.flatten(F.array_repeat(others, negatives)), 1, negatives)
-    return rows.where(F.size(others) > 0).select(key, "anchor", "positive", padded.alias("negatives"))
+    return rows.select(key, "anchor", "positive", padded.alias("negatives"))
 
 
 def choose_clusters(df: DataFrame, vector: str, least: int = 2, most: int = 6, seed: int = 42) -> DataFrame:

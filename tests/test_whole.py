@@ -6,6 +6,7 @@ from datetime import datetime
 
 import pytest
 
+from factloom.operators import models
 from factloom.plans import search_queries
 
 
@@ -46,3 +47,16 @@ def test_hybrid_fuses_all_documents(spark, tmp_path, n):
         want = _fused(texts, claim)
         best = sorted(want, key=lambda d: (-want[d], d))[:20]
         assert every[key] == pytest.approx({d: want[d] for d in best}), claim
+
+
+def test_triplets_keep_every_claim_with_evidence(spark):
+    kind = "k int, c string, e string"
+    rows = [(i, f"c{i}", "same" if i % 50 else f"e{i}") for i in range(200)]
+    got = models.triplets(spark.createDataFrame(rows, kind), "k", "c", "e", 3, 50).collect()
+    assert sorted(r.k for r in got) == list(range(200))
+    assert all(len(r.negatives) == 3 and r.positive not in r.negatives for r in got)
+    # only one evidence text: it pads, as in the original
+    for n in (1, 8):
+        alone = models.triplets(spark.createDataFrame([(i, f"c{i}", "same") for i in range(n)], kind), "k", "c", "e").collect()
+        assert [r.negatives for r in alone] == [["same"] * 3] * n
+    assert models.triplets(spark.createDataFrame([], kind), "k", "c", "e").count() == 0
