@@ -61,12 +61,14 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(bodies, scored) of all posts; the fit alone reads a sample."""
     posts = table(spark, sf, "web_posts")
     digests = boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at"), keep=("title",), keep_lines=True, clusters=False)
     digests = materialize(digests, "digests")
     repeated = materialize(boilerplate.frequent_lines(digests), "frequent")
     rows = materialize(residue.weak_label(residue.bodies(residue.sample(digests), repeated)), "sample")
-    return rows, residue.score(residue.bodies(digests, repeated), residue.fit(rows))
+    bodies = residue.bodies(digests, repeated)
+    return bodies, residue.score(bodies, residue.fit(rows))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +76,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return residue.validation(*_residue(spark, sf))
+    bodies, scored = _residue(spark, sf)
+    # written first: a filter on the labels would be pushed down and compute them twice
+    return residue.validation(materialize(residue.weak_label(bodies).select("doc_key", "weak"), "labels"), scored)
 
 
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,8 +6,8 @@ Weak labels come from response statuses and phrases: a short body made of such p
 lines of prose, is a positive; a body of prose is a negative, also if it mentions such a thing in passing.
 Everything between is left unlabelled and is for the classifier to decide.
 
-Weak labels are given to a bounded, documented sample of ``max_sample`` documents, of which training reads at
-most ``max_train`` rows of each label, chosen by hash.
+Training takes its weak labels from a bounded, documented sample of ``max_sample`` documents, of which it reads at
+most ``max_train`` rows of each label, chosen by hash; the validation labels every post.
 Hosts are divided by hash as well: a quarter of them is kept out of training and used to validate.
 Scoring covers every post and whole texts.
 """
