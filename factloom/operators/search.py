@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import collapse_blank, expand_query, is_verbatim, word_tokens
-from factloom.operators.retrieval import bm25, postings, query_terms, small
+from factloom.operators.retrieval import bm25, postings, small
 from factloom.storage import materialize
 
 MAX_TERMS, MAX_PHRASE = 60, 32
@@ -36,7 +36,8 @@ def fielded(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFr
     """
     flat = queries.select(F.col(query_key).alias("query_id"), F.slice(word_tokens(collapse_blank(F.col(query_text))), 1, MAX_TERMS).alias("t")).where(F.size("t") > 0)
     flat = materialize(flat.withColumn("n", F.size(F.array_distinct("t"))), "queries")
-    terms = query_terms(flat, "query_id", F.col("t"))
+    lead = F.slice("t", 1, MAX_PHRASE)
+    terms = flat.select("query_id", lead.alias("p"), F.explode(F.array_distinct("t")).alias("term")).select("query_id", "term", F.array_contains("p", F.col("term")).alias("lead"))
     scores = hits = phrases = None
     n_docs = docs.count()
     for field, boost in fields.items():
@@ -44,21 +45,23 @@ def fielded(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFr
         mean = docs.agg(F.avg(F.size(tokens))).first()[0] or 0.0
         post = postings(docs, key, tokens)
         one = bm25(post, n_docs, mean, flat, "query_id", F.col("t")).withColumns({"field": F.lit(field), "boost": F.lit(boost)})
-        held = post.join(small(terms), "term").select("query_id", "doc_id", "term", F.lit(field).alias("field"))
+        held = post.join(small(terms), "term").select("query_id", "doc_id", "term", "lead", F.lit(field).alias("field"))
         scores = one if scores is None else scores.unionByName(one)
         hits = held if hits is None else hits.unionByName(held)
     hits = materialize(hits, "field_hits")
     per_field = hits.groupBy("query_id", "doc_id", "field").agg(F.count("*").alias("matched"))
-    whole = hits.groupBy("query_id", "doc_id").agg(F.countDistinct("term").alias("all_matched"))
+    whole = hits.select("query_id", "doc_id", "term", "lead").distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("all_matched"), F.count_if("lead").alias("lead_matched"))
     joined = scores.join(per_field, ["query_id", "doc_id", "field"]).join(small(flat.select("query_id", "n")), "query_id")
     least = F.floor(F.col("n") * F.when(F.col("n") < 12, 0.6).otherwise(0.7))
     base = joined.groupBy("query_id", "doc_id", "n").agg(
         F.max(F.col("score") * F.col("boost")).alias("best"), F.sum(F.col("score") * F.col("boost")).alias("sum_all"),
         F.sum(F.when(F.col("matched") >= least, F.col("score") * F.col("boost")).otherwise(0.0)).alias("most"))
     base = base.join(whole, ["query_id", "doc_id"])
-    full = base.where("n >= 4 and all_matched = n").select("query_id", "doc_id")
+    # a document with the phrase holds the phrase's terms; further terms of the query may be missing
+    phrased = small(flat.select("query_id", lead.alias("p"), F.size(F.array_distinct(lead)).alias("n_lead")))
+    full = base.where("n >= 4").join(phrased, "query_id").where("lead_matched = n_lead").select("query_id", "doc_id", "p")
     texts = docs.select(F.col(key).alias("doc_id"), *[word_tokens(F.col(f)).alias(f"_{f}") for f in fields])
-    near = full.join(texts, "doc_id").join(small(flat.select("query_id", F.slice("t", 1, MAX_PHRASE).alias("p"))), "query_id")
+    near = full.join(texts, "doc_id")
     bonus = F.lit(0.0)
     for field, boost in fields.items():
         bonus = bonus + F.when(in_order(F.col(f"_{field}"), F.col("p")), max(2.0, boost * 4.0)).otherwise(0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import boilerplate, residue
 from factloom.llm import queries as llm
-from factloom.operators import models
+from factloom.operators import models, search
 from factloom.plans import search_queries
 
 
@@ -83,3 +83,12 @@ def test_validation_labels_all_posts(spark, tmp_path, monkeypatch):
     got = llm.p5_validation(spark, str(tmp_path)).collect()
     assert {(x.hosts, k): n for x in got for k, n in ((1, x.positives), (0, x.negatives))} == want and sum(want.values()) == 400
     assert all(x.positives_found == x.positives and x.negatives_found == 0 for x in got)
+
+
+def test_phrase_of_a_long_query(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[:32]), " ".join(reversed(words[:32])), " ".join(words[:31]), "other text"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(words))], "k long, q string")
+    got = {r.doc_id: r.score for r in search.fielded(docs, "doc_id", {"text": 1.0}, asked, "k", "q").collect()}
+    assert got[0] == pytest.approx(got[1] + 4.0) and got[2] < got[1] and 3 not in got
