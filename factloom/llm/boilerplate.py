@@ -27,20 +27,21 @@ def line_keys(text: Column) -> Column:
 
 
 def digest_lines(posts: DataFrame, key: str, source: str, text: str, day: Column, long_line: int = 60,
-                 keep: tuple[str, ...] = (), keep_lines: bool = False, clusters: bool = True) -> DataFrame:
+                 keep: tuple[str, ...] = (), keep_lines: bool = False, clusters: bool = True, sourceless: bool = False) -> DataFrame:
     """(doc_key, source, src, day, lines, cluster) per document; ``lines`` holds null for a blank line.
 
-    Documents without text or source stay out: they have no lines, or no site whose habit could be counted.
+    Documents without text or source stay out: they have no lines, or no site whose habit could be counted. With
+    ``sourceless`` those without source stay in, with a null ``src``.
     ``cluster`` is only there with ``clusters``: counting rows alone needs none. ``keep`` names further columns to carry along; with ``keep_lines`` the comparison forms stay as column ``k``.
     """
     # the filter names input columns only: on the computed lines it would be pushed down and compute them twice
-    posts = posts.where(F.col(source).isNotNull() & F.col(text).isNotNull())
+    posts = posts.where(F.col(text).isNotNull() & (F.lit(sourceless) | F.col(source).isNotNull()))
     rows = posts.select(F.col(key).alias("doc_key"), F.col(source).alias("source"), day.alias("day"), *keep, line_keys(F.col(text)).alias("k"))
     long_ones = F.filter("k", lambda x: F.length(x) >= long_line)
     whole = F.when(F.size(long_ones) > 0, long_ones).otherwise(F.col("k"))
     own = [F.xxhash64(F.array_sort(F.array_distinct(whole))).alias("cluster")] if clusters else []
     digests = F.transform("k", lambda x: F.when(x != "", F.xxhash64(x)))
-    return rows.select("doc_key", "source", F.xxhash64("source").alias("src"), "day", digests.alias("lines"), *own, *keep, *(("k",) if keep_lines else ()))
+    return rows.select("doc_key", "source", F.when(F.col("source").isNotNull(), F.xxhash64("source")).alias("src"), "day", digests.alias("lines"), *own, *keep, *(("k",) if keep_lines else ()))
 
 
 def frequent_lines(digests: DataFrame, min_share: float = 0.05, min_rows: int = 4) -> DataFrame:

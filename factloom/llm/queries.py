@@ -63,9 +63,9 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
 def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(bodies, scored) of all posts; the fit alone reads a sample."""
     posts = table(spark, sf, "web_posts")
-    digests = boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at"), keep=("title",), keep_lines=True, clusters=False)
+    digests = boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at"), keep=("title",), keep_lines=True, clusters=False, sourceless=True)
     digests = materialize(digests, "digests")
-    repeated = materialize(boilerplate.frequent_lines(digests), "frequent")
+    repeated = materialize(boilerplate.frequent_lines(digests.where("src is not null")), "frequent")
     rows = materialize(residue.weak_label(residue.bodies(residue.sample(digests), repeated)), "sample")
     bodies = residue.bodies(digests, repeated)
     return bodies, residue.score(bodies, residue.fit(rows))

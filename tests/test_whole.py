@@ -92,3 +92,14 @@ def test_phrase_of_a_long_query(spark):
     asked = spark.createDataFrame([(1, " ".join(words))], "k long, q string")
     got = {r.doc_id: r.score for r in search.fielded(docs, "doc_id", {"text": 1.0}, asked, "k", "q").collect()}
     assert got[0] == pytest.approx(got[1] + 4.0) and got[2] < got[1] and 3 not in got
+
+
+def test_posts_without_source_are_scored(spark, tmp_path):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=9))
+    prose = "The board said that the price of the coin of {} rose by three million dollars before the long holiday this year."
+    body = lambda i: f"404 Not Found {word()} nginx" if i % 4 == 0 else "\n".join(prose.format(word()) for _ in range(3))
+    rows = [(i, None if i % 10 == 0 else f"s{i % 9}", f"Title {word()}", body(i), datetime(2025, 12, 1)) for i in range(400)]
+    rows.append((400, None, "t", None, None))
+    spark.createDataFrame(rows, "post_key long, source string, title string, content string, fetched_at timestamp").write.parquet(f"{tmp_path}/web_posts.parquet")
+    assert {x.post_key for x in llm.p5_found(spark, str(tmp_path)).collect()} == set(range(0, 400, 4))
