@@ -2,21 +2,29 @@
 
 Records are canonicalised: one character form, no case, accents or punctuation; evidence becomes its
 statements, so that order and joining play no part. Equal canonical hashes are one class, and only
-classes are compared; a class keeps one spelling of its text and is expanded to its records at the end.
+one record of a class is compared; class pairs are expanded to their records at the end, where pairs are wanted.
 
-A hash of the whole record finds exact copies only. Near copies are found by joining hashes of parts:
-min-hashes of word pairs in bands, each joined with the record's figures (another figure is another
-record, so nothing is lost), or, for records without figures, with each of its rare words. Every
-candidate is then compared word by word: slips of the pen and a few exchanged, dropped or added words
-are allowed, another figure or another party is not. No bucket is capped; candidates are joined evaluation
-against training only, salted where a bucket is large.
+A hash of the whole record finds exact copies only. Near copies are found by joining hashes of parts and then compared
+word by word: slips of the pen and a few exchanged, dropped or added words are allowed, another figure or another
+party is not. What the comparison accepts bounds the parts:
 
-Null and empty fields take part in nothing. Records of other splits than the evaluation splits and train are left out.
+* all figures are equal up to blanks and joints, so the sorted digits of a record are part of every key;
+* at most half of the words are touched, so at least a third of the two records' words is shared. Min-hashes of words,
+  ``BANDS_FIGURES`` single ones or, for records without figures, ``BANDS_WORDS`` pairs of them, agree in at least one
+  place with a probability of 0.98 and 0.96 at that limit, and of nearly 1 for lighter edits;
+* each key carries a bitmap of its record's words. Bits of one record that the other lacks are words it lacks, so
+  candidates with more of them than half the words end in the join, before any text is read, and none is lost.
+
+No bucket is capped: evaluation and training keys of a large bucket are spread over as many salts as its size asks for.
+
+Null keys, null and empty fields take part in nothing; a field of one word has no near copies. Records of other splits
+than the evaluation splits and train are left out.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -33,7 +41,7 @@ from factloom.storage import materialize
 # Accented small letters of Vietnamese and Western European text, and their base letters.
 ACCENTED = "àáâãäåăạảấầẩẫậắằẳẵặçèéêëẹẻẽếềểễệìíîïĩỉịñòóôõöơọỏốồổỗộớờởỡợùúûüũưụủứừửữựýÿỳỵỷỹđß"
 BASE = "aaaaaaaaaaaaaaaaaaaceeeeeeeeeeeeiiiiiiinoooooooooooooooooouuuuuuuuuuuuuyyyyyyds"
-BANDS, ROWS_FIGURES, ROWS_WORDS = 24, 2, 3
+BANDS_FIGURES, BANDS_WORDS, BUCKET_ROWS = 10, 28, 5_000
 # Fixed value: where passages and statements are joined.
 JOINTS = "\\s*\\|\\|\\||\\\\n|\\n|['\"]\\s*,\\s*['\"]|(?<=[.!?。])['\"]?\\s"
 
@@ -51,79 +59,101 @@ def canonical(text: Column) -> Column:
 
 
 def records(claims: DataFrame, key: str, split: str, field: str, train: str, evals: list[str]) -> DataFrame:
-    """(record_key, side, field_name, cls, cased, canon): a row per record whose field is not null.
+    """(record_key, side, field_name, cls, cased, canon): a row per record whose key and field are not null.
 
-    ``canon`` is empty for a field that states nothing; the caller leaves such rows out once the table is written, as
-    an earlier filter would be pushed below the statements and compute them twice.
+    ``canon`` holds the distinct statements. It is empty for a field that states nothing; the caller leaves such rows out once
+    the table is written, as an earlier filter would be pushed below the statements and compute them twice.
     """
-    own = claims.where(F.col(split).isin(train, *evals) & F.col(field).isNotNull()).select(
+    own = claims.where(F.col(split).isin(train, *evals) & F.col(field).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).alias("record_key"), F.when(F.col(split) == train, "t").otherwise("e").alias("side"), statements(F.col(field)).alias("s")
     )
-    canon = F.filter(F.transform("s", canonical), lambda x: x != "")
+    canon = F.array_distinct(F.filter(F.transform("s", canonical), lambda x: x != ""))
     own = own.select("record_key", "side", F.lit(field).alias("field_name"), F.array_join("s", "\n").alias("cased"), canon.alias("canon"))
-    return own.withColumn("cls", F.unhex(F.md5(F.array_join(F.array_sort(F.array_distinct("canon")), "\n"))))
+    return own.withColumn("cls", F.unhex(F.md5(F.array_join(F.array_sort("canon"), "\n"))))
+
+
+def representatives(rows: DataFrame) -> DataFrame:
+    """(field_name, side, cls, record_key): of each class the record whose capitals tell names apart best.
+
+    No text is shuffled for it. An all-capital or all-small copy stands for its class only if there is no other.
+    """
+    capitals = F.regexp_count("cased", F.lit("[ \\n]\\p{Lu}"))
+    telling = (capitals > 0) & (2 * capitals <= F.regexp_count("cased", F.lit("[ \\n]")))
+    return rows.groupBy("field_name", "side", "cls").agg(F.max_by("record_key", F.struct(telling, capitals, "record_key")).alias("record_key"))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rand = np.random.default_rng(20)
-    n_hash = BANDS * ROWS_WORDS
+    n_hash = max(BANDS_FIGURES, 2 * BANDS_WORDS)
     a, b = rand.integers(1, 1 << 62, n_hash, dtype=np.uint64) | np.uint64(1), rand.integers(1, 1 << 62, n_hash, dtype=np.uint64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
+    mix, turn = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
     for batch in batches:
-        cls, side, field = batch.column("cls").to_pylist(), batch.column("side").to_pylist(), batch.column("field_name").to_pylist()
-        figures, rare = batch.column("figures").to_pylist(), batch.column("rare").to_pylist()
-        lists = batch.column("pairs")
+        if len(batch) == 0:
+            continue
+        cid, n = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
+        figures, plain = batch.column("figures").to_numpy().view(np.uint64), batch.column("plain").to_numpy(zero_copy_only=False)
+        lists = batch.column("w")
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        grams = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.uint64)
-        starts = offsets[:-1] - offsets[0]
-        mins = np.empty((n_hash, len(cls)), dtype=np.uint64)
-        for k in range(n_hash):
-            mins[k] = np.minimum.reduceat((grams * a[k] + b[k]) ^ ((grams * a[k] + b[k]) >> np.uint64(31)), starts)
-        out: list[tuple] = []
-        np.seterr(over="ignore")  # hashes are meant to wrap around
-        for i in range(len(cls)):
-            rows = ROWS_FIGURES if figures[i] is not None else ROWS_WORDS
-            for band in range(BANDS):
-                h = np.uint64(band)
-                for k in range(band * ROWS_WORDS, band * ROWS_WORDS + rows):
-                    h = (h ^ mins[k, i]) * mix
-                for extra in (rare[i] or [0]) if figures[i] is None else [figures[i]]:
-                    out.append((field[i], int((h ^ np.uint64(extra & 0xFFFFFFFFFFFFFFFF)) * mix), cls[i], side[i]))
-        if out:
-            f, h, c, s = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(f), pa.array(np.array(h, dtype=np.uint64).view(np.int64)), pa.array(c, pa.binary()), pa.array(s)], names=["field_name", "bucket", "cls", "side"]
-            )
-
-
-def buckets(classes: DataFrame, rare_share: float = 0.02) -> DataFrame:
-    """(field_name, bucket, cls, side) for classes with field_name, side, cls, canon."""
-    words = classes.select("field_name", "side", "cls", F.flatten(F.transform("canon", lambda s: F.split(s, " "))).alias("w"), "canon")
-    words = words.withColumn("figs", F.array_sort(F.filter("w", lambda w: w.rlike("[0-9]"))))
-    total = words.groupBy("field_name").agg(F.count("*").alias("n"))
-    df = words.where(F.size("figs") == 0).select("field_name", "side", "cls", F.explode(F.array_distinct("w")).alias("word"))
-    counts = df.groupBy("field_name", "word").agg(F.count("*").alias("df")).join(F.broadcast(total), "field_name")
-    common = counts.where(F.col("df") > rare_share * F.col("n")).groupBy("field_name").agg(F.collect_set("word").alias("common"))
-    # words in more than a share s of the classes number at most 1/s times the words of a class
-    words = words.join(F.broadcast(common), "field_name", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
-    pair = lambda s: F.zip_with(F.split(s, " "), F.slice(F.split(s, " "), 2, 1_000_000), lambda x, y: F.xxhash64(x, y))
-    grams = F.flatten(F.transform("canon", pair))
-    rare = F.when(F.size("figs") == 0, F.transform(F.array_except("w", "common"), lambda w: F.xxhash64(w)))
-    figures = F.when(F.size("figs") > 0, F.xxhash64("figs"))
-    ready = words.select("field_name", "side", "cls", figures.alias("figures"), rare.alias("rare"), grams.alias("pairs")).where(F.size("pairs") > 0)
-    return ready.mapInArrow(_keys, "field_name string, bucket bigint, cls binary, side string")
+        words = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+        offsets -= offsets[0]
+        starts = offsets[:-1]
+        bit = np.uint64(1) << (words & np.uint64(63))
+        part = (words >> np.uint64(6)) & np.uint64(3)
+        maps = [np.bitwise_or.reduceat(np.where(part == np.uint64(k), bit, np.uint64(0)), starts) for k in range(4)]
+
+        def least(k: int) -> np.ndarray:
+            h = words * a[k] + b[k]
+            return np.minimum.reduceat(h ^ (h >> turn), starts)
+
+        buckets, rows = [], []
+        with_figures, without = np.flatnonzero(~plain), np.flatnonzero(plain)
+        for band in range(BANDS_FIGURES if len(with_figures) else 0):
+            buckets.append((least(band)[with_figures] ^ (figures[with_figures] + np.uint64(band))) * mix)
+            rows.append(with_figures)
+        for band in range(BANDS_WORDS if len(without) else 0):
+            pair = (least(2 * band)[without] * mix) ^ least(2 * band + 1)[without]
+            buckets.append((pair ^ (figures[without] + np.uint64(band))) * mix)
+            rows.append(without)
+        at = np.concatenate(rows)
+        cols = [np.concatenate(buckets).view(np.int64), cid[at], n[at], *(m[at].view(np.int64) for m in maps)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "cid", "n", "m0", "m1", "m2", "m3"])
+
+
+def keys(classes: DataFrame) -> DataFrame:
+    """(bucket, cid, n, m0..m3) of classes with field_name, cid, canon: min-hash keys, number of words, bitmap of the words."""
+    words = classes.select("field_name", "cid", "canon", F.flatten(F.transform("canon", lambda s: F.split(s, " "))).alias("all"))
+    digits = F.array_join(F.array_sort(F.split(F.regexp_replace(F.array_join("canon", ""), "[^\\p{Nd}]+", ""), "")), "")
+    words = words.select("field_name", "cid", F.size("all").alias("n"), F.array_distinct(F.transform("all", lambda w: F.xxhash64(w))).alias("w"), digits.alias("digits"))
+    ready = words.select("cid", "n", F.xxhash64("field_name", "digits").alias("figures"), (F.col("digits") == "").alias("plain"), "w")
+    return ready.mapInArrow(_keys, "bucket bigint, cid bigint, n int, m0 bigint, m1 bigint, m2 bigint, m3 bigint")
+
+
+def candidates(evals: DataFrame, trains: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(ec, tc): pairs of cids with an equal key whose bitmaps allow half of the words to be equal."""
+    sized = trains.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > bucket_rows)
+    hot = materialize(sized.select("bucket", F.ceil(F.col("size") / bucket_rows).cast("int").alias("salts")), "hot_buckets")
+    salts = F.coalesce("salts", F.lit(1))
+    maps = [f"m{k}" for k in range(4)]
+    named = lambda df, side: df.select("bucket", F.col("cid").alias(f"{side}c"), F.col("n").alias(f"{side}n"), *[F.col(m).alias(side + m) for m in maps])
+    e = named(evals, "e").join(hot, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    t = named(trains, "t").join(hot, "bucket", "left").withColumn("salt", F.pmod("tc", salts).cast("int")).drop("salts")
+    lacking = lambda x, y: sum((F.bit_count(F.col(x + m).bitwiseAND(F.bitwise_not(y + m))) for m in maps[1:]), F.bit_count(F.col(x + "m0").bitwiseAND(F.bitwise_not(y + "m0"))))
+    possible = 2 * F.greatest(lacking("e", "t"), lacking("t", "e")) <= F.greatest("en", "tn")
+    return e.join(t, ["bucket", "salt"]).where("ec <> tc").where(possible).select("ec", "tc").distinct()
 
 
 _WORD = re.compile(r"[^\W_]+")
 
 
 def _base(word: str) -> str:
-    import unicodedata
-
     out = unicodedata.normalize("NFD", word.lower().replace("đ", "d").replace("ß", "ss"))
     return "".join(c for c in out if not unicodedata.combining(c))
 
 
+def _figured(word: str) -> bool:
+    return any(c.isdecimal() for c in word)
+
+
 def _tokens(statement: str) -> list[tuple[str, bool]]:
     """(word, is capitalised inside the statement) of one statement."""
     words = _WORD.findall(statement)
@@ -152,21 +182,22 @@ def slip(a: str, b: str, name: bool) -> bool:
     return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def difference(a: list[tuple[str, bool]], b: list[tuple[str, bool]], names_a: bool, names_b: bool) -> float:
-    """Cost of the edits between two statements; infinite if a figure or a party differs."""
+def difference(a: list[tuple[str, bool]], b: list[tuple[str, bool]], names_a: bool, names_b: bool) -> tuple[float, int]:
+    """(cost, touched words) of the edits between two statements; infinite cost if a figure or a party differs."""
     x, y = [w for w, _ in a], [w for w, _ in b]
     if x == y:
-        return 0.0
+        return 0.0, 0
     named = {w for w, c in a if c and names_a} | {w for w, c in b if c and names_b}
-    cost = 0.0
+    cost, touched = 0.0, 0
     for op, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if op == "equal":
             continue
         left, right = x[i1:i2], y[j1:j2]
+        touched += max(len(left), len(right))
         rest = []
         for w in left:  # slips first, wherever in the block
             hit = next((v for v in right if slip(w, v, w in named or v in named)), None)
-            if hit is None or any(c.isdigit() for c in w + hit) and w != hit:
+            if hit is None or w != hit and (_figured(w) or _figured(hit)):
                 rest.append(w)
             else:
                 right.remove(hit)
@@ -174,50 +205,54 @@ def difference(a: list[tuple[str, bool]], b: list[tuple[str, bool]], names_a: bo
         if "".join(rest) == "".join(right):  # words joined or parted
             cost += 0.5 * bool(rest)
             continue
-        if any(w in named or any(c.isdigit() for c in w) for w in rest + right):
-            return float("inf")
+        if any(w in named or _figured(w) for w in rest + right):
+            return float("inf"), touched
         cost += max(len(rest), len(right))
-    return cost
+    return cost, touched
+
+
+def _distinct(text: str) -> list[list[tuple[str, bool]]]:
+    """The statements of a text's lines, equal ones once."""
+    own: dict[tuple, list[tuple[str, bool]]] = {}
+    for s in text.split("\n"):
+        tokens = _tokens(s)
+        if tokens:
+            own.setdefault(tuple(w for w, _ in tokens), tokens)
+    return list(own.values())
 
 
 def same_statements(a: str, b: str, share: float = 0.3, free: float = 2.0) -> bool:
-    """Whether two fields (statements on lines) state the same with slight edits."""
-    left, right = [_tokens(s) for s in a.split("\n")], [_tokens(s) for s in b.split("\n")]
+    """Whether two fields (statements on lines) state the same with slight edits.
+
+    Edits cost one a word, slips and joined words half; together they may cost ``free`` and ``share`` of the words, and
+    touch at most half of the words.
+    """
+    left, right = _distinct(a), _distinct(b)
     names_a, names_b = _telling(left), _telling(right)
-    keys = [tuple(w for w, _ in s) for s in right]
-    open_right = list(range(len(right)))
-    pending = []
-    for s in left:
-        k = tuple(w for w, _ in s)
-        hit = next((j for j in open_right if keys[j] == k), None)
-        if hit is None:
-            pending.append(s)
-        else:
-            open_right.remove(hit)
-    if not pending and not open_right:
+    lk, rk = ({tuple(w for w, _ in s) for s in x} for x in (left, right))
+    pending = [s for s in left if tuple(w for w, _ in s) not in rk]
+    rest = [s for s in right if tuple(w for w, _ in s) not in lk]
+    if not pending and not rest:
         return True
     size = max(sum(map(len, left)), sum(map(len, right)))
-    limit = free + share * size
-    rest = [right[j] for j in open_right]
+    limit, most = min(free + share * size, size / 2), size / 2
     # a different cut into statements leaves the same words in the same order
-    whole = difference([t for s in pending for t in s], [t for s in rest for t in s], names_a, names_b)
-    if whole <= limit:
+    whole, touched = difference([t for s in pending for t in s], [t for s in rest for t in s], names_a, names_b)
+    if whole <= limit and touched <= most:
         return True
-    cost = 0.0
+    cost, touched = 0.0, 0
     for s in pending:
         words = {w for w, _ in s}
         best = max(range(len(rest)), key=lambda j: len(words & {w for w, _ in rest[j]}), default=None)
-        if best is None:
-            cost += _alone(s, names_a)
-        else:
-            cost += difference(s, rest.pop(best), names_a, names_b)
-        if cost > limit:
+        more, n = (_alone(s, names_a), len(s)) if best is None else difference(s, rest.pop(best), names_a, names_b)
+        cost, touched = cost + more, touched + n
+        if cost > limit or touched > most:
             return False
-    return cost + sum(_alone(s, names_b) for s in rest) <= limit
+    return cost + sum(_alone(s, names_b) for s in rest) <= limit and touched + sum(map(len, rest)) <= most
 
 
 def _alone(statement: list[tuple[str, bool]], names: bool) -> float:
-    if any((c and names) or any(x.isdigit() for x in w) for w, c in statement):
+    if any((c and names) or _figured(w) for w, c in statement):
         return float("inf")
     return float(len(statement))
 
@@ -227,39 +262,58 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_statements(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def overlaps(claims: DataFrame, key: str, split: str, fields: list[str], train: str = "train", evals: tuple[str, ...] = ("dev", "test"), salts: int = 4,
-             min_shared: float = 0.4) -> DataFrame:
-    """(field_name, eval_key, train_key): every pair of an evaluation and a training record with the same field, exactly or nearly."""
+def class_overlaps(claims: DataFrame, key: str, split: str, fields: list[str], train: str = "train", evals: tuple[str, ...] = ("dev", "test")) -> tuple[DataFrame, DataFrame]:
+    """(members, links): the class of every record (field_name, side, cls, record_key), and every link between an
+    evaluation class and a training class with the same field, exactly or nearly (field_name, ec, tc).
+    """
     rows = None
     for field in fields:
         one = records(claims, key, split, field, train, list(evals))
         rows = one if rows is None else rows.unionByName(one)
     rows = materialize(rows, "records").where(F.size("canon") > 0)
-    classes = rows.groupBy("field_name", "side", "cls").agg(F.max_by(F.struct("cased", "canon"), F.length(F.regexp_replace("cased", "[^A-Z]", ""))).alias("m"))
-    classes = materialize(classes.select("field_name", "side", "cls", "m.cased", "m.canon"), "classes")
-    keyed = materialize(buckets(classes), "buckets")
-    e = keyed.where("side = 'e'").select("field_name", "bucket", F.col("cls").alias("ec"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    t = keyed.where("side = 't'").select("field_name", "bucket", F.col("cls").alias("tc"), F.pmod(F.xxhash64("cls"), F.lit(salts)).cast("int").alias("salt"))
-    near = e.join(t, ["field_name", "bucket", "salt"]).where("ec <> tc").select("field_name", "ec", "tc").distinct()
+    chosen = materialize(representatives(rows), "representatives")
+    classes = rows.join(chosen, ["field_name", "side", "cls", "record_key"], "left_semi").withColumn("cid", F.xxhash64("field_name", "cls"))
+    of = lambda side: classes.where(F.col("side") == side)
+    near = candidates(materialize(keys(of("e")), "eval_keys"), materialize(keys(of("t")), "train_keys"))
+    near = materialize(near, "candidates")
     words = F.array_distinct(F.flatten(F.transform("canon", lambda s: F.split(s, " "))))
-    texts = lambda side, name: classes.where(F.col("side") == side).select("field_name", F.col("cls").alias(name), F.col("cased").alias(f"text_{name}"), words.alias(f"w_{name}"))
-    near = near.join(texts("e", "ec"), ["field_name", "ec"]).join(texts("t", "tc"), ["field_name", "tc"])
-    # the edits allowed leave well over 0.4 of the words in common: most chance candidates end here, in the JVM
-    shared = F.size(F.array_intersect("w_ec", "w_tc"))
-    near = near.where(shared >= min_shared * (F.size("w_ec") + F.size("w_tc") - shared))
-    near = near.where(_same("text_ec", "text_tc")).select("field_name", "ec", "tc")
-    equal = classes.where("side = 'e'").select("field_name", F.col("cls").alias("ec")).join(classes.where("side = 't'").select("field_name", F.col("cls").alias("ec")), ["field_name", "ec"])
-    pairs = materialize(near.unionByName(equal.withColumn("tc", F.col("ec"))), "class_pairs")
-    er = rows.where("side = 'e'").select("field_name", F.col("cls").alias("ec"), F.col("record_key").alias("eval_key"))
-    tr = rows.where("side = 't'").select("field_name", F.col("cls").alias("tc"), F.col("record_key").alias("train_key"))
-    return pairs.join(er, ["field_name", "ec"]).join(tr, ["field_name", "tc"]).select("field_name", "eval_key", "train_key")
-
-
-def report(pairs: DataFrame, claims: DataFrame, key: str, split: str, source: str) -> DataFrame:
-    """Per field, split and source of the evaluation record: records with an overlap, pairs, and all records."""
+    texts = lambda side: of(side).select("field_name", F.col("cid").alias(f"{side}c"), F.col("cls").alias(f"{side}_cls"), F.col("cased").alias(f"{side}_text"), words.alias(f"{side}_w"), F.size(F.flatten(F.transform("canon", lambda s: F.split(s, " ")))).alias(f"{side}_n"))
+    near = near.join(texts("e"), "ec").join(texts("t"), ["field_name", "tc"])
+    # the comparison touches at most half of the words, so no more distinct words than that may be missing on either side
+    missing = F.greatest(F.size("e_w"), F.size("t_w")) - F.size(F.array_intersect("e_w", "t_w"))
+    near = near.where(2 * missing <= F.greatest("e_n", "t_n")).where(_same("e_text", "t_text"))
+    near = near.select("field_name", F.col("e_cls").alias("ec"), F.col("t_cls").alias("tc")).distinct()
+    sides = [chosen.where(F.col("side") == s).select("field_name", F.col("cls").alias("ec")) for s in "et"]
+    equal = sides[0].join(sides[1], ["field_name", "ec"]).distinct().withColumn("tc", F.col("ec"))
+    return rows.select("field_name", "side", "cls", "record_key"), materialize(near.unionByName(equal), "class_pairs")
+
+
+def expanded(members: DataFrame, links: DataFrame, salts: int = 8) -> DataFrame:
+    """(field_name, eval_key, train_key): the links of classes as pairs of records, a class of many copies spread over ``salts`` tasks."""
+    of = lambda side, cls, name: members.where(F.col("side") == side).select("field_name", F.col("cls").alias(cls), F.col("record_key").alias(name))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    own = lambda name: F.pmod(F.xxhash64(name), F.lit(salts)).cast("int")
+    e = links.withColumn("salt", spread).join(of("e", "ec", "eval_key").withColumn("salt", own("eval_key")), ["field_name", "ec", "salt"])
+    t = of("t", "tc", "train_key").withColumn("salt", own("train_key"))
+    return e.withColumn("salt", spread).join(t, ["field_name", "tc", "salt"]).select("field_name", "eval_key", "train_key")
+
+
+def overlaps(claims: DataFrame, key: str, split: str, fields: list[str], train: str = "train", evals: tuple[str, ...] = ("dev", "test")) -> DataFrame:
+    """(field_name, eval_key, train_key): every pair of an evaluation and a training record with the same field, exactly or nearly."""
+    return expanded(*class_overlaps(claims, key, split, fields, train, evals))
+
+
+def report(members: DataFrame, links: DataFrame, claims: DataFrame, key: str, split: str, source: str) -> DataFrame:
+    """Per field, split and source of the evaluation record: records with an overlap, their pairs, and all records.
+
+    Pairs are counted from the sizes of the classes; none is formed.
+    """
+    sizes = members.where("side = 't'").groupBy("field_name", F.col("cls").alias("tc")).agg(F.count("*").alias("size"))
+    per_class = links.join(sizes, ["field_name", "tc"]).groupBy("field_name", "ec").agg(F.sum("size").alias("n"))
     own = claims.select(F.col(key).alias("eval_key"), F.col(split).alias("split_name"), F.col(source).alias("source"))
-    per_record = pairs.groupBy("field_name", "eval_key").agg(F.count("*").alias("n"))
-    hits = per_record.join(own, "eval_key").groupBy("field_name", "split_name", "source").agg(F.count("*").alias("n_overlapping"), F.sum("n").alias("n_pairs"))
+    evals = members.where("side = 'e'").select("field_name", F.col("cls").alias("ec"), F.col("record_key").alias("eval_key"))
+    hits = evals.join(per_class, ["field_name", "ec"]).select("field_name", "eval_key", "n")
+    hits = hits.join(own, "eval_key").groupBy("field_name", "split_name", "source").agg(F.count("*").alias("n_overlapping"), F.sum("n").alias("n_pairs"))
     totals = own.groupBy("split_name", "source").agg(F.count("*").alias("n_records"))
     return hits.join(totals, (hits["split_name"] == totals["split_name"]) & hits["source"].eqNullSafe(totals["source"])).select(
         hits["field_name"], hits["split_name"], hits["source"], "n_overlapping", "n_pairs", "n_records"

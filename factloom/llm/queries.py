@@ -81,17 +81,17 @@ def p5_validation(spark: SparkSession, sf: str) -> DataFrame:
     return residue.validation(materialize(residue.weak_label(bodies).select("doc_key", "weak"), "labels"), scored)
 
 
-def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.overlaps(table(spark, sf, "labeled_claims"), "sample_id", "split_name", ["text", "evidence"])
+def _overlaps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.class_overlaps(table(spark, sf, "labeled_claims"), "sample_id", "split_name", ["text", "evidence"])
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     both = [F.col("eval_key"), F.col("train_key")]
-    return _overlaps(spark, sf).where("eval_key <> train_key").select("field_name", F.least(*both).alias("key_a"), F.greatest(*both).alias("key_b")).distinct()
+    return overlap.expanded(*_overlaps(spark, sf)).where("eval_key <> train_key").select("field_name", F.least(*both).alias("key_a"), F.greatest(*both).alias("key_b")).distinct()
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.report(_overlaps(spark, sf), table(spark, sf, "labeled_claims"), "sample_id", "split_name", "source")
+    return overlap.report(*_overlaps(spark, sf), table(spark, sf, "labeled_claims"), "sample_id", "split_name", "source")
 
 
 def _limits(spark: SparkSession, sf: str) -> dict[str, tuple[int, int]]:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from factloom.llm import overlap as O
@@ -32,10 +34,58 @@ def test_pairs(spark):
     df = spark.createDataFrame([(*r, 1, 1) for r in rows], "id bigint, split string, text string, evidence string, cls int, side int")
     got = sorted((r.field_name, r.eval_key, r.train_key) for r in O.overlaps(df, "id", "split", ["text", "evidence"]).distinct().collect())
     assert got == [("evidence", 300, 200), ("evidence", 300, 201), ("text", 300, 200), ("text", 300, 201), ("text", 302, 202), ("text", 304, 7)]
-    rep = O.report(O.overlaps(df, "id", "split", ["text"]).distinct(), df.selectExpr("id", "split", "cast(null as string) src").distinct(), "id", "split", "src").collect()
+    rep = O.report(*O.class_overlaps(df.distinct(), "id", "split", ["text"]), df.selectExpr("id", "split", "cast(null as string) src").distinct(), "id", "split", "src").collect()
     assert {(r.split_name, r.n_overlapping, r.n_pairs) for r in rep} == {("dev", 2, 3), ("test", 1, 1)}
 
 
+def _edited(r, words, slips, exchanged, blanks=0):
+    out = list(words)
+    places = r.sample([i for i, w in enumerate(out) if not w[0].isdigit()], slips + exchanged)
+    for i in places[:slips]:
+        at = r.randrange(len(out[i]))
+        out[i] = out[i][:at] + r.choice("bcdfg") + out[i][at:]
+    for i in places[slips:]:
+        out[i] = "x" + "".join(r.choice("aeioulmn") for _ in range(5))
+    return out
+
+
+@pytest.mark.parametrize("figures", [True, False])
+@pytest.mark.parametrize("vocabulary", [200, 4000])
+def test_recall_by_strength_of_edits(spark, figures, vocabulary):
+    """Of the edited copies the comparison accepts, at least nine in ten are found at every strength of edits."""
+    r = random.Random(5)
+    voc = ["".join(r.choice("bdghklmnrstv") + r.choice("aeiou") for _ in range(r.choice([2, 3]))) for _ in range(vocabulary)]
+    rows, planted, n = [], {}, 0
+    for slips, exchanged in [(1, 0), (2, 0), (3, 0), (5, 0), (7, 0), (0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (2, 2), (3, 3)]:
+        for _ in range(60):
+            words = [r.choice(voc) for _ in range(14)] + ([str(r.randint(1000, 99999)), "5"] if figures else [])
+            copy = " ".join(_edited(r, words, slips, exchanged))
+            if figures and r.random() < 0.5:
+                copy = copy.replace(" 5", "5") if r.random() < 0.5 else copy.replace(words[-2], words[-2][:-3] + "," + words[-2][-3:])
+            rows += [(n, "train", " ".join(words)), (n + 1, "test", copy)]
+            planted[n + 1, n] = (slips, exchanged), O.same_statements(copy, " ".join(words))
+            n += 2
+    df = spark.createDataFrame(rows, "id bigint, split string, text string")
+    got = {(x.eval_key, x.train_key) for x in O.overlaps(df, "id", "split", ["text"]).collect()}
+    for strength in {s for s, _ in planted.values()}:
+        accepted = [p for p, (s, ok) in planted.items() if s == strength and ok]
+        assert len(accepted) >= 20 and len(got.intersection(accepted)) >= 0.9 * len(accepted), strength
+    texts = {k: t for k, _, t in rows}
+    assert all(O.same_statements(texts[e], texts[t]) for e, t in got)
+
+
+def test_spelling_of_a_class_and_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(O, "BUCKET_ROWS", 2)
+    other = N.replace("Zanvanta", "Kelmora")
+    rows = [(1, "train", N), (2, "train", N.upper()), (3, "train", N.lower()), (10, "test", other), (None, "test", N)]
+    rows += [(100 + i, "train", N.replace("noted", f"note{chr(97 + i)}")) for i in range(20)] + [(50, "test", N.replace("noted", "said"))]
+    df = spark.createDataFrame(rows, "id bigint, split string, text string")
+    got = {(x.eval_key, x.train_key) for x in O.overlaps(df, "id", "split", ["text"]).collect()}
+    assert got == {(50, k) for k in [1, 2, 3, *range(100, 120)]}
+    e, t = (spark.createDataFrame([(7, i, 4, 1, 0, 0, 0) for i in ids], "bucket bigint, cid bigint, n int, m0 bigint, m1 bigint, m2 bigint, m3 bigint") for ids in ([1, 2], range(10, 40)))
+    assert {(x.ec, x.tc) for x in O.candidates(e, t, 4).collect()} == {(a, b) for a in (1, 2) for b in range(10, 40)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id bigint, split string, text string")
     assert O.overlaps(df, "id", "split", ["text"]).count() == 0
