@@ -78,6 +78,20 @@ def visual_form(text: str, keep_lines: bool = False) -> str:
     return _BLANKS.sub(" ", text).strip(" ")
 
 
+def visual_pieces(text: str) -> list[str]:
+    """What each character of a text adds to its visual form, before accents are composed and blanks are joined."""
+    return [_piece(c) for c in text]
+
+
+@lru_cache(50_000)
+def _piece(c: str) -> str:
+    if _IGNORABLE.fullmatch(c):
+        return ""
+    if not c.isascii():
+        c = _ALIKE_RE.sub(lambda m: _ALIKE[m[0]], _decomposed(c))
+    return c.replace("ß", "ss").replace("ẞ", "SS")
+
+
 def folded(text: str) -> str:
     """The visual form with full case folding."""
     return unicodedata.normalize("NFC", visual_form(text).casefold())

@@ -11,32 +11,82 @@ Words that belong to no run of ``spacing`` words of any item cannot be matched w
 stretch, and at most one of them may stand between two matched runs. Stretches that are too short
 under that rule are left out before streaming, by array arithmetic on a whole batch; this loses nothing.
 
+With ``min_coverage`` an item shorter than the length limit counts as well, by its share. Every maximal stretch comes
+out, so an item that stands twice in a document gives two rows. Stretches carry the places of their first and last
+character in the document as it is, and ``remove_spans`` cuts just these.
+
 Words are split at blanks, after mark-up tags are removed, in the folded visual form without
 punctuation; a word without letters and figures is none.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.charform import folded_column, form_column
+from factloom.llm.charform import folded_column, visual_pieces
 from factloom.llm.patterns import WORD_CHARS
 
+# Tags within words, and any tag.
 INLINE_TAGS = "</?(?:b|i|u|em|strong|span|mark|a|code|sup|sub|small)(?: [^<>]*)?>"
+TAGS = "</?[a-z][a-z0-9]*(?: [^<>]*)?/?>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_digests(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, w): digests of the words of a text; null for null, an empty array for a text without words."""
-    form = df.select(key, folded_column(F.col(text)).alias("_f"))  # a column of its own, so that it is computed once
-    bare = F.regexp_replace(F.regexp_replace("_f", INLINE_TAGS, ""), "</?[a-z][a-z0-9]*(?: [^<>]*)?/?>", " ")
+def word_digests(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """(key, w and the columns of ``keep``): digests of the words of a text; null for null, an empty array for a text without words."""
+    form = df.select(key, *keep, folded_column(F.col(text)).alias("_f"))  # a column of its own, so that it is computed once
+    bare = F.regexp_replace(F.regexp_replace("_f", INLINE_TAGS, ""), TAGS, " ")
     plain = F.regexp_replace(F.when(F.contains(F.col("_f"), F.lit("<")), bare).otherwise(F.col("_f")), f"[^ {WORD_CHARS}]+", "")
-    return form.select(key, F.array_remove(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))).alias("w"))
+    return form.select(key, F.array_remove(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))).alias("w"), *keep)
+
+
+_TAG = re.compile(f"(?P<inline>{INLINE_TAGS})|{TAGS}")
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each word of ``word_digests`` in the text as it is, ``end`` exclusive.
+
+    A word reaches to the blanks around it, with its punctuation and the tags within it.
+    """
+    pieces, source = [], []
+    for at, piece in enumerate(visual_pieces(text)):
+        folded = piece.casefold()
+        pieces.append(folded)
+        source.extend([at] * len(folded))
+    form = "".join(pieces)
+    gone = [(m.start(), m.end(), m["inline"] is not None) for m in _TAG.finditer(form)] if "<" in form else []
+    out, first, last, real, tag = [], None, 0, False, 0
+    at = 0
+    while at <= len(form):
+        inline = False
+        if tag < len(gone) and at == gone[tag][0]:
+            inline, step = gone[tag][2], gone[tag][1] - at
+            tag += 1
+            if inline:
+                at += step
+                continue
+            blank = True
+        else:
+            step = 1
+            blank = at == len(form) or form[at].isspace()
+        if blank:
+            if first is not None and real:
+                out.append((source[first], source[last] + 1))
+            first, real = None, False
+        else:
+            first = at if first is None else first
+            last, real = at, real or unicodedata.category(form[at])[0] in "LNM"
+        at += step
+    return out
 
 
 class Automaton:
@@ -126,45 +176,60 @@ class Automaton:
         if size >= least:
             yield len(words), size, state
 
-    def stretches(self, words: np.ndarray, min_words: int) -> list[tuple[int, int, int, int]]:
-        """(item, doc word, item word, words): the longest stretch of each item in ``words``, if long enough."""
+    def stretches(self, words: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item number, doc word, item word, words): the maximal stretches of each item with at least ``least`` words.
+
+        A stretch within another one of the same item is left out.
+        """
         diagonals: set[tuple[int, int]] = set()
         for end, size, state in self.matches(words.tolist()):
             while state > 0 and size >= self.spacing:
                 diagonals.update((n, at + 1 - end) for n, at in self.ends[state])
                 state = self.link[state]
                 size = self.length[state]
-        best: dict[int, tuple[int, int, int]] = {}
+        found: dict[int, set[tuple[int, int, int]]] = {}
         for n, shift in diagonals:
             item = self.items[n][1]
             lo, hi = max(0, -shift), min(len(words), len(item) - shift)
-            if hi - lo < min_words:
+            if hi - lo < least[n]:
                 continue
-            start, size = longest_stretch(words[lo:hi] == item[lo + shift : hi + shift], self.spacing)
-            if size >= min_words and size > best.get(n, (0, 0, 0))[2]:
-                best[n] = (lo + start, lo + start + shift, size)
-        return [(self.items[n][0], *x) for n, x in sorted(best.items())]
+            for start, size in maximal_stretches(words[lo:hi] == item[lo + shift : hi + shift], self.spacing):
+                if size >= least[n]:
+                    found.setdefault(n, set()).add((lo + start, size, lo + start + shift))
+        return [(n, at, i, size) for n in sorted(found) for at, size, i in _outermost(found[n])]
+
+
+def _outermost(stretches: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The stretches (start, words, item word) that lie in no other one, in order."""
+    out, reach = [], -1
+    for s in sorted(stretches, key=lambda x: (x[0], -x[1], x[2])):
+        if s[0] + s[1] > reach:
+            out.append(s)
+            reach = s[0] + s[1]
+    return out
 
 
-def longest_stretch(same: np.ndarray, spacing: int) -> tuple[int, int]:
-    """(start, words) of the longest stretch that begins and ends with an equal word and whose unequal
-    words stand more than ``spacing`` words apart."""
+def maximal_stretches(same: np.ndarray, spacing: int) -> list[tuple[int, int]]:
+    """(start, words) of the stretches that begin and end with an equal word, whose unequal words stand more than
+    ``spacing`` words apart, and that cannot be widened.
+    """
     bad = np.flatnonzero(~same)
-    best = (0, 0)
     edges = [-1, *bad.tolist(), len(same)]
-    first = 0
+    out, first = [], 0
     for k in range(1, len(edges)):
-        # the stretch covers the gaps first..k-1; the unequal words between them are edges[first+1..k-1]
-        if k - 1 > first + 1 and edges[k - 1] - edges[k - 2] <= spacing:
-            first = k - 2
-        if k - 1 >= first + 1 and edges[k - 1] + 1 == edges[k]:
-            continue  # the last gap is empty: nothing equal follows the unequal word
-        start = edges[first] + 1
-        while start < edges[k] and not same[start]:
+        # a stretch that begins after the unequal word ``first`` ends before the unequal word k, if that one may not be bridged
+        if k < len(edges) - 1 and (k == first + 1 or edges[k] - edges[k - 1] > spacing):
+            continue
+        # before the end of the text, the last bridge may be the edge itself
+        start, end = edges[first] + 1, edges[k] - 1
+        while start <= end and not same[start]:
             start += 1
-        if edges[k] - start > best[1]:
-            best = (start, edges[k] - start)
-    return best
+        while end >= start and not same[end]:
+            end -= 1
+        if end >= start:
+            out.append((start, end - start + 1))
+        first = k - 1
+    return out
 
 
 def islands(covered: np.ndarray, firsts: np.ndarray, min_words: int, spacing: int) -> list[tuple[int, int]]:
@@ -200,29 +265,35 @@ _built: dict[tuple, Automaton] = {}
 
 
 def leak_spans(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str,
-               min_words: int = 40, spacing: int = 5) -> DataFrame:
-    """(doc_id, item_id, doc_word, item_word, n_words, coverage): the longest stretch of each item in each document.
+               min_words: int = 40, spacing: int = 5, min_coverage: float | None = None, max_item_words: int = 4_000_000,
+               places: bool = True) -> DataFrame:
+    """(doc_id, item_id, doc_word, item_word, n_words, coverage, first_char, end_char): the maximal stretches of each item in each document.
 
-    ``items`` is a fixed test set; it is read on the driver, and its size is checked there. Null or
-    short texts match nothing. ``coverage`` is the stretch's share of the item's words.
+    A stretch has at least ``min_words`` words or, with ``min_coverage``, that share of its item's words; in either case at least
+    ``spacing``. ``items`` is a fixed test set; it is read on the driver, where ``max_item_words`` bounds it, and broadcast. Null or
+    short texts match nothing. Without ``places`` the texts are not read a second time, and the characters are null. ``coverage`` is the stretch's share of the item's words; ``end_char`` is exclusive.
     """
-    limit = 50_000
-    rows = word_digests(items.where(F.col(item_text).isNotNull()), item_key, item_text).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"leak_spans takes at most {limit} test items; use several calls")
-    passages = [(r[0], tuple(r[1])) for r in rows]
-    stamp = (hash(tuple(passages)), min_words, spacing)
+    lengths = items.where(F.col(item_text).isNotNull()).select(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0
+    if lengths > 8 * max_item_words:
+        raise ValueError(f"leak_spans takes test items of about {max_item_words} words; use several calls")
+    passages = [(r[0], tuple(r[1])) for r in word_digests(items.where(F.col(item_text).isNotNull()), item_key, item_text).collect()]
+    stamp = (hash(tuple(passages)), min_words, spacing, min_coverage)
+    shared = documents.sparkSession.sparkContext.broadcast(passages)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if stamp not in _built:
             _built.clear()
-            _built[stamp] = Automaton([(i, np.array(w, dtype=np.int64)) for i, w in passages], spacing)
+            _built[stamp] = Automaton([(i, np.array(w, dtype=np.int64)) for i, w in shared.value], spacing)
         auto = _built[stamp]
         filters = np.zeros(1 << 20, dtype=bool)
         filters[(auto.known >> np.uint64(44)).astype(np.int64)] = True
-        sizes = {i: len(w) for i, w in auto.items}
+        sizes = np.array([len(w) for _, w in auto.items], dtype=np.int64)
+        least = np.full(len(sizes), min_words)
+        if min_coverage is not None:
+            least = np.minimum(least, np.ceil(min_coverage * sizes).astype(np.int64))
+        least = np.maximum(least, spacing)
         for batch in batches:
-            ids, lists = batch.column(0), batch.column(1)
+            ids, lists, texts = batch.column(0), batch.column(1), batch.column(2)
             offsets = lists.offsets.to_numpy().astype(np.int64)
             words = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
             offsets -= offsets[0]
@@ -240,34 +311,49 @@ def leak_spans(documents: DataFrame, key: str, text: str, items: DataFrame, item
                 np.add.at(mark, hit, 1)
                 np.add.at(mark, hit + spacing, -1)
                 covered = np.cumsum(mark[:-1]) > 0
-                found: dict[tuple[int, int], tuple] = {}
-                for a, b in islands(covered, np.unique(offsets[:-1][np.diff(offsets) > 0]), min_words, spacing):
+                found: dict[tuple[int, int], set] = {}
+                for a, b in islands(covered, np.unique(offsets[:-1][np.diff(offsets) > 0]), int(least.min()), spacing):
                     d = int(np.searchsorted(offsets, a, side="right") - 1)
-                    for item, dw, iw, n in auto.stretches(words[a:b], min_words):
-                        if n > found.get((d, item), (0, 0, 0))[2]:
-                            found[d, item] = (int(a - offsets[d]) + dw, iw, n)
-                out = [(ids[d].as_py(), item, dw, iw, n, n / sizes[item]) for (d, item), (dw, iw, n) in found.items()]
+                    for n, dw, iw, size in auto.stretches(words[a:b], least):
+                        found.setdefault((d, n), set()).add((int(a - offsets[d]) + dw, size, iw))
+                spots = {d: word_places(texts[d].as_py()) for d in {d for d, _ in found} if texts[d].is_valid}
+                for (d, n), stretches in found.items():
+                    for dw, size, iw in _outermost(stretches):
+                        chars = (spots[d][dw][0], spots[d][dw + size - 1][1]) if d in spots else (None, None)
+                        out.append((ids[d].as_py(), auto.items[n][0], dw, iw, size, size / int(sizes[n]), *chars))
             if out:
                 cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                names = ["doc_id", "item_id", "doc_word", "item_word", "n_words", "coverage"]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+                names = ["doc_id", "item_id", "doc_word", "item_word", "n_words", "coverage", "first_char", "end_char"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     # no filter on the number of words: it would be pushed below the digests and compute them twice
-    docs = word_digests(documents.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    return docs.mapInArrow(scan, "doc_id bigint, item_id bigint, doc_word int, item_word int, n_words int, coverage double")
+    own = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.when(F.lit(places), F.col(text)).alias("raw"))
+    return word_digests(own, "doc_id", "text", "raw").mapInArrow(
+        scan, "doc_id bigint, item_id bigint, doc_word int, item_word int, n_words int, coverage double, first_char int, end_char int")
+
+
+@F.pandas_udf(T.StringType())
+def _cut(texts: pd.Series, firsts: pd.Series, ends: pd.Series) -> pd.Series:
+    out = []
+    for text, a, b in zip(texts, firsts, ends, strict=True):
+        reach, parts = 0, []
+        for first, end in sorted(zip(a, b, strict=True)):
+            if first > reach:
+                parts.append(text[reach:first])
+            reach = max(reach, end)
+        out.append("".join([*parts, text[reach:]]))
+    return pd.Series(out, dtype=object)
 
 
 def remove_spans(documents: DataFrame, key: str, text: str, spans: DataFrame, max_words: int = 40, max_coverage: float = 0.5) -> DataFrame:
     """``documents`` without the leaked stretches that exceed a length or coverage limit.
 
-    A document with such a stretch comes out in its visual form, one space between words; others are unchanged.
+    ``spans`` comes from ``leak_spans``. What stands outside the stretches stays as it is; documents without one are unchanged.
     """
     over = spans.where((F.col("n_words") >= max_words) | (F.col("coverage") >= max_coverage))
-    cuts = over.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("doc_word", "n_words")).alias("_cuts"))
-    plain = F.regexp_replace(F.regexp_replace(F.col(text), INLINE_TAGS, ""), "</?[A-Za-z][A-Za-z0-9]*(?: [^<>]*)?/?>", " ")
-    words = F.filter(F.split(form_column(plain), " "), lambda w: F.regexp_replace(w, f"[^{WORD_CHARS}]+", "") != "")
+    # the cuts of one document number at most its words over the shortest stretch, for each item
+    cuts = over.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct(F.col("first_char").alias("a"), F.col("end_char").alias("b"))).alias("_cuts"))
     hit = documents.join(cuts, key)
-    gone = lambda i: F.exists("_cuts", lambda c: (i >= c["doc_word"]) & (i < c["doc_word"] + c["n_words"]))
-    hit = hit.withColumn(text, F.array_join(F.filter(words, lambda w, i: ~gone(i)), " ")).drop("_cuts")
+    hit = hit.withColumn(text, _cut(text, F.col("_cuts")["a"], F.col("_cuts")["b"])).drop("_cuts")
     return documents.join(cuts.select(key), key, "left_anti").unionByName(hit)

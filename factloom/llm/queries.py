@@ -118,21 +118,21 @@ WHERE length(evidence) > (SELECT max_chars FROM split_limits WHERE table_name =
 """
 
 
-def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leak_spans(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+def _leaks(spark: SparkSession, sf: str, **how) -> DataFrame:
+    return leakage.leak_spans(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text", **how)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaks(spark, sf).select("doc_id", "item_id")
+    return _leaks(spark, sf, places=False).select("doc_id", "item_id").distinct()
 
 
 def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaks(spark, sf)
+    return _leaks(spark, sf, min_coverage=0.5)
 
 
 def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return leakage.remove_spans(docs, "doc_id", "text", materialize(_leaks(spark, sf), "leaks"))
+    return leakage.remove_spans(docs, "doc_id", "text", materialize(_leaks(spark, sf, min_coverage=0.5), "leaks"))
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
