@@ -13,24 +13,24 @@ from factloom.sources.tables import table
 from factloom.storage import materialize
 
 
-def _web_digests(spark: SparkSession, sf: str, dated: bool = False) -> DataFrame:
-    """Line digests of the posts; with ``dated`` the day is the publication's, read from its text, else that of the fetch."""
-    posts, day = table(spark, sf, "web_posts").select("post_key", "source", "content", "date_raw", "fetched_at"), F.to_date("fetched_at")
-    if dated:
-        posts = with_readings(posts, F.col("date_raw"), table(spark, sf, "feed_sources"))
-        day = F.coalesce(F.to_date(F.timestamp_seconds(F.get("instants", F.lit(0)))), day)
-    return materialize(boilerplate.digest_lines(posts, "post_key", "source", "content", day, clusters=dated), "digests")
+def _web_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Line digests of the posts; the day is the publication's, read from its text, else that of the fetch."""
+    posts = table(spark, sf, "web_posts").select("post_key", "source", "content", "date_raw", "fetched_at")
+    posts = with_readings(posts, F.col("date_raw"), table(spark, sf, "feed_sources"))
+    day = F.coalesce(F.to_date(F.timestamp_seconds(F.get("instants", F.lit(0)))), F.to_date("fetched_at"))
+    return materialize(boilerplate.digest_lines(posts, "post_key", "source", "content", day), "digests")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     digests = _web_digests(spark, sf)
-    found = boilerplate.occurrences(digests, materialize(boilerplate.frequent_lines(digests), "frequent"))
-    return found.select(F.col("doc_key").alias("post_key"), "line_no")
+    # the stated case counts plain rows; clusters and dates of the same lines decide what p1_clean removes
+    lines = boilerplate.line_statistics(digests).where("n_rows >= 4 and n_rows >= 0.05 * src_rows")
+    return boilerplate.occurrences(digests, materialize(lines, "lines")).select(F.col("doc_key").alias("post_key"), "line_no")
 
 
 def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
-    posts, digests = table(spark, sf, "web_posts"), _web_digests(spark, sf, dated=True)
-    clean = boilerplate.strip_lines(posts.select("post_key", "source", "content"), "post_key", "content", digests, boilerplate.boilerplate(digests))
+    posts, digests = table(spark, sf, "web_posts"), _web_digests(spark, sf)
+    clean = boilerplate.strip_lines(posts.select("post_key", "source", "content"), "post_key", "content", digests, materialize(boilerplate.boilerplate(digests), "lines"))
     return clean.select("post_key", "source", "body", "n_removed")
 
 
@@ -63,7 +63,7 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
 def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(bodies, scored) of all posts; the fit alone reads a sample."""
     posts = table(spark, sf, "web_posts")
-    digests = boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at"), keep=("title",), keep_lines=True, clusters=False, sourceless=True)
+    digests = boilerplate.digest_lines(posts, "post_key", "source", "content", F.to_date("fetched_at"), keep=("title",), keep_lines=True, sourceless=True)
     digests = materialize(digests, "digests")
     repeated = materialize(boilerplate.frequent_lines(digests.where("src is not null")), "frequent")
     rows = materialize(residue.weak_label(residue.bodies(residue.sample(digests), repeated)), "sample")

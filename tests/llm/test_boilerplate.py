@@ -60,6 +60,23 @@ def test_republished_article_is_no_boilerplate(spark):
     assert all(clean[k].body == by_id[k] for k in untouched) and clean[900].k == "clash"
 
 
+def test_shares_are_over_clusters_and_furniture_makes_none(spark):
+    """Reposts above a twentieth of the rows stay; a long notice on some copies does not part them."""
+    own = [f"Article {chr(97 + i % 26)}{chr(97 + i // 26)} has a paragraph of its own that is long enough to be taken for prose." for i in range(80)]
+    notice = "All rights reserved; no part of these pages may be copied without the consent of the publisher."
+    story = "A story told again and again, by one site, in a paragraph that is long enough to be taken for prose."
+    rows = [(i, "a", own[i] + ("\n" + notice if i % 3 else ""), i % 7) for i in range(80)]
+    rows += [(100 + i, "a", story + ("\n" + notice if i % 2 else ""), i % 7) for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, site string, body string, day int")
+    digests = B.digest_lines(df, "id", "site", "body", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")))
+    stats = {r.n_rows: r for r in B.line_statistics(digests).collect()}
+    told, legal = stats[20], stats[sum(notice in t for _, _, t, _ in rows)]
+    assert (told.n_clusters, told.src_clusters, told.src_rows, told.n_days) == (1, 81, 100, 7)
+    assert legal.n_clusters == sum(i % 3 > 0 for i in range(80)) + 1
+    clean = {r.id: r.body for r in B.strip_lines(df, "id", "body", digests, B.boilerplate(digests)).collect()}
+    assert all(notice not in t for t in clean.values()) and all(clean[100 + i] == story for i in range(20)) and clean[0] == own[0]
+
+
 def test_empty(spark):
     df = _df(spark).limit(0)
     digests = B.digest_lines(df, "id", "site", "body", F.lit(None).cast("date"))
