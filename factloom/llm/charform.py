@@ -39,14 +39,18 @@ _IGNORABLE = re.compile(
     "[\\u00AD\\u034F\\u061C\\u115F\\u1160\\u17B4\\u17B5\\u180B-\\u180F\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u206F"
     "\\u3164\\uFE00-\\uFE0F\\uFEFF\\uFFA0\\uFFF0-\\uFFF8\\U000E0000-\\U000E0FFF]+"
 )
-# Letters (decomposed) and marks that look like another one, and that one.
-_ALIKE = dict(
-    zip(
-        "ɑΑΒΕΖΗΙΚΜΝΟΡΤΥΧορνΙАВЕЅІЈКМНОРСТУХаеорсухѕіјһҺԁԛԝүҮӀғⅰıƉÐ‐‑‒−ǃ",
-        "aABEZHIKMNOPTYXopvIABESIJKMHOPCTYXaeopcyxsijhHdqwyYIfiiĐĐ----!",
-        strict=True,
-    )
-)
+# Letters (decomposed) and marks that look like another one, and that one, script by script, after the
+# Unicode consortium's public table of confusable characters, as far as the twin is a letter or mark of ASCII (and Đ).
+_ALIKE_PAIRS = (
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿαγινορυϳ", "ABEZHIKMNOPTYXJayivopuj"),
+    ("АВЕЅІЈКМНОРСТУХѴӀҮԌԚԜаеорсухѕіјһҺԁԛԝүѵӏғԍ", "ABESIJKMHOPCTYXVIYGQWaeopcyxsijhHdqwyvlfg"),
+    ("ՕՏՍԼօոսցհզյ", "OSULonughqj"),
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᎩᏃ", "ABCDEGHJKLMPRSTVWYZ"),
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+    ("ɑɡɩɪıʋʏᴄᴏᴜᴠᴡᴢꜱ", "agiiiuycouvwzs"),
+    ("ƉÐ‐‑‒−ǃ", "ĐĐ----!"),
+)
+_ALIKE = {a: b for left, right in _ALIKE_PAIRS for a, b in zip(left, right, strict=True)}
 _ALIKE_RE = re.compile(f"[{re.escape(''.join(_ALIKE))}]")
 _BLANKS = re.compile(r"\s+")
 _BLANKS_IN_LINE = re.compile(r"[^\S\n]+")
@@ -97,39 +101,53 @@ def folded(text: str) -> str:
     return unicodedata.normalize("NFC", visual_form(text).casefold())
 
 
-def _vectorised(keep_lines: bool):
+def _vectorised(keep_lines: bool, fold: bool = False):
     @F.pandas_udf("string")
     def form(values: pd.Series) -> pd.Series:
         known = {v: visual_form(v, keep_lines) for v in values.dropna().unique()}
+        if fold:
+            known = {v: unicodedata.normalize("NFC", f.casefold()) for v, f in known.items()}
         return pd.Series([known.get(v) for v in values], dtype=object)
 
     return form
 
 
+def dirty(text: Column) -> Column:
+    """Whether a text has characters that may not be in the visual form; ASCII has no other form."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(DIRTY_JAVA)
+
+
+def _blanks_joined(text: Column, keep_lines: bool) -> Column:
+    if keep_lines:
+        return F.regexp_replace(text, f"[{ASCII_BLANKS}]+", " ")
+    return F.trim(F.regexp_replace(text, f"[{ASCII_BLANKS}\\n]+", " "))
+
+
 def form_column(text: Column, keep_lines: bool = False) -> Column:
     """``visual_form`` as a column; only texts with unusual characters visit Python."""
-    dirty = (F.octet_length(text) != F.length(text)) & text.rlike(DIRTY_JAVA)  # ASCII has no other form
-    fixed = F.coalesce(_vectorised(keep_lines)(F.when(dirty, text)), text)
-    if keep_lines:
-        return F.regexp_replace(fixed, f"[{ASCII_BLANKS}]+", " ")
-    return F.trim(F.regexp_replace(fixed, f"[{ASCII_BLANKS}\\n]+", " "))
+    return _blanks_joined(F.coalesce(_vectorised(keep_lines)(F.when(dirty(text), text)), text), keep_lines)
 
 
 def folded_column(text: Column, keep_lines: bool = False) -> Column:
-    """``form_column`` with case folded; the sharp s, the one letter here that folds to two, is no plain character."""
-    return F.lower(form_column(text, keep_lines))
+    """``folded`` as a column. Of the plain characters none folds to anything but its small letter; the others are folded in Python."""
+    return _blanks_joined(F.coalesce(_vectorised(keep_lines, True)(F.when(dirty(text), text)), F.lower(text)), keep_lines)
 
 
 def with_forms(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     """(record_kind, record_key, form, raw): digests of the visual form and of the text itself.
 
-    The form is a 128-bit digest, so that equal digests mean equal forms. Null and empty texts give no row. A
-    blank text gets the empty form, which ``look_alike_pairs`` leaves out: a filter here would be pushed
-    below the form and compute it twice.
+    Both are 128-bit digests, so that equal digests mean equal texts. Texts with unusual characters get their form once per
+    distinct value of the whole table. Null and empty texts give no row. A blank text gets the empty form, which
+    ``look_alike_pairs`` leaves out: a filter here would be pushed below the form and compute it twice.
     """
+    t = F.col("t")
     own = df.select(F.col(key).alias("record_key"), F.col(text).alias("t")).where("t is not null and t <> ''")
-    own = own.select("record_key", form_column(F.col("t")).alias("f"), F.xxhash64("t").alias("raw"))
-    return own.select(F.lit(kind).alias("record_kind"), "record_key", F.unhex(F.md5("f")).alias("form"), "raw")
+    plain = F.when(~dirty(t), F.unhex(F.md5(_blanks_joined(t, False))))
+    rows = own.select("record_key", plain.alias("plain"), F.unhex(F.md5(t)).alias("raw"))
+    values = own.select("t").where(dirty(t)).groupBy(F.unhex(F.md5(t)).alias("raw")).agg(F.any_value("t").alias("t"))
+    forms = values.select("raw", F.unhex(F.md5(_blanks_joined(_vectorised(False)(t), False))).alias("unusual"))
+    both = rows.join(forms, "raw", "left")  # left for the join's own choice: the texts are on neither side
+    return both.select(F.lit(kind).alias("record_kind"), "record_key", F.coalesce("plain", "unusual").alias("form"), "raw")
 
 
 def look_alike_pairs(forms: DataFrame, salts: int = 16) -> DataFrame:

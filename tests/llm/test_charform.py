@@ -8,6 +8,7 @@ from factloom.llm import charform as C
 SAME = [
     ("Việt Nam", unicodedata.normalize("NFD", "Việt Nam")), ("Viet Nam", "Ｖｉｅｔ　Ｎａｍ"), ("secure", "ѕесurе"), ("ab c", "a​b \n c "),
     ("office", "oﬃce"), ("Đà", "Ðà"), ("ó", "ό"), ("a-b", "a‑b"), ("cc", "ⅽⅽ"), ("soft", "so­ft"), ("ss", "ß"),
+    ("house", "հօսѕе"), ("no", "ոօ"), ("vol", "ѵоӏ"), ("any", "αոү"), ("oy", "ᴏʏ"), ("AB", "ᎪᏴ"), ("ABLE", "ꓮꓐꓡꓰ"),
 ]
 OTHER = [("a", "A"), ("hoà", "hòa"), ("đ", "d"), ("1", "l"), ("x2", "x²"), ("ab", "a b"), ("tiến", "tiền"), ("1/2", "½"), ("(1)", "①")]
 
@@ -22,6 +23,14 @@ def test_different_texts_stay_different(a, b):
     assert C.visual_form(a) != C.visual_form(b)
 
 
+def test_folding_is_one_for_columns_and_texts(spark):
+    texts = ["ΟΔΟΣ", "οδος", "οδοσ", "Straße", "STRASSE", "İstanbul", "Ｔôi", "TÔI", "ĐÀ", "plain Text", "ﬃ", "Ꭺ", "ꭺ", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.t: r.f for r in df.select("t", C.folded_column(F.col("t")).alias("f")).collect()}
+    assert all(f == (None if t is None else C.folded(t)) for t, f in got.items())
+    assert got["ΟΔΟΣ"] == got["οδος"] == got["οδοσ"] and got["Straße"] == got["STRASSE"] and got["Ｔôi"] == got["TÔI"]
+
+
 def test_form_is_stable():
     for pair in SAME + OTHER:
         for t in pair:
