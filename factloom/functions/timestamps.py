@@ -5,6 +5,9 @@ order with the time before or after, dates with English or Vietnamese month word
 offsets and common zone abbreviations. Text that does not name a full day, or that holds words which
 are not part of a date, has no reading. A reading without zone is local to ``zone``; a local time that
 occurs twice is the earlier one, one skipped by a clock change keeps the offset valid before it.
+
+``interpretations`` adds what else a text could mean, at a cost: the later of two equal local times, and the other
+zones that share an abbreviation. Where the source's own zone uses the abbreviation, its offset is the one without cost.
 """
 
 from __future__ import annotations
@@ -25,6 +28,11 @@ ZONES = {
     "ist": 330, "ict": 420, "wib": 420, "sgt": 480, "hkt": 480, "awst": 480, "jst": 540, "kst": 540, "aest": 600, "aedt": 660, "acst": 570, "acdt": 630,
     "nzst": 720, "nzdt": 780, "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "brt": -180,
 }
+# Further offsets in minutes of abbreviations that several zones share.
+SHARED_ZONES = {
+    "ist": (60, 120), "bst": (360,), "cst": (480, -300), "cdt": (-240,), "est": (600,), "edt": (660,), "mst": (480, 390), "pst": (480,), "msk": (240,),
+}
+UNLIKELY = 1.5
 WORDS = set(
     "thứ hai ba tư năm sáu bảy chủ nhật ngày lúc vào at on cập đăng "
     "monday tuesday wednesday thursday friday saturday sunday mon tue tues wed thu thur thurs fri sat sun updated published posted uhr um".split()
@@ -62,21 +70,38 @@ def _minutes(offset: str) -> int | None:
     return sign * (hours * 60 + rest) if hours <= 15 and rest < 60 else None
 
 
-def _instant(y: int, m: int, d: int, clock: tuple[int, int, int], offset: int | None, zone: str | None) -> int | None:
+def _instants(y: int, m: int, d: int, clock: tuple[int, int, int], offset: int | None, zone: str | None) -> list[int]:
+    """The instants a local time names: one, two where it occurs twice (the earlier first), or none."""
     try:
         local = datetime(y + 2000 if y < 100 else y, m, d, *clock)
         if offset is not None:
-            return int(local.replace(tzinfo=timezone(timedelta(minutes=offset))).timestamp())
+            return [int(local.replace(tzinfo=timezone(timedelta(minutes=offset))).timestamp())]
         own = _zone(zone) if zone else None
-        return None if own is None else int(local.replace(tzinfo=own).timestamp())
+        if own is None:
+            return []
+        first, second = (int(local.replace(tzinfo=own, fold=f).timestamp()) for f in (0, 1))
+        return [first, second] if second > first else [first]
     except (ValueError, OverflowError):
-        return None
+        return []
 
 
-def _clock_of(m: re.Match[str] | None) -> tuple[tuple[int, int, int], int | None] | None:
-    """The time of day and the offset of a match; None if it is no valid time."""
+def _offsets(abbr: str | None, more: int, zone: str | None, at: datetime) -> list[tuple[int, float]]:
+    """(minutes, cost) of the offsets an abbreviation may stand for, ``more`` added; the source's own zone decides if it uses it."""
+    every = [ZONES[abbr], *SHARED_ZONES.get(abbr, ())] if abbr else [0]
+    likely = every[0]
+    own = _zone(zone) if zone and len(every) > 1 else None
+    if own is not None:
+        local = at.replace(tzinfo=own)
+        minutes = int(local.utcoffset().total_seconds()) // 60
+        if (local.tzname() or "").lower() == abbr and minutes in every:
+            likely = minutes
+    return sorted(((o + more, 0.0 if o == likely else UNLIKELY) for o in every), key=lambda x: x[1])
+
+
+def _clock_of(m: re.Match[str] | None) -> tuple[tuple[int, int, int], str | None, int | None] | None:
+    """The time of day, the zone's abbreviation and the offset in figures of a match; None if it is no valid time."""
     if m is None:
-        return (0, 0, 0), None
+        return (0, 0, 0), None, None
     g = m.groupdict()
     h, half = int(g["h"]), (g.get("half") or "").replace(".", "")
     if half:
@@ -85,29 +110,33 @@ def _clock_of(m: re.Match[str] | None) -> tuple[tuple[int, int, int], int | None
                 return None
         else:
             h = h % 12 + (12 if half in ("pm", "ch") else 0)
-    offset = ZONES[g["abbr"]] if g.get("abbr") else None
+    more = None
     if g.get("off"):
         more = _minutes(g["off"])
         if more is None:
             return None
-        offset = (offset or 0) + more
-    return (h, int(g["mi"]), int(g["s"] or 0)), offset
+    return (h, int(g["mi"]), int(g["s"] or 0)), g.get("abbr"), more
 
 
 def readings(raw: str | None, zone: str | None = None) -> list[tuple[int, int]]:
-    """(order, Unix seconds) of each reading, fractions cut off; empty if the text names no instant."""
+    """(order, Unix seconds) of each likely reading, fractions cut off; empty if the text names no instant."""
+    return [(order, at) for order, at, cost in interpretations(raw, zone) if cost == 0]
+
+
+def interpretations(raw: str | None, zone: str | None = None) -> list[tuple[int, int, float]]:
+    """(order, Unix seconds, cost) of each reading, likely ones first."""
     if raw is None:
         return []
     text = unicodedata.normalize("NFKC", raw).strip().lower().replace("−", "-")
     if not text or not any(c.isdigit() for c in text):
         return []
     if e := _EPOCH.fullmatch(text):
-        return [(FREE, int(e["s"]) if e["s"] else int(e["ms"]) // 1000)]
+        return [(FREE, int(e["s"]) if e["s"] else int(e["ms"]) // 1000, 0.0)]
     if c := _COMPACT.fullmatch(text):
         clock = (int(c["h"] or 0), int(c["mi"] or 0), int(c["s"] or 0))
         offset = None if not c["z"] else 0 if c["z"] == "z" else _minutes(c["z"])
-        at = _instant(int(c["y"]), int(c["m"]), int(c["d"]), clock, offset, zone)
-        return [] if at is None else [(FREE, at)]
+        found = _instants(int(c["y"]), int(c["m"]), int(c["d"]), clock, offset, zone)
+        return [(FREE, at, UNLIKELY * i) for i, at in enumerate(found)]
     for pattern in (_ISO, _VIET, _DMY_WORD, _MDY_WORD, _FIGURES):
         if found := pattern.search(text):
             break
@@ -119,16 +148,16 @@ def readings(raw: str | None, zone: str | None = None) -> list[tuple[int, int]]:
         rest = text[: found.start()] + " " + text[timed.end() :] if timed.start() == found.end() else "?"
     elif timed:
         rest = rest[: timed.start()] + " " + rest[timed.end() :]
-    clock = _clock_of(timed)
+    parts = _clock_of(timed)
     rest = rest.replace("\x00", " ")
-    if clock is None:
+    if parts is None:
         return []
-    if clock[1] is None and (alone := _ALONE.search(rest)):
-        offset = alone["off"] or alone["off2"]
+    clock, abbr, more = parts
+    if abbr is None and more is None and (alone := _ALONE.search(rest)):
+        offset, abbr = alone["off"] or alone["off2"], alone["abbr"]
         more = _minutes(offset) if offset else 0
         if more is None:
             return []
-        clock = (clock[0], ZONES.get(alone["abbr"], 0) + more)
         rest = rest[: alone.start()] + " " + rest[alone.end() :]
     if any(w not in WORDS for w in _LEFT.findall(rest)):
         return []
@@ -141,10 +170,14 @@ def readings(raw: str | None, zone: str | None = None) -> list[tuple[int, int]]:
         orders = [(FREE, MONTHS[g["mn"]] if g.get("mn") else int(g["m"]), int(g["d"]))]
     out = []
     for order, month, day in orders:
-        at = _instant(y, month, day, *clock, zone)
-        if at is not None:
-            out.append((order, at))
-    return out
+        try:
+            local = datetime(y + 2000 if y < 100 else y, month, day, *clock)
+        except ValueError:
+            continue
+        ways = [(None, 0.0)] if abbr is None and more is None else _offsets(abbr, more or 0, zone, local)
+        for offset, cost in ways:
+            out += [(order, at, cost + UNLIKELY * i) for i, at in enumerate(_instants(y, month, day, clock, offset, zone))]
+    return sorted(out, key=lambda x: x[2])
 
 
 def as_text(seconds: int) -> str:
