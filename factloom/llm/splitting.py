@@ -108,7 +108,8 @@ def split_long(records: DataFrame, key: str, text: str, max_chars: int, overlap:
         return pd.Series([cut_positions(t, max_chars, overlap) for t in texts], dtype=object)
 
     own = records.select(F.col(key).alias("record_key"), F.col(text).alias("t")).where(F.length("t") > max_chars)
-    cut = own.withColumn("ends", ends("t"))
+    # called non-deterministic so that no filter on its result is pushed below it, which would cut every text twice
+    cut = own.withColumn("ends", ends.asNondeterministic()("t"))
     pieces = cut.select("record_key", "t", "ends", F.posexplode("ends").alias("piece_no", "stop"))
     start = F.when(F.col("piece_no") == 0, 0).otherwise(F.get("ends", F.col("piece_no") - 1) - overlap)
     return pieces.select(

@@ -1,6 +1,7 @@
 """Token counts under a public tokenizer.
 
-The tokenizer's vocabulary file is a parameter; nothing of it is kept in the repository. A text is cut
+The tokenizer's vocabulary file is a parameter; nothing of it is kept in the repository. The file is read from the
+driver's disk and sent to the executors. A text is cut
 in front of each blank that follows a non-blank character. The tokenizer's own pattern never joins
 characters across such a place, so the counts of the chunks add up to the count of the text. Chunks
 repeat very often: a batch's distinct chunks are found by Arrow's dictionary encoding and only those
@@ -16,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,10 +91,12 @@ def with_token_counts(df: DataFrame, key: str, text: str, keep: list[str], path:
 
     own = df.select(key, *keep, F.col(text).alias("_text"))
     schema = T.StructType([*own.schema.fields[:-1], T.StructField("n_tokens", T.LongType())])
+    df.sparkSession.sparkContext.addFile(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = SparkFiles.get(os.path.basename(path))
         for b in batches:
-            n = pa.array(count_batch(b.column(b.num_columns - 1), path), pa.int64())
+            n = pa.array(count_batch(b.column(b.num_columns - 1), sent), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], "n_tokens"])
 
     return own.mapInArrow(count, schema)
