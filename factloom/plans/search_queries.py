@@ -37,18 +37,14 @@ s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM s)"
 
 
-def _bm25(spark: SparkSession, sf: str, every: int = 100) -> DataFrame:
-    docs, claims = table(spark, sf, "documents").select("doc_id", "text"), _claims(spark, sf, every)
+def _search(spark: SparkSession, sf: str, every: int = 100) -> retrieval.LexicalSearch:
     tokens = text.word_tokens(F.col("text"))
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(tokens))).first()
-    post = retrieval.asked_postings(docs, "doc_id", tokens, retrieval.query_terms(claims, "sample_id", tokens))
-    return retrieval.bm25(post, n, mean or 0.0, claims, "sample_id", tokens)
+    return retrieval.LexicalSearch(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", tokens, _claims(spark, sf, every), "sample_id", tokens)
 
 
 @query(f"WITH {_BM25}, {_RANKED} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank < 20")
 def r2_bm25_top(spark: SparkSession, sf: str) -> DataFrame:
-    best = retrieval.top(_bm25(spark, sf).withColumn("score", F.round("score", 9)), 20)
-    return best.select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    return _search(spark, sf).top(20).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query()
@@ -65,10 +61,8 @@ _COS = f"{_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.emb
 SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank < 10""")
 def r5_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    q = retrieval.small(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5_000)
-    both = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")).join(q, F.col("doc_id") != F.col("query_id"))
-    scored = both.select("query_id", "doc_id", F.round(retrieval.cosine(F.col("q"), F.col("v")), 9).alias("score"))
-    return retrieval.top(scored, 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    best = retrieval.nearest(v, "vec_id", "embedding", v.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    return best.select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(f"""WITH {_BM25}, {_RANKED}, l AS (SELECT query_id, doc_id, rank FROM r WHERE rank < 50),
@@ -76,7 +70,7 @@ e AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY
 f AS (SELECT query_id, doc_id, l.rank AS r1, e.rank AS r2, greatest(50, count(*) OVER (PARTITION BY query_id)) AS m FROM l FULL JOIN e USING (query_id, doc_id))
 SELECT query_id, doc_id, round(1.0 / (60 + coalesce(r1, m)) + 1.0 / (60 + coalesce(r2, m)), 9) AS rrf_score FROM f""")
 def r8_rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    lexical = retrieval.top(_bm25(spark, sf).withColumn("score", F.round("score", 9)), 50)
+    lexical = materialize(_search(spark, sf).top(50), "lexical")
     latest = table(spark, sf, "documents").where("published_at is not null").orderBy(F.desc("published_at"), "doc_id").limit(50).select("doc_id", "published_at")
     w = W.partitionBy("query_id").orderBy(F.desc("published_at"), "doc_id")
     dense = lexical.select("query_id").distinct().withColumn("_", F.lit(1)).join(F.broadcast(latest.withColumn("_", F.lit(1))), "_").select("query_id", "doc_id", (F.row_number().over(w) - 1).alias("rank"))
@@ -120,27 +114,101 @@ def r16_cyclicity(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.cyclicity(_history(spark, sf), "grp", "ts").select("grp", F.round("cyclicity", 5).alias("cyclicity"))
 
 
-def _hybrid(spark: SparkSession, sf: str, k: int = 5, every: int = 100, whole: bool = False) -> DataFrame:
-    """The hybrid ranking: over all documents with ``whole``, else over the 100 best by BM25, as the SQL of r21, r24 and r25 states."""
-    scored = _bm25(spark, sf, every).withColumn("score", F.round("score", 9))
-    # without dense vectors for the texts, a document's order stands in for its dense rank
-    if whole:
-        asked = _claims(spark, sf, every).where(F.trim("text") != "").select(F.col("sample_id").alias("query_id"))
-        ranked = retrieval.fuse_whole(materialize(scored, "scores"), table(spark, sf, "documents"), asked)
-    else:
-        ranked = retrieval.top(scored, 100).select("query_id", "doc_id", retrieval.rrf((F.col("rank"), 1.0), (F.col("doc_id").cast("double"), 1.0)).alias("rrf_score"))
+def _hybrid(spark: SparkSession, sf: str, k: int = 5, every: int = 100) -> DataFrame:
+    """The hybrid ranking over all documents; without dense vectors for the texts, a document's order stands in for its dense rank."""
+    asked = _claims(spark, sf, every).where(F.trim("text") != "").select(F.col("sample_id").alias("query_id"))
+    ranked = retrieval.fuse_whole(_search(spark, sf, every), table(spark, sf, "documents"), asked)
     history = _history(spark, sf)
     groups = retrieval.trend(history, "grp", "ts", _as_of()).select("grp", "trend").join(retrieval.cyclicity(history, "grp", "ts"), "grp", "full")
     return retrieval.hybrid(ranked, history, groups, _as_of(), k=k)
 
 
-_HYBRID = f"""{_BM25}, {_RANKED}, {_TREND}, {_CYCLE},
-fu AS (SELECT query_id, doc_id, 1.0::double / (60 + rank) + 1.0::double / (60 + doc_id) AS rrf FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM s) WHERE rank < 100),
-ca AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS pos FROM fu QUALIFY pos <= 20),
+_HYBRID = f"""{_BM25}, {_TREND}, {_CYCLE},
+al AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, doc_id) - 1 AS rank
+ FROM (SELECT sample_id AS query_id FROM labeled_claims WHERE sample_id % 100 = 0 AND trim(text) <> '') CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN s USING (query_id, doc_id)),
+fu AS (SELECT query_id, doc_id, 1.0::double / (60 + rank) + 1.0::double / (60 + doc_id) AS rrf FROM al),
+ca AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, doc_id) AS pos FROM fu QUALIFY pos <= 20),
 nm AS (SELECT *, rrf / greatest(max(rrf) OVER (PARTITION BY query_id), 1e-8) AS norm FROM ca),
 sc AS (SELECT query_id, nm.doc_id, pos, norm, coalesce(exp(-coalesce(0.1 / (1 + exp(-trend)), 0.1) * greatest(0, ({_AS_OF_US} - epoch_us(published_at)) / 8.64e10)), 0) AS rec, coalesce(cyclicity, 0.5) AS cyc
  FROM nm JOIN documents dd ON dd.doc_id = nm.doc_id LEFT JOIN tr ON tr.grp = coalesce(nullif(dd.source, ''), 'default') LEFT JOIN cy ON cy.grp = coalesce(nullif(dd.source, ''), 'default')),
-fi AS (SELECT *, 0.7 * norm + 0.3 * (0.5 * rec + 0.5 * cyc) AS score FROM sc), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS final_rank FROM fi)"""
+fi AS (SELECT *, 0.7 * norm + 0.3 * (0.5 * rec + 0.5 * cyc) AS score FROM sc), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, pos) AS final_rank FROM fi)"""
+
+
+def _pooled(spark: SparkSession, sf: str, column: str = "text", k: int = 5, use_temporal: bool = True) -> DataFrame:
+    """Two searches of a bounded pool each, fused: BM25 and the nearest of hashed text vectors.
+
+    Whole articles as queries are searched by words only, which then weigh 1.35, and re-ranked by how much of them stands in the
+    document. A group's history is that of the documents in a query's pool. The candidates are 10 times ``k``, at least 20.
+    """
+    asked = table(spark, sf, "labeled_claims").where("sample_id % 100 = 0").select(F.col("sample_id").alias("query_id"), F.col(column).alias("asked"))
+    asked = search.prepared(asked, "asked").withColumn("flat", text.collapse_blank(F.col("asked"))).where("flat <> ''")
+    asked = materialize(asked.select("query_id", "flat", "verbatim", "search_text"), "asked")
+    docs, tokens = table(spark, sf, "documents"), text.word_tokens(F.col("text"))
+    n_docs, wide = docs.count(), max(20, 10 * k)
+    pool = search.pool_size(n_docs, wide)
+    words = retrieval.LexicalSearch(docs, "doc_id", tokens, asked, "query_id", text.word_tokens(F.col("search_text"))).top(pool)
+    encode = retrieval.word_hash_encoder(64)
+    vectors = retrieval.encoded(docs, ["doc_id"], tokens, encode)
+    meant = retrieval.encoded(asked.where("not verbatim"), ["query_id"], text.word_tokens(F.col("search_text")), encode)
+    dense = retrieval.nearest(vectors, "doc_id", "vector", meant, "query_id", "vector", pool, itself=True)
+    both = retrieval.fuse(words, dense, pool).join(retrieval.small(asked.select("query_id", "verbatim")), "query_id")
+    usual, whole = (retrieval.rrf((F.coalesce("r1", "missing"), w), (F.coalesce("r2", "missing"), 1.0)) for w in (1.0, 1.35))
+    fused = materialize(both.select("query_id", "doc_id", F.when(F.col("verbatim"), whole).otherwise(usual).alias("rrf_score"), "union_no", "verbatim"), "pool")
+    known = docs.select("doc_id", retrieval.group_key(F.col("doc_type"), F.col("source")).alias("grp"), F.col("published_at").alias("ts"), F.col("text").alias("body"))
+    history = fused.join(known.drop("body"), "doc_id").select(F.struct("query_id", "grp").alias("own"), "ts")
+    groups = retrieval.trend(history, "own", "ts", _as_of()).select("own", "trend").join(retrieval.cyclicity(history, "own", "ts"), "own", "full").select("own.*", "trend", "cyclicity")
+    ranked = fused.join(retrieval.small(asked.select("query_id", "flat")), "query_id")
+    bonus = F.when(F.col("verbatim"), retrieval.verbatim_bonus(F.col("flat"), text.collapse_blank(F.col("body")), text.overlap_ratio(F.col("flat"), F.col("body")))).otherwise(0.0)
+    return retrieval.hybrid(ranked, known, groups, _as_of(), wide, k, use_temporal=use_temporal, bonus=bonus)
+
+
+def _pooled_sql(column: str, use_temporal: bool = True, pool: int = 500, wide: int = 50) -> str:
+    words = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')"
+    plain = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
+    synonyms = " || ".join(f"CASE WHEN contains(lower(flat), '{t}') THEN ' {' '.join(y[:2])}' ELSE '' END" for t, y in text.GLOSSARY)
+    code = "SELECT {0}, c % 64 AS k, CAST(sum(1 - 2 * ((c // 64) % 2)) AS double) AS x FROM (SELECT {0}, CAST('0x' || substr(md5(w), 1, 4) AS int) AS c FROM (SELECT {0}, unnest(t) AS w FROM {1})) GROUP BY ALL"
+    temporal = "coalesce(exp(-coalesce(0.1 / (1 + exp(-trend)), 0.1) * greatest(0, (" + _AS_OF_US + " - epoch_us(published_at)) / 8.64e10)), 0) AS rec, coalesce(cyclicity, 0.5) AS cyc"
+    trends = _TREND[_TREND.index("t AS ("):]
+    return f"""WITH fl AS (SELECT sample_id AS query_id, trim(regexp_replace(coalesce({column}, ''), '[{text.BLANK}]+', ' ', 'g')) AS flat FROM labeled_claims WHERE sample_id % 100 = 0),
+qq AS (SELECT *, CASE WHEN v THEN flat ELSE flat || {synonyms} END AS st FROM (SELECT *, length(flat) >= 1200 OR len(regexp_extract_all(lower(flat), '[a-z0-9]+')) >= 200 AS v FROM fl WHERE flat <> '')),
+qt AS (SELECT query_id, v, {words("st")} AS t FROM qq), d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), c AS (SELECT count(*) AS n, avg(len(t)) AS al, least(count(*), {pool}) AS pool FROM d),
+po AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM po GROUP BY ALL), q AS (SELECT DISTINCT query_id, unnest(t) AS term FROM qt),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), c GROUP BY query_id, doc_id),
+l AS (SELECT query_id, doc_id, r1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS r1 FROM s), c WHERE r1 < pool),
+dv AS ({code.format("doc_id", "d")}), qv AS ({code.format("query_id", "(SELECT * FROM qt WHERE NOT v)")}),
+dn AS (SELECT doc_id, sqrt(sum(x * x)) AS dn FROM dv GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(x * x)) AS qn FROM qv GROUP BY query_id),
+dt AS (SELECT query_id, doc_id, sum(qv.x * dv.x) AS dot FROM qv JOIN dv USING (k) GROUP BY ALL),
+e AS (SELECT query_id, doc_id, r2 FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(dot, 0) / (dn * qn), 9) DESC, doc_id) - 1 AS r2 FROM (SELECT * FROM qn, dn WHERE qn > 0 AND dn > 0) LEFT JOIN dt USING (query_id, doc_id)), c WHERE r2 < pool),
+f AS (SELECT query_id, doc_id, r1, r2, greatest((SELECT pool FROM c), count(*) OVER (PARTITION BY query_id)) AS m FROM l FULL JOIN e USING (query_id, doc_id)),
+g AS (SELECT query_id, doc_id, v, flat, CASE WHEN v THEN 1.35::double ELSE 1.0::double END / (60 + coalesce(r1, m)) + 1.0::double / (60 + coalesce(r2, m)) AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY r1 NULLS LAST, r2) AS un FROM f JOIN qq USING (query_id)),
+h AS (SELECT query_id || '|' || coalesce(nullif(doc_type, ''), nullif(source, ''), 'default') AS grp, published_at AS ts FROM g JOIN documents USING (doc_id) WHERE published_at IS NOT NULL), {trends}, {_CYCLE},
+ca AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, un) AS pos FROM g QUALIFY pos <= {wide}),
+nm AS (SELECT *, rrf / greatest(max(rrf) OVER (PARTITION BY query_id), 1e-8) AS norm FROM ca),
+sc AS (SELECT query_id, nm.doc_id, pos, norm, {temporal if use_temporal else "0.5 AS rec, 0.5 AS cyc"}, trim(regexp_replace(coalesce(text, ''), '[{text.BLANK}]+', ' ', 'g')) AS body, flat, v
+ FROM nm JOIN documents dd USING (doc_id) LEFT JOIN tr ON tr.grp = query_id || '|' || coalesce(nullif(doc_type, ''), nullif(source, ''), 'default') LEFT JOIN cy ON cy.grp = query_id || '|' || coalesce(nullif(doc_type, ''), nullif(source, ''), 'default')),
+bo AS (SELECT *, CASE WHEN NOT v THEN 0 WHEN length(flat) >= 40 AND contains(lower(body), lower(flat)) THEN 0.35 WHEN len({plain("flat")}) = 0 OR len({plain("body")}) = 0 THEN 0 ELSE 0.15 * len(list_intersect({plain("flat")}, {plain("body")})) / len({plain("flat")}) END AS bonus FROM sc),
+fi AS (SELECT *, {"0.7 * norm + 0.3 * (0.5 * rec + 0.5 * cyc)" if use_temporal else "norm"} + bonus AS score FROM bo), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, pos) AS final_rank FROM fi)
+"""
+
+
+@query(_pooled_sql("evidence") + "SELECT query_id, doc_id, round(score, 5) AS score, round(norm, 6) AS rrf_score, round(rec, 6) AS recency_score, round(cyc, 5) AS cyclicity_score, v AS verbatim, final_rank FROM rk WHERE final_rank <= 5")
+def r9_pooled_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    best = _pooled(spark, sf, "evidence")
+    rounded = [F.round(c, n).alias(a) for c, n, a in (("score", 5, "score"), ("norm", 6, "rrf_score"), ("recency_score", 6, "recency_score"), ("cyclicity_score", 5, "cyclicity_score"))]
+    return best.select("query_id", "doc_id", *rounded, "verbatim", "final_rank")
+
+
+@query(_pooled_sql("text", use_temporal=False) + "SELECT query_id, doc_id, round(score, 5) AS score, final_rank FROM rk WHERE final_rank <= 5")
+def r18_without_time(spark: SparkSession, sf: str) -> DataFrame:
+    return _pooled(spark, sf, use_temporal=False).select("query_id", "doc_id", F.round("score", 5).alias("score"), "final_rank")
+
+
+@query(_pooled_sql("text") + """, lf AS (SELECT query_id, final_rank - 1 AS slot, unnest([0, 1, 2, 3]) AS feature, unnest([score, norm, rec, cyc]) AS x FROM rk WHERE final_rank <= 5)
+SELECT query_id, slot, feature, round(coalesce(x, 0), 4) AS x FROM (SELECT * FROM (SELECT DISTINCT query_id FROM rk), (SELECT unnest(range(0, 8)) AS slot), (SELECT unnest([0, 1, 2, 3]) AS feature)) LEFT JOIN lf USING (query_id, slot, feature)""")
+def r24_feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    rows = retrieval.feature_matrix(_pooled(spark, sf), 8).select("query_id", F.posexplode("features").alias("slot", "f"))
+    return rows.select("query_id", F.col("slot").cast("long").alias("slot"), F.posexplode("f").alias("feature", "x")).select("query_id", "slot", "feature", F.round("x", 4).alias("x"))
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, doc_id, round(score, 5) AS score, final_rank FROM rk WHERE final_rank <= 5")
@@ -330,4 +398,4 @@ def s4_daily_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The hybrid ranking of all claims over the documents; meant for small tables of claims."""
-    return _hybrid(spark, sf, every=1, whole=True).select("query_id", "doc_id", F.round("score", 5).alias("score"), "final_rank")
+    return _hybrid(spark, sf, every=1).select("query_id", "doc_id", F.round("score", 5).alias("score"), "final_rank")

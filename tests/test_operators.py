@@ -33,6 +33,54 @@ def test_bm25_against_brute_force(spark):
             assert got.get((qi, di), 0.0) == pytest.approx(s)
 
 
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_lexical_search_and_its_bests_against_brute_force(spark, limit):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(r.choices(words, k=r.randint(1, 25)))) for i in range(90)] + [(90, None), (91, "")]
+    queries = [(i, " ".join(r.choices(words, k=5))) for i in range(4)] + [(4, "absent"), (5, None), (6, "w1 w1")]
+    d, q = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), spark.createDataFrame(queries, "q bigint, text string")
+    tok = text.word_tokens(F.col("text"))
+    mean = sum(len((t or "").split()) for _, t in docs) / len(docs)
+    want = {}
+    for qi, qt in queries:
+        for di, dt in docs:
+            t, s = (dt or "").split(), 0.0
+            for w in set((qt or "").split()):
+                df = sum(w in (x or "").split() for _, x in docs)
+                s += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) if w in t else 0
+            if s:
+                want[qi, di] = s
+    found = retrieval.LexicalSearch(d, "doc_id", tok, q, "q", tok, limit=limit)
+    assert {(x.query_id, x.doc_id): x.score for x in found.scores().collect()} == pytest.approx(want)
+    for k in (1, 7, 500):
+        got = {(x.query_id, x.rank): x.doc_id for x in found.top(k).collect()}
+        for qi, _ in queries:
+            best = sorted((di for a, di in want if a == qi), key=lambda di: (-round(want[qi, di], 9), di))[:k]
+            assert [got[qi, i] for i in range(len(best))] == best and (qi, len(best)) not in got
+    none = retrieval.LexicalSearch(d.limit(0), "doc_id", tok, q, "q", tok)
+    assert none.top(3).count() == 0 and retrieval.LexicalSearch(d, "doc_id", tok, q.limit(0), "q", tok).top(3).count() == 0
+
+
+def test_nearest_in_blocks_against_brute_force(spark):
+    r = random.Random(8)
+    rows = [(i, [r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(150)] + [(150, None), (151, [0.0] * 4), (152, [1.0] * 3), (153, [2.0] * 3), (None, [1.0] * 4), (154, [1.0, None, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(4)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))  # noqa: E731, B905
+    known = {i: v for i, v in rows if i is not None and v and None not in v and any(v)}
+    asked = [i for i in known if i % 9 == 0] + [152]
+    for block in (1000, 5):
+        got = {}
+        for x in retrieval.nearest(df, "id", "v", df.where("id % 9 = 0 or id in (150, 151, 152)"), "id", "v", 6, block=block).collect():
+            got.setdefault(x.query_id, {})[x.rank] = x.doc_id
+        want = {q: sorted((d for d in known if d != q and len(known[d]) == len(known[q])), key=lambda d: (-round(cos(known[q], known[d]), 9), d))[:6] for q in asked}
+        assert {q: [g[i] for i in range(len(g))] for q, g in got.items()} == want
+    assert retrieval.nearest(df, "id", "v", df.limit(0), "id", "v", 3).count() == 0 and retrieval.nearest(df.limit(0), "id", "v", df, "id", "v", 3).count() == 0
+    assert df.where("id = 152").select(retrieval.of_dimension(F.col("v"), 3).alias("v")).first().v == [1.0] * 3
+    with pytest.raises(Exception, match="a vector of 4 elements"):
+        df.where("id = 152").select(retrieval.of_dimension(F.col("v"), 4)).collect()
+
+
 def _cyclicity(days):
     counts = np.bincount(days)
     if len(days) < 10 or len(counts) < 7:
