@@ -7,7 +7,7 @@ five kinds). Spans then pass an exact check of what their kind must hold (enough
 two name words).
 
 Inference is numpy, many windows at a time; weights are a small file of this package, trained by
-``factloom.llm.pii_train`` from labelled spans. Null texts stay null; an empty text has no spans.
+``factloom.llm.pii_train`` from labelled spans. Redaction replaces the characters an item takes in the text as it is. Null texts stay null; an empty text has no spans.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import io
 import pkgutil
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.charform import visual_form
+from factloom.llm.charform import visual_form, visual_pieces
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 N_LABELS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
@@ -172,6 +171,7 @@ def spans_of(labels: np.ndarray) -> list[tuple[int, int, str]]:
 
 
 _NAME_WORD = re.compile(r"[^\W\d_]{2,}")
+_SOCIAL = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}")
 
 
 def plausible(span: str, kind: str) -> bool:
@@ -188,6 +188,35 @@ def plausible(span: str, kind: str) -> bool:
     return n == 0 and len(_NAME_WORD.findall(span)) >= 2
 
 
+def by_shape(span: str, kind: str) -> str:
+    """Phone or identity number, where the number of figures and their groups tell them apart; else the kind as tagged.
+
+    Identity numbers have 9 or 12 figures, a letter with 7 or 8, or the groups of a social security number; phone
+    numbers have 10 or 11, or begin with a plus or with 00.
+    """
+    if kind not in ("phone", "id_number"):
+        return kind
+    text = span.strip("()<>[]:,;. ")
+    n = sum(c.isdigit() for c in text)
+    if text[:1] == "+" or span.lstrip()[:2] == "(+" or text[:2] == "00" and n > 12:
+        return "phone"
+    if _SOCIAL.fullmatch(text) or text[:1].isalpha() and text[:1] not in "oO" and n in (7, 8) or n in (9, 12) and text[:1] not in "oO":
+        return "id_number"
+    return "phone" if n in (10, 11) or text[:1] in "oO" and n >= 8 else kind
+
+
+def _reach(form: str, start: int, end: int, kind: str) -> tuple[int, int]:
+    """A mail address or number reaches as far as its characters do: the tagger may have lost its first or last ones."""
+    more = r"[\w.+-]" if kind == "email" else r"\d" if kind in ("phone", "id_number") else None
+    while more and start > 0 and re.match(more, form[start - 1]) and form[start - 1] not in "._-+":
+        start -= 1
+        while kind == "email" and start > 1 and form[start - 1] in "._-+" and re.match(r"\w", form[start - 2]):
+            start -= 1
+    while more and end < len(form) and re.match(r"\w" if kind == "email" else more, form[end]):
+        end += 1
+    return start, end
+
+
 @lru_cache(1)
 def tagger() -> Tagger:
     data = pkgutil.get_data("factloom.llm", "pii_weights.npz")
@@ -204,10 +233,44 @@ def find(texts: list[str | None], model: Tagger | None = None) -> list[list[tupl
     for lo in range(0, len(distinct), 2048):
         part = distinct[lo : lo + 2048]
         for form, labels in zip(part, model.label(part), strict=True):
-            found[form] = [s for s in spans_of(labels) if plausible(form[s[0] : s[1]], s[2])]
+            found[form] = [checked for s in spans_of(labels) if (checked := _checked(form, *s))]
     return [found.get(f, []) if f else [] for f in forms]
 
 
+def _checked(form: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
+    """A span after the exact checks, or nothing."""
+    while start < end and form[start].isspace():
+        start += 1
+    while start < end and form[end - 1].isspace():
+        end -= 1
+    if kind == "person" and (dot := re.search(r"[^\W\d_]{3,}[.!?]\s", form[start:end])):
+        end = start + dot.end() - 2  # a name does not go on behind the end of a sentence
+    start, end = _reach(form, start, end, kind)
+    kind = by_shape(form[start:end], kind)
+    return (start, end, kind) if plausible(form[start:end], kind) else None
+
+
+def places(text: str) -> list[tuple[int, int]] | None:
+    """For each character of the visual form (line feeds kept) where it stands in the text; None where that cannot be told."""
+    clusters: list[list] = []
+    for i, piece in enumerate(visual_pieces(text)):
+        if piece and clusters and unicodedata.combining(piece[0]):
+            clusters[-1][0] += piece
+            clusters[-1][2] = i + 1
+        elif piece:
+            clusters.append([piece, i, i + 1])
+    form, out = "", []
+    for piece, a, b in clusters:
+        for c in unicodedata.normalize("NFC", piece):
+            c = " " if c.isspace() and c != "\n" else c
+            if c == " " and form.endswith(" "):
+                out[-1] = (out[-1][0], b)
+            else:
+                form += c
+                out.append((a, b))
+    return out if form == visual_form(text, True) else None
+
+
 def _kinds(texts: pd.Series) -> pd.Series:
     return pd.Series([sorted({k for _, _, k in s}) for s in find(list(texts))], dtype=object)
 
@@ -216,10 +279,12 @@ def _redact(texts: pd.Series) -> pd.Series:
     out = []
     for text, spans in zip(texts, find(list(texts)), strict=True):
         if spans:
-            form = visual_form(text, True)
+            at = places(text)
+            if at is None:
+                text = visual_form(text, True)
+                at = [(i, i + 1) for i in range(len(text))]
             for a, b, kind in reversed(spans):
-                form = f"{form[:a]}[{kind.upper()}]{form[b:]}"
-            text = form
+                text = f"{text[: at[a][0]]}[{kind.upper()}]{text[at[b - 1][1] :]}"
         out.append(text)
     return pd.Series(out, dtype=object)
 
@@ -232,16 +297,10 @@ def with_kinds(records: DataFrame, key: str, text: str, kind: str) -> DataFrame:
 
 
 def redacted(records: DataFrame, text: str) -> DataFrame:
-    """``records`` with the items in ``text`` replaced by placeholders such as [PHONE].
+    """``records`` with the items in ``text`` replaced by placeholders such as [PHONE]; all else stays as it is.
 
-    A text with items comes out in its visual form, so that placeholders sit on what the tagger read; others
-    are unchanged.
+    Only a text whose characters do not fall into single letters with their accents (as parted Korean syllables) comes out in
+    its visual form.
     """
     udf = F.pandas_udf(_redact, T.StringType())
     return records.withColumn(text, udf(text))
-
-
-def label_stream(texts: Iterator[str]) -> Iterator[list[tuple[int, int, str]]]:
-    """Spans of single texts, for small uses and tests."""
-    for t in texts:
-        yield find([t])[0]

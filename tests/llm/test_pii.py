@@ -1,9 +1,16 @@
 import random
+import re
+import sys
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from factloom.llm import pii, pii_train
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import pii_handmade  # noqa: E402
+
 PLAIN = ["The price of Velmora moved by 3.5% and many orders stayed pending, block 904347248", "Cảm ơn ad nhiều, tổng 578.553.295 đồng, mã lệnh 860186136809", "theo dõi kênh @jormora_vn, ví 0x82e3330cf21d131ceb1e31f021310f1b8b70aa0a", "Sàn giao dịch Ostpex tại thành phố Lạc Giang sẽ nâng cấp máy chủ v8.15.7 ngày 20-10-2024"]
 
 
@@ -25,6 +32,38 @@ def test_negatives_and_examples():
     assert kinds("I live at 4B Old Mill Lane, Hartlow and work") == ["address"]
 
 
+@pytest.mark.parametrize("name", ["SENTENCES", "FRESH"])
+def test_handmade_sentences(name):
+    """Exact spans in sentences no training has seen."""
+    both = got_n = want_n = 0
+    texts, spans = [], []
+    for s in getattr(pii_handmade, name):
+        text, own, at = "", set(), 0
+        for m in re.finditer(r"\{(\w+)\|([^}]*)\}", s):
+            text += s[at : m.start()]
+            own.add((len(text), len(text) + len(m[2]), m[1]))
+            text, at = text + m[2], m.end()
+        texts.append(text + s[at:])
+        spans.append(own)
+    for want, found in zip(spans, pii.find(texts), strict=True):
+        both, got_n, want_n = both + len(want.intersection(found)), got_n + len(found), want_n + len(want)
+    assert both >= 0.9 * got_n and both >= 0.9 * want_n
+
+
+def test_numbers_by_their_shape():
+    kinds = {"001302004567": "id_number", "508-22-7719": "id_number", "B1234567": "id_number", "123 456 789": "id_number", "0912345678": "phone", "+84 912 345 678": "phone", "0084912345678": "phone", "84912345678": "phone", "O912 345 678": "phone"}
+    assert {t: pii.by_shape(t, "phone") for t in kinds} == {t: pii.by_shape(t, "id_number") for t in kinds} == kinds
+    assert pii.by_shape("x@y.example", "email") == "email"
+
+
+def test_redaction_leaves_the_rest_alone():
+    raw = "Ｇọi\u00a0ngay  sđt\u200b 0912\u00a0345 678\u200b nhé!\r\ncafe\u0301 ½"
+    assert list(pii._redact(pii.pd.Series([raw, None, ""]))) == ["Ｇọi\u00a0ngay  sđt\u200b [PHONE]\u200b nhé!\r\ncafe\u0301 ½", None, ""]
+    for t in (raw, "e\u0301\u0323x  \t y", "ﬁ ß", "\u0301a", "", "\u1100\u1161"):
+        at = pii.places(t)
+        assert at is None or len(at) == len(pii.visual_form(t, True))
+
+
 def test_windows_are_reconciled():
     long = " ".join(PLAIN * 30)
     at = len(long)
