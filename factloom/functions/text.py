@@ -37,6 +37,11 @@ PROMPT = (
     "- C: There is not enough evidence to support or refute the claim\n\nClaim: {claim}\n\nEvidence: {evidence}\n\nConclusion: "
 )
 # Fixed value: phrases that give a generated claim away.
+# Words too common in English text to search for.
+STOPWORDS = tuple(
+    "a an the and or but if then than so of in on at by for from with to as is are was were be been being am do does did have has had it its this that these those he she they we you i his her their our your my "
+    "me him them us not no nor can could will would shall should may might must about into over under again more most other some such only own same too very".split()
+)
 LEAKS = ("evidence:", "false because", "true because", "is supported by", "contradicts", "return only", "json")
 
 
@@ -108,6 +113,20 @@ def prompt(claim: Column, evidence: Column, template: str = PROMPT) -> Column:
     return F.concat(F.lit(head), F.coalesce(claim, F.lit("")), F.lit(middle), F.coalesce(evidence, F.lit("")), F.lit(tail))
 
 
+def retrieval_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Words of the lower-cased text without addresses and stop words; only runs of letters and figures count.
+
+    Part-of-speech tags and base forms need language data, which a caller may apply to the array.
+    """
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"http\S+|www\.\S+", " ")
+    return F.filter(F.regexp_extract_all(bare, F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: ~w.isin(*stopwords))
+
+
+def feedback_id(post_id: Column) -> Column:
+    """The base64 form of a post's feedback id."""
+    return F.base64(F.encode(F.concat(F.lit("feedback:"), post_id), "UTF-8"))
+
+
 def reply_json(reply: Column) -> Column:
     """The outermost braces of a model reply, without its thinking part; null if there are none."""
     return F.nullif(F.regexp_extract(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"(?s)(\{.*\})", 1), F.lit(""))

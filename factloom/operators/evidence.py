@@ -43,13 +43,24 @@ def evidence_items(text: Column) -> Column:
     return F.when(text.contains("|||"), F.split(text, "\\|\\|\\|")).otherwise(F.split(text, "\n"))
 
 
-def evidence_list(text: Column) -> Column:
-    """Statements parted at line feeds or a period with two blanks, of 10 characters and more, each once whatever its case."""
-    parts = F.filter(F.transform(F.split(text, "\\n+|\\.  "), F.trim), lambda x: F.length(x) >= 10)
+def distinct_statements(items: Column) -> Column:
+    """Items of 10 characters and more, trimmed, each once whatever its case."""
+    parts = F.filter(F.transform(items, F.trim), lambda x: F.length(x) >= 10)
     low = F.transform(parts, F.lower)
     return F.filter(parts, lambda x, i: F.array_position(low, F.lower(x)) == (i + 1).cast("long"))
 
 
+def evidence_list(text: Column) -> Column:
+    """The distinct statements of a text parted at line feeds or a period with two blanks."""
+    return distinct_statements(F.split(text, "\\n+|\\.  "))
+
+
+def with_evidence_list(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the distinct items of a list literal, else those of ``evidence_list``, in a column."""
+    own = df.withColumn("_literal", literal_list(F.col(text)))  # a column of its own: a function over arrays may not call Python
+    return own.withColumn(name, F.coalesce(distinct_statements(F.col("_literal")), evidence_list(F.col(text)))).drop("_literal")
+
+
 def budgeted(df: DataFrame, key: str, items: Column, budget: int, cost: Column | None = None) -> DataFrame:
     """(key, evidence, n_items): numbered items until the first that would exceed the budget.
 
@@ -99,8 +110,3 @@ def chunks(df: DataFrame, key: str, url: Column, title: Column, text: Column, mo
 def timed(text: Column, time: Column) -> Column:
     """An evidence text with the time of its information in front; the text alone without a time."""
     return F.coalesce(F.concat(F.lit("[Thời gian của thông tin: "), F.date_format(time, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC] "), text), text)
-
-
-def numbered_query(text: Column) -> Column:
-    """A claim made ready for a query: blanks collapsed."""
-    return collapse_blank(text)

@@ -41,4 +41,19 @@ def delete(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def in_split(key: Column, share: float, seed: int = 42) -> Column:
     """Whether a row belongs to the first part of a stable split: by a hash, so it never moves."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") % 10_000 < int(share * 10_000)
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``place``, from 1, in the given order: partitions by range are counted first, so no task sees all rows.
+
+    The order must tell rows apart; equal rows are numbered in any order.
+    """
+    from factloom.storage import materialize
+
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(parts.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    return rows.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

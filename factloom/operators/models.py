@@ -40,16 +40,21 @@ def gated(lm: Column, retrieval: Column, beta: Column) -> Column:
     return F.zip_with(lm, wide, lambda a, b: beta * a + (1 - beta) * b)
 
 
-def info_nce(positive: Column, negatives: Column, temperature: float) -> Column:
-    """-ln of the positive's share among the exponentials of all similarities."""
+def info_nce(positive: Column, negatives: Column, temperature: float, penalty: Column | float = 0.0) -> Column:
+    """-ln of the positive's share among the exponentials of all similarities, and a penalty such as ``ridge`` gives."""
     p = F.exp(positive / temperature)
-    return -F.log(p / (p + F.aggregate(negatives, F.lit(0.0), lambda a, v: a + F.exp(v / temperature)) + 1e-8) + 1e-8)
+    return -F.log(p / (p + F.aggregate(negatives, F.lit(0.0), lambda a, v: a + F.exp(v / temperature)) + 1e-8) + 1e-8) + penalty
 
 
-def cross_entropy(probabilities: Column, label: Column, weights: list[float]) -> Column:
-    """Weighted negative log-probability of the label."""
+def ridge(strength: float, *weights: Column) -> Column:
+    """``strength`` times the sum of the squared weights."""
+    return F.lit(strength) * sum((w * w for w in weights[1:]), weights[0] * weights[0])
+
+
+def cross_entropy(probabilities: Column, label: Column, weights: list[float], penalty: Column | float = 0.0) -> Column:
+    """Weighted negative log-probability of the label, and a penalty such as ``ridge`` gives."""
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), label + 1)
-    return -w * F.log(F.element_at(probabilities, label + 1) + 1e-12)
+    return -w * F.log(F.element_at(probabilities, label + 1) + 1e-12) + penalty
 
 
 def unit(x: Column) -> Column:
@@ -58,10 +63,11 @@ def unit(x: Column) -> Column:
     return F.transform(x, lambda v: v / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
-    """(cluster, centroid): mean vectors; one aggregation per dimension value, no vectors collected."""
+def centroids(df: DataFrame, cluster: str, vector: str, normalized: bool = False) -> DataFrame:
+    """(cluster, centroid): mean vectors, of length 1 with ``normalized``; one aggregation per dimension value, no vectors collected."""
     parts = df.select(cluster, F.posexplode(vector).alias("d", "x")).groupBy(cluster, "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return parts.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("centroid"))
+    out = parts.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("centroid"))
+    return out.withColumn("centroid", unit(F.col("centroid"))) if normalized else out
 
 
 def medoids(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:

@@ -51,6 +51,36 @@ def flat_rows(posts: DataFrame) -> DataFrame:
     return out.select(*keep, F.col("r.text").alias("comment_text"), F.col("r.reactions").alias("comment_reactions"), F.col("r.reply").alias("is_reply"), F.col("r.parent").alias("parent_comment"))
 
 
+def nested(comments: DataFrame) -> DataFrame:
+    """(post_id, comments) of comment rows (comment_key, post_id, comment_text, comment_reactions, is_reply, parent_comment).
+
+    Comments stand in the order of their keys, replies under the first comment of their post that has their parent's text; a reply without such
+    a comment stands as a comment. A post's comments become one array, as its document holds them all.
+    """
+    reply = F.coalesce("is_reply", F.lit(False))
+    heads = comments.where(~reply).groupBy("post_id", F.col("comment_text").alias("parent")).agg(F.min("comment_key").alias("head"))
+    replies = comments.where(reply).join(heads, (comments["post_id"] == heads["post_id"]) & comments["parent_comment"].eqNullSafe(heads["parent"]), "left").select(comments["*"], "head")
+    under = replies.where("head is not null").groupBy("head").agg(F.array_sort(F.collect_list(F.struct("comment_key", F.col("comment_text").alias("text"), F.col("comment_reactions").alias("reaction_count")))).alias("r"))
+    alone = replies.where("head is null").drop("head")
+    rows = comments.where(~reply).unionByName(alone).join(under, F.col("comment_key") == F.col("head"), "left")
+    none = F.array().cast("array<struct<text:string,reaction_count:string>>")
+    listed = F.coalesce(F.transform("r", lambda x: F.struct(x["text"].alias("text"), x["reaction_count"].alias("reaction_count"))), none)
+    one = F.struct("comment_key", F.col("comment_text").alias("text"), F.col("comment_reactions").alias("reaction_count"), listed.alias("replies"))
+    found = rows.groupBy("post_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    return found.select("post_id", F.transform("c", lambda x: F.struct(x["text"].alias("text"), x["reaction_count"].alias("reaction_count"), x["replies"].alias("replies"))).alias("comments"))
+
+
+def joined_rows(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """``flat_rows`` for comments that stand in rows of their own: each comment and reply beside its post, one empty row for a post without any.
+
+    A join keeps a post with very many comments out of a single array. Reply rows keep their parent's text; missing texts and counts are empty.
+    """
+    own = comments.select("post_id", "comment_text", "comment_reactions", "is_reply", F.when(F.col("is_reply"), F.col("parent_comment")).alias("parent_comment"))
+    filled = {c: F.coalesce(c, F.lit("")) for c in ("comment_text", "comment_reactions", "parent_comment")} | {"is_reply": F.coalesce("is_reply", F.lit(False))}
+    joined = [F.array_join(c, "; ").alias(c) if c in ("image_urls", "video_urls") else F.col(c) for c in posts.columns if c != "comments"]
+    return posts.select(*joined).join(own, "post_id", "left").withColumns(filled)
+
+
 def markdown(posts: DataFrame) -> DataFrame:
     """(post_id, md): canonical posts as Markdown documents."""
     line = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(f"**{label}:** "), F.col(c), F.lit("\n")))

@@ -35,18 +35,6 @@ def pooled(tokens: DataFrame, chunks: DataFrame, key: str, value: Column) -> Dat
     return both.groupBy(key, "chunk_no").agg(F.count("*").alias("n_tokens"), F.avg("_v").alias("mean"))
 
 
-def hash_encoder(dim: int = 16) -> Callable[[list[str]], np.ndarray]:
-    """A stand-in for a text encoder: token vectors from hashes. Returns one vector a token."""
-    def encode(tokens: list[str]) -> np.ndarray:
-        out = np.zeros((len(tokens), dim))
-        for i, t in enumerate(tokens):
-            g = np.random.default_rng(int.from_bytes(t.encode()[:8].ljust(8, b"\0"), "little"))
-            out[i] = g.standard_normal(dim)
-        return out
-
-    return encode
-
-
 def late_chunks(df: DataFrame, key: str, text: str, pieces: str, encode: Callable[[list[str]], np.ndarray], dim: int, most_tokens: int = 8192) -> DataFrame:
     """(key, chunk_no, embedding): each chunk's mean of the token vectors of the whole document that overlap it.
 
@@ -98,3 +86,21 @@ def supervised(prompt_ids: Column, label_id: Column, end_id: int, most: int, pad
         F.concat(checked, F.array(label_id, F.lit(end_id)), F.array_repeat(F.lit(pad_id), pad)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(IGNORED), n), F.array(label_id), F.array_repeat(F.lit(IGNORED), pad + 1)).alias("labels"),
         F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), pad)).alias("attention"))
+
+
+def truncated(prefix_ids: Column, claim_ids: Column, middle_ids: Column, items: Column, end_ids: Column, most: int, label_ids: int = 2) -> Column:
+    """The prompt's ids, cut to leave room for ``label_ids``: the claim gives way first, then whole evidence items from the first that does not fit.
+
+    ``items`` is an array of the items' ids. A template that alone leaves no room is an error.
+    """
+    fixed = F.size(prefix_ids) + F.size(middle_ids) + F.size(end_ids) + label_ids
+    room = F.when(fixed <= most, F.lit(most) - fixed).otherwise(F.raise_error(F.lit("the template is too long for the sequence")).cast("int"))
+    claim = F.slice(claim_ids, F.lit(1), F.least(F.size(claim_ids), room))
+    left = room - F.size(claim)
+    start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(True).alias("open"))
+
+    def step(acc: Column, item: Column) -> Column:
+        fits = acc["open"] & (F.size(acc["ids"]) + F.size(item) <= left)
+        return F.struct(F.when(fits, F.concat(acc["ids"], item)).otherwise(acc["ids"]).alias("ids"), fits.alias("open"))
+
+    return F.concat(prefix_ids, claim, middle_ids, F.aggregate(items, start, step)["ids"], end_ids)

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import feeds, models, search, spans
+from factloom.operators import feeds, kb, models, search, spans
 from factloom.operators.retrieval import cosine, small
 from factloom.plans.registry import query
-from factloom.plans.search_queries import _COS
+from factloom.plans.search_queries import _COS, _LG, _LM, _logits
 from factloom.sources import synthetic
 from factloom.sources.tables import table
 
@@ -28,7 +28,7 @@ def a10_span_pooling(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH o AS (SELECT label, arg_min(embedding, vec_id) AS e, min(vec_id) AS v FROM embeddings GROUP BY label), k AS (SELECT count(*) AS k FROM o),
 n AS (SELECT m.vec_id, m.embedding, p.e AS pe, q.e AS oe FROM embeddings m JOIN o p ON p.label = m.label AND p.v <> m.vec_id JOIN o q ON q.label = (m.label + 1) % (SELECT k FROM k)),
 s AS (SELECT a.vec_id, {_COS.replace("b.embedding", "a.pe")} AS pos, {_COS.replace("b.embedding", "a.oe")} AS neg FROM n a)
-SELECT count(*) AS n, round(avg(pos), 5) AS positive, round(avg(neg), 5) AS negative, round(avg(pos - neg), 5) AS gap, round(avg(CASE WHEN round(pos, 9) > round(neg, 9) THEN 1.0 ELSE 0 END), 5) AS separated FROM s""")
+SELECT count(*) AS n, round(avg(pos), 5) AS positive, round(avg(neg), 5) AS negative, round(avg(pos - neg), 5) AS gap, round(1 - avg(pos), 5) AS positive_distance, round(1 - avg(neg), 5) AS negative_distance, round(avg(CASE WHEN round(pos, 9) > round(neg, 9) THEN 1.0 ELSE 0 END), 5) AS separated FROM s""")
 def a9_embedding_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
     first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"), F.min("vec_id").alias("v"))
@@ -38,7 +38,7 @@ def a9_embedding_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     both = v.join(small(own), "label").where("v <> vec_id").join(small(other), "label")
     s = both.select(cosine(F.col("embedding"), F.col("pe")).alias("pos"), cosine(F.col("embedding"), F.col("oe")).alias("neg"))
     won = F.when(F.round("pos", 9) > F.round("neg", 9), 1.0).otherwise(0.0)
-    return s.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(a) for c, a in ((F.col("pos"), "positive"), (F.col("neg"), "negative"), (F.col("pos") - F.col("neg"), "gap"), (won, "separated"))])
+    return s.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(a) for c, a in ((F.col("pos"), "positive"), (F.col("neg"), "negative"), (F.col("pos") - F.col("neg"), "gap"), (1 - F.col("pos"), "positive_distance"), (1 - F.col("neg"), "negative_distance"), (won, "separated"))])
 
 
 @query()
@@ -64,9 +64,9 @@ def m18_supervised(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("sample_id", F.size("s.input_ids").alias("length"), F.aggregate("s.attention", F.lit(0), lambda a, x: a + x).cast("long").alias("attended"), (F.array_position("s.labels", F.lit(7)) - 1).alias("ignored_before"))
 
 
-@query("SELECT source FROM social_posts WHERE source IS NOT NULL EXCEPT SELECT source FROM labeled_claims WHERE source IS NOT NULL")
+@query("SELECT source FROM feed_sources WHERE source IS NOT NULL EXCEPT SELECT source FROM web_posts WHERE source IS NOT NULL")
 def w13_set_difference(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (table(spark, sf, t).where("source is not null").select("source") for t in ("social_posts", "labeled_claims"))
+    a, b = (table(spark, sf, t).where("source is not null").select("source") for t in ("feed_sources", "web_posts"))
     return a.subtract(b)
 
 
@@ -88,26 +88,32 @@ def w10_ordered_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "social_posts").select("social_key", F.array_join(F.array_distinct(both), "; ").alias("urls"))
 
 
-@query()
+@query("SELECT sample_id, row_number() OVER (ORDER BY md5('42|' || sample_id), sample_id) AS place FROM labeled_claims")
 def w12_shuffled(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labeled_claims").select("sample_id").orderBy(F.xxhash64("sample_id", F.lit(42)))
+    order = table(spark, sf, "labeled_claims").select("sample_id", F.md5(F.concat_ws("|", F.lit("42"), F.col("sample_id").cast("string"))).alias("h"))
+    return kb.numbered(order, ["h", "sample_id"]).select("sample_id", F.col("place").alias("place"))
 
 
-@query("""SELECT post_key, (CASE WHEN title IS NULL THEN 0 ELSE 1 END) + (CASE WHEN date_raw IS NULL THEN 0 ELSE 1 END) + (CASE WHEN url IS NULL THEN 0 ELSE 1 END) AS n FROM web_posts""")
+@query("""SELECT post_key, concat_ws('|', 'title=' || title, 'date_raw=' || date_raw, 'url=' || url) AS metadata FROM web_posts""")
 def j14_open_metadata(spark: SparkSession, sf: str) -> DataFrame:
     own = feeds.open_metadata(table(spark, sf, "web_posts").select("post_key", "title", "date_raw", "url"), ["post_key"])
-    return own.select("post_key", F.size("metadata").alias("n"))
+    pairs = F.transform(F.array(*[F.lit(k) for k in ("title", "date_raw", "url")]), lambda k: F.concat(k, F.lit("="), F.try_element_at("metadata", k)))
+    return own.select("post_key", F.array_join(pairs, "|").alias("metadata"))
 
 
-@query("SELECT post_id, coalesce(post_text, '') AS text, source AS author, 5 AS comment_count FROM social_posts")
+@query("SELECT post_id, coalesce(post_text, '') AS text, source AS author, coalesce(comment_count, 0) AS comment_count FROM social_posts")
 def j9_story_nodes(spark: SparkSession, sf: str) -> DataFrame:
     node = F.struct(
         F.col("post_id"), F.struct(F.col("post_text").alias("text")).alias("message"), F.array(F.struct(F.col("source").alias("name"))).alias("actors"),
-        F.struct(F.struct(F.lit(5).alias("total_count")).alias("comments")).alias("feedback"))
-    edges = F.struct(F.struct(F.array(F.struct(node.alias("node"))).alias("edges")).alias("timeline_list_feed_units")).alias("node")
-    line = F.concat(F.lit("for (;;);"), F.to_json(F.struct(F.struct(edges).alias("data"))), F.lit("\n{}"))
-    raw = table(spark, sf, "social_posts").select(feeds.first_line(line).alias("r"))
-    return feeds.post_rows(raw, "r").select("post_id", "text", "author", F.col("comment_count").cast("int").alias("comment_count"))
+        F.struct(F.struct(F.col("comment_count").alias("total_count")).alias("comments")).alias("feedback"))
+    edges = F.array(F.struct(node.alias("node"))).alias("edges")
+    # a third of the posts in each of the three shapes of a response
+    timeline, group = (F.to_json(F.struct(F.struct(F.struct(F.struct(edges).alias(name)).alias("node")).alias("data"))) for name in ("timeline_list_feed_units", "group_feed"))
+    story = node.withField("__typename", F.lit("Story"))
+    single = F.to_json(F.struct(F.struct(story.alias("node")).alias("data")))
+    shape = F.when(F.col("social_key") % 3 == 0, timeline).when(F.col("social_key") % 3 == 1, group).otherwise(single)
+    raw = table(spark, sf, "social_posts").select(feeds.first_line(F.concat(F.lit("for (;;);"), shape, F.lit("\n{}"))).alias("r"))
+    return feeds.post_rows(raw, "r").select("post_id", "text", "author", "comment_count")
 
 
 @query("""SELECT f.source, CAST(sum(CASE WHEN c.comment_key IS NOT NULL THEN 1 ELSE 0 END) AS bigint) AS n FROM feed_sources f LEFT JOIN flat_comments c ON c.source = f.source AND c.is_reply GROUP BY f.source""")
@@ -142,10 +148,11 @@ def f12_dimension_check(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").groupBy("label").agg(F.avg(ok).alias("share_ok"))
 
 
-@query("SELECT sample_id, round(-ln(0.2 + (sample_id % 7) / 10.0 + 1e-12) * 0.5, 6) AS loss FROM labeled_claims")
+@query(f"""WITH {_LG}, e AS (SELECT sample_id, y, list_transform({_LM}, lambda v: exp(v::double)) AS e FROM lg)
+SELECT sample_id, round(-[0.5, 2.0, 1.0][y + 1] * ln(e[y + 1] / list_sum(e) + 1e-12) + 0.01 * 0.36, 6) AS loss FROM e""")
 def m6_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    p = F.lit(0.2) + (F.col("sample_id") % 7) / 10.0
-    return table(spark, sf, "labeled_claims").select("sample_id", F.round(models.cross_entropy(F.array(p, 1 - p), F.lit(0), [0.5, 2.0]), 6).alias("loss"))
+    p = models.softmax(F.col("lm"))
+    return _logits(spark, sf).select("sample_id", F.round(models.cross_entropy(p, F.col("y"), [0.5, 2.0, 1.0], models.ridge(0.01, F.lit(0.6))), 6).alias("loss"))
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import timelines
-from factloom.plans import more_queries, search_queries, text_queries  # noqa: F401
+from factloom.plans import more_queries, search_queries, source_queries, text_queries  # noqa: F401
 from factloom.plans.registry import QUERIES, SQL, query
 from factloom.plans.search_queries import flagship  # noqa: F401
 from factloom.sources.tables import table

@@ -239,14 +239,38 @@ def r20_verbatim_bonus(spark: SparkSession, sf: str) -> DataFrame:
 _ALIASES = labels.ALIASES["loader"]
 _CLASS = "coalesce(CASE WHEN try_cast(label AS double) IN (0, 1, 2) THEN CAST(try_cast(label AS double) AS int) END, CASE " + " ".join(
     f"WHEN upper(trim(label)) IN ({', '.join(repr(a) for a in names)}) THEN {k}" for k, names in enumerate(_ALIASES)) + " END, 2)"
-_PRED = "CASE WHEN length(text) % 3 = 0 THEN 0 WHEN contains(lower(text), 'not') OR contains(lower(text), 'không') THEN 1 ELSE 2 END"
-_EVAL = f"x AS (SELECT sample_id, split_name, {_CLASS} AS y, {_PRED} AS p FROM labeled_claims)"
+_SHARE = """CASE WHEN len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) = 0 OR len(list_distinct(regexp_extract_all(lower(coalesce(evidence, '')), '[a-z0-9]+'))) = 0 THEN 0.0
+ ELSE len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(evidence), '[a-z0-9]+')))) / len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) END"""
+_DENIED = "regexp_matches(lower(coalesce(evidence, '')), 'không|phủ nhận|not|denied')"
+_EVAL = f"""v AS (SELECT sample_id, split_name, {_CLASS} AS y, {_SHARE} AS share, {_DENIED} AS denied FROM labeled_claims),
+x AS (SELECT sample_id, split_name, y, CASE WHEN denied AND share >= 0.2 THEN 1 WHEN share >= 0.4 THEN 0 ELSE 2 END AS p FROM v)"""
+
+
+def _shares(spark: SparkSession, sf: str) -> DataFrame:
+    """(sample_id, split_name, y, share, denied): the label, how much of the claim stands in its evidence, and whether that denies something."""
+    denied = F.lower(F.coalesce("evidence", F.lit(""))).rlike("không|phủ nhận|not|denied")
+    share = text.overlap_ratio(F.col("text"), F.col("evidence"))
+    return table(spark, sf, "labeled_claims").select("sample_id", "split_name", labels.label_id(F.col("label")).alias("y"), share.alias("share"), denied.alias("denied"))
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.lower("text")
-    guess = F.when(F.length("text") % 3 == 0, 0).when(low.contains("not") | low.contains("không"), 1).otherwise(2)
-    return table(spark, sf, "labeled_claims").select("sample_id", "split_name", labels.label_id(F.col("label")).alias("y"), guess.alias("p"))
+    guess = F.when(F.col("denied") & (F.col("share") >= 0.2), 1).when(F.col("share") >= 0.4, 0).otherwise(2)
+    return _shares(spark, sf).withColumn("p", guess)
+
+
+@query(f"""WITH {_EVAL}, m AS (SELECT 'words, gold' AS split_name, y, CASE WHEN share >= 0.4 THEN 0 ELSE 2 END AS p FROM v UNION ALL SELECT 'words, none', y, 2 FROM v UNION ALL
+SELECT 'fused, gold', y, p FROM x UNION ALL SELECT 'fused, none', y, CASE WHEN denied THEN 1 ELSE 2 END FROM v), pc AS (SELECT split_name, c AS cls, count(*) FILTER (y = c AND p = c) AS tp, count(*) FILTER (y = c) AS g, count(*) FILTER (p = c) AS q FROM m, (VALUES (0), (1), (2)) l(c) GROUP BY ALL),
+pf AS (SELECT *, coalesce(tp / nullif(q, 0), 0) AS pr, coalesce(tp / nullif(g, 0), 0) AS re FROM pc), ff AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM pf)
+SELECT split_name AS mode, CAST(sum(g) AS bigint) AS n, round(sum(tp) / sum(g), 6) AS accuracy, round(avg(f1) FILTER (g > 0 OR q > 0), 6) AS macro_f1, round(sum(f1 * g) / sum(g), 6) AS weighted_f1 FROM ff GROUP BY split_name""")
+def a5_four_modes(spark: SparkSession, sf: str) -> DataFrame:
+    share, denied = F.col("share"), F.col("denied")
+    modes = {
+        "words, gold": F.when(share >= 0.4, 0).otherwise(2), "words, none": F.lit(2),
+        "fused, gold": F.when(denied & (share >= 0.2), 1).when(share >= 0.4, 0).otherwise(2), "fused, none": F.when(denied, 1).otherwise(2),
+    }
+    rows = _shares(spark, sf).select("y", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), p.alias("p")) for m, p in modes.items()])).alias("m")).select("y", "m.*")
+    out = metrics.summary(metrics.confusion(rows, F.col("y"), F.col("p"), "mode"), [0, 1, 2], "mode")
+    return out.select("mode", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
 
 
 @query(f"""WITH {_EVAL} SELECT l.c AS label, count(y) AS n, round(100.0 * count(y) / (SELECT count(*) FROM x), 6) AS percent, round((SELECT count(*) FROM x) / (3.0 * nullif(count(y), 0)), 6) AS weight
@@ -278,9 +302,9 @@ def a8_type_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::double AS x FROM embeddings)
-SELECT label, d, round(avg(x), 6) AS m FROM p GROUP BY label, d""")
+SELECT label, d, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS m FROM (SELECT label, d, avg(x) AS m FROM p GROUP BY label, d)""")
 def a11_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    out = models.centroids(table(spark, sf, "embeddings"), "label", "embedding")
+    out = models.centroids(table(spark, sf, "embeddings"), "label", "embedding", normalized=True)
     return out.select("label", F.posexplode("centroid").alias("d", "m")).select("label", "d", F.round("m", 6).alias("m"))
 
 
@@ -291,35 +315,36 @@ def m13_medoids(spark: SparkSession, sf: str) -> DataFrame:
     return models.medoids(table(spark, sf, "embeddings"), "vec_id", "label", "embedding")
 
 
-_LM = "[(sample_id % 7) / 3.0, (sample_id % 5) / 2.0, (sample_id % 3) / 1.0]"
-_RT = "[(sample_id % 4) / 2.0, (sample_id % 6) / 4.0, (sample_id % 9) / 5.0]"
+_LG = f"lg AS (SELECT sample_id, {_CLASS} AS y, {_SHARE} AS share, CASE WHEN {_DENIED} THEN 1.0 ELSE 0.0 END AS neg, length(coalesce(text, '')) / 100.0 AS len FROM labeled_claims)"
+_LM = "[2 * share - neg, share + neg - 0.5, 1 - share]"
+_RT = "[share * len, neg, 0.5 * len]"
 
 
-def _logits() -> tuple[Column, Column]:
-    k = F.col("sample_id")
-    return F.array((k % 7) / 3.0, (k % 5) / 2.0, (k % 3) / 1.0), F.array((k % 4) / 2.0, (k % 6) / 4.0, (k % 9) / 5.0)
+def _logits(spark: SparkSession, sf: str) -> DataFrame:
+    """(sample_id, y, lm, rt): logits of a claim from its words in the evidence, denials and its length."""
+    share, neg, n = F.col("share"), F.col("denied").cast("double"), F.length(F.coalesce("text", F.lit(""))) / 100.0
+    own = _shares(spark, sf).join(table(spark, sf, "labeled_claims").select("sample_id", "text"), "sample_id")
+    return own.select("sample_id", "y", F.array(2 * share - neg, share + neg - 0.5, 1 - share).alias("lm"), F.array(share * n, neg, 0.5 * n).alias("rt"))
 
 
-@query(f"""WITH f AS (SELECT sample_id, list_transform(list_zip({_LM}, {_RT}), lambda z: 0.6 * z[1]::double + 0.4 * z[2]::double) AS x FROM labeled_claims),
+@query(f"""WITH {_LG}, f AS (SELECT sample_id, list_transform(list_zip({_LM}, {_RT}), lambda z: 0.6 * z[1]::double + 0.4 * z[2]::double) AS x FROM lg),
 e AS (SELECT sample_id, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM f), p AS (SELECT sample_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)
 SELECT sample_id, round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2, round(list_max(p), 6) AS confidence, CASE list_position(list_transform(p, lambda v: round(v, 9)), round(list_max(p), 9)) WHEN 1 THEN 'Đúng' WHEN 2 THEN 'Sai' ELSE 'Chưa chắc chắn' END AS verdict FROM p""")
 def m3_gated_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    lm, rt = _logits()
-    p = table(spark, sf, "labeled_claims").select("sample_id", models.gated(lm, rt, F.lit(0.6)).alias("x")).select("sample_id", models.softmax(F.col("x")).alias("p"))
+    p = _logits(spark, sf).select("sample_id", models.gated(F.col("lm"), F.col("rt"), F.lit(0.6)).alias("x")).select("sample_id", models.softmax(F.col("x")).alias("p"))
     pick = models.argmax(F.transform("p", lambda v: F.round(v, 9)))
     return p.select("sample_id", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)], F.round(F.array_max("p"), 6).alias("confidence"), labels.verdict(pick).alias("verdict"))
 
 
-@query(f"""WITH x AS (SELECT sample_id, {_LM} AS s FROM labeled_claims) SELECT sample_id, round(-ln(exp(s[1]::double / 0.7) / (exp(s[1]::double / 0.7) + exp(s[2]::double / 0.7) + exp(s[3]::double / 0.7) + 1e-8) + 1e-8), 6) AS loss FROM x""")
+@query(f"""WITH {_LG}, x AS (SELECT sample_id, {_LM} AS s FROM lg) SELECT sample_id, round(-ln(exp(s[1]::double / 0.7) / (exp(s[1]::double / 0.7) + exp(s[2]::double / 0.7) + exp(s[3]::double / 0.7) + 1e-8) + 1e-8) + 0.01 * 0.25, 6) AS loss FROM x""")
 def m5_info_nce(spark: SparkSession, sf: str) -> DataFrame:
-    lm, _ = _logits()
-    own = table(spark, sf, "labeled_claims").select("sample_id", lm.alias("s"))
-    return own.select("sample_id", F.round(models.info_nce(F.col("s")[0], F.slice("s", 2, 2), 0.7), 6).alias("loss"))
+    s = F.col("lm")
+    return _logits(spark, sf).select("sample_id", F.round(models.info_nce(s[0], F.slice(s, 2, 2), 0.7, models.ridge(0.01, F.lit(0.5))), 6).alias("loss"))
 
 
-@query("SELECT sample_id, round(ln(q / (1 - q)), 6) AS logit FROM (SELECT sample_id, least(greatest((sample_id % 101) / 100.0, 1e-6), 1 - 1e-6)::double AS q FROM labeled_claims)")
+@query(f"SELECT sample_id, round(ln(q / (1 - q)), 6) AS logit FROM (SELECT sample_id, least(greatest({_SHARE}, 1e-6), 1 - 1e-6)::double AS q FROM labeled_claims)")
 def m4_inverse_sigmoid(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labeled_claims").select("sample_id", F.round(models.inverse_sigmoid((F.col("sample_id") % 101) / 100.0), 6).alias("logit"))
+    return _shares(spark, sf).select("sample_id", F.round(models.inverse_sigmoid(F.col("share")), 6).alias("logit"))
 
 
 @query("""WITH t AS (SELECT sample_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM labeled_claims), g AS (SELECT sample_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM t),
@@ -332,10 +357,10 @@ def m10_tf_idf(spark: SparkSession, sf: str) -> DataFrame:
     return w.groupBy("sample_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("heaviest"))
 
 
-@query(f"SELECT vec_id, round(sqrt({_DOT.format('u', 'u')}), 6) AS length FROM (SELECT vec_id, list_transform(embedding, lambda v: v::double / (CASE WHEN {_DOT.format('embedding', 'embedding')} = 0 THEN 1 ELSE sqrt({_DOT.format('embedding', 'embedding')}) END)) AS u FROM embeddings)")
+@query(f"SELECT vec_id, d, round(x, 6) AS x FROM (SELECT vec_id, generate_subscripts(u, 1) - 1 AS d, unnest(u) AS x FROM (SELECT vec_id, list_transform(embedding, lambda v: v::double / (CASE WHEN {_DOT.format('embedding', 'embedding')} = 0 THEN 1 ELSE sqrt({_DOT.format('embedding', 'embedding')}) END)) AS u FROM embeddings))")
 def m14_unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
     u = table(spark, sf, "embeddings").select("vec_id", models.unit(F.col("embedding")).alias("u"))
-    return u.select("vec_id", F.round(F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, v: a + v * v)), 6).alias("length"))
+    return u.select("vec_id", F.posexplode("u").alias("d", "x")).select("vec_id", "d", F.round("x", 6).alias("x"))
 
 
 @query()
@@ -368,24 +393,38 @@ def _latest_posts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "social_posts").groupBy("post_id").agg(F.max_by(F.struct(*fields), "social_key").alias("p")).select("post_id", "p.*")
 
 
-@query("""WITH p AS (SELECT post_id, arg_max(coalesce(post_text, ''), social_key) AS x FROM social_posts GROUP BY post_id)
-SELECT p.post_id, coalesce(c.comment_text, '') AS comment_text, coalesce(c.comment_reactions, '') AS comment_reactions, false AS is_reply FROM p LEFT JOIN (SELECT * FROM flat_comments WHERE NOT is_reply) c ON c.post_id = p.post_id""")
-def j8_flat_rows(spark: SparkSession, sf: str) -> DataFrame:
-    # comments already stand in rows of their own here: a join keeps a post with very many of them out of a single array
-    own = table(spark, sf, "flat_comments").where("not is_reply").select("post_id", "comment_text", "comment_reactions")
-    empty = {c: F.coalesce(c, F.lit("")) for c in ("comment_text", "comment_reactions")}
-    return _latest_posts(spark, sf).select("post_id").join(own, "post_id", "left").withColumns(empty).withColumn("is_reply", F.lit(False))
+_LATEST = "p AS (SELECT post_id, arg_max(struct_pack(source := source, post_date := post_date, post_url := post_url, post_text := post_text, image_urls := image_urls, video_urls := video_urls), social_key) AS p FROM social_posts GROUP BY post_id)"
 
 
-@query()
+@query(f"""WITH {_LATEST} SELECT p.post_id, p.p.post_url AS post_url, md5(p.p.post_text) AS text_md5, array_to_string(p.p.image_urls, '; ') AS image_urls, coalesce(c.comment_text, '') AS comment_text, coalesce(c.comment_reactions, '') AS comment_reactions,
+ coalesce(c.is_reply, false) AS is_reply, coalesce(CASE WHEN c.is_reply THEN c.parent_comment END, '') AS parent_comment FROM p LEFT JOIN flat_comments c ON c.post_id = p.post_id""")
+def j8_flat_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = posts.joined_rows(_latest_posts(spark, sf), table(spark, sf, "flat_comments"))
+    return rows.select("post_id", "post_url", F.md5("post_text").alias("text_md5"), "image_urls", "comment_text", "comment_reactions", "is_reply", "parent_comment")
+
+
+@query(f"""WITH {_LATEST}, h AS (SELECT post_id, comment_text AS parent, min(comment_key) AS head FROM flat_comments WHERE NOT coalesce(is_reply, false) GROUP BY ALL),
+r AS (SELECT c.*, h.head FROM flat_comments c LEFT JOIN h ON h.post_id = c.post_id AND h.parent IS NOT DISTINCT FROM c.parent_comment WHERE c.is_reply),
+u AS (SELECT head, string_agg('- ' || coalesce(comment_text, '') || ' *(Reactions: ' || coalesce(comment_reactions, '0') || ')*', chr(10) ORDER BY comment_key) AS replies FROM r WHERE head IS NOT NULL GROUP BY head),
+a AS (SELECT comment_key, post_id, comment_text, comment_reactions FROM flat_comments WHERE NOT coalesce(is_reply, false) UNION ALL SELECT comment_key, post_id, comment_text, comment_reactions FROM r WHERE head IS NULL),
+n AS (SELECT a.*, row_number() OVER (PARTITION BY post_id ORDER BY comment_key) AS i, replies FROM a LEFT JOIN u ON u.head = a.comment_key),
+c AS (SELECT post_id, count(*) AS k, string_agg('### ' || i || '. ' || coalesce(comment_text, '') || chr(10) || '*Reactions: ' || coalesce(comment_reactions, '0') || '*' || coalesce(chr(10) || chr(10) || '**Replies:**' || chr(10) || replies, '') || chr(10), chr(10) ORDER BY i) AS body FROM n GROUP BY post_id)
+SELECT p.post_id, md5(concat_ws(chr(10), '# Post ' || p.post_id || chr(10), '**Source:** ' || nullif(p.p.source, '') || chr(10), '**Date:** ' || nullif(p.p.post_date, '') || chr(10), '**URL:** <' || nullif(p.p.post_url, '') || '>' || chr(10),
+ '**Content:**' || chr(10) || chr(10) || coalesce(nullif(p.p.post_text, ''), '(no text)') || chr(10), CASE WHEN len(p.p.image_urls) > 0 THEN '**Images:**' || chr(10) || array_to_string(list_transform(p.p.image_urls, lambda x: '- ' || x), chr(10)) || chr(10) END,
+ CASE WHEN len(p.p.video_urls) > 0 THEN '**Videos:**' || chr(10) || array_to_string(list_transform(p.p.video_urls, lambda x: '- ' || x), chr(10)) || chr(10) END, '---' || chr(10) || '## Comments (' || coalesce(k, 0) || ')' || chr(10), body)) AS md5 FROM p LEFT JOIN c ON c.post_id = p.post_id""")
 def snk6_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    nested = F.array().cast("array<struct<text:string,reaction_count:string,replies:array<struct<text:string,reaction_count:string>>>>")
-    return posts.markdown(_latest_posts(spark, sf).fillna("", ["source", "post_date", "post_url", "post_text"]).withColumn("comments", nested)).select("post_id", F.length("md").alias("n_chars"))
+    own = _latest_posts(spark, sf).fillna("", ["source", "post_date", "post_url", "post_text"])
+    return posts.markdown(own.join(posts.nested(table(spark, sf, "flat_comments")), "post_id", "left")).select("post_id", F.md5("md").alias("md5"))
 
 
-@query("SELECT event_id, CAST(coalesce(json_extract_string(props, '$.x'), json_extract_string(props, '$.k'), '0') AS bigint) AS n FROM events")
+@query("SELECT social_key, CASE WHEN social_key % 6 = 5 THEN 0 ELSE coalesce(comment_count, 0) END AS n FROM social_posts")
 def j3_json_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", posts.comment_count(F.col("props"), ("$.x", "$.k")).alias("n"))
+    # the count stands at another of the five places in each post's node; in a sixth of them at none
+    node, count = F.lit('{"other": {"total_count": 9}}'), F.coalesce(F.col("comment_count").cast("string"), F.lit("null"))
+    for i, path in enumerate(posts.COMMENT_COUNT_PATHS):
+        keys = path.removeprefix("$.").split(".")
+        node = F.when(F.col("social_key") % 6 == i, F.concat(F.lit("".join(f'{{"{k}":' for k in keys)), count, F.lit("}" * len(keys)))).otherwise(node)
+    return table(spark, sf, "social_posts").select("social_key", posts.comment_count(node).alias("n"))
 
 
 @query("SELECT event_type, CAST(date_trunc('day', ts) AS varchar)[:10] AS day, count(*) AS n FROM events GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import clock, labels, text, urls
-from factloom.operators import evidence, html, kb
+from factloom.operators import evidence, html, kb, search
 from factloom.plans.registry import query
 from factloom.sources.tables import table
 
@@ -45,9 +45,9 @@ def t6_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.truncate(F.col("title"), 40).alias("short"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS n_tokens FROM documents""")
+@query(r"""SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS t FROM documents)""")
 def t8_word_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.size(text.word_tokens(F.col("text"))).alias("n_tokens"))
+    return table(spark, sf, "documents").select("doc_id", text.word_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
 _CASES = " || ".join(f"CASE WHEN contains(lower(text), '{t}') THEN ' {' '.join(s[:2])}' ELSE '' END" for t, s in text.GLOSSARY)
@@ -114,21 +114,28 @@ def t26_element_date(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "web_posts").select("post_key", clock.element_date(F.col("date_raw")).cast("string").alias("day"))
 
 
-@query()
+_PIECES = r"""string_split(replace(regexp_replace(regexp_replace(regexp_replace(content, '(^|[^\p{L}\p{N}_])(\p{Lu})\.', '\1\2' || chr(3), 'g'), '(^|[^\p{L}\p{N}_])(\p{Lu})\.', '\1\2' || chr(3), 'g'), '([.!?])\s+', '\1' || chr(2), 'g'), chr(3), '.'), chr(2))"""
+
+
+@query(rf"""WITH p AS (SELECT post_key, url, title, content, list_filter({_PIECES}, lambda s: trim(s) <> '') AS l FROM web_posts WHERE content IS NOT NULL),
+c AS (SELECT post_key, url, title, CASE WHEN length(content) <= 1500 THEN CASE WHEN trim(content) = '' THEN [] ELSE [content] END
+ ELSE string_split(list_reduce(l, lambda a, s: CASE WHEN length(split_part(a, chr(1), -1)) + length(s) + 1 <= 1500 THEN a || ' ' || s ELSE a || chr(1) || s END), chr(1)) END AS c FROM p),
+u AS (SELECT post_key, url, title, unnest(c) AS piece, generate_subscripts(c, 1) - 1 AS chunk_no FROM c)
+SELECT post_key, chunk_no, md5(coalesce(url, '') || '_' || chunk_no) AS chunk_id, concat_ws(' ', nullif(title, ''), piece) AS content FROM u""")
 def t28_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.chunks(table(spark, sf, "web_posts"), "post_key", F.col("url"), F.col("title"), F.col("content"))
 
 
-@query()
+@query(r"""SELECT sample_id, coalesce(CASE WHEN trim(evidence) LIKE '[%]' THEN array_to_string(try_cast(trim(evidence) AS varchar[]), '|||') END, trim(evidence), '') AS joined FROM labeled_claims""")
 def t31_evidence_literal(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labeled_claims").select("sample_id", evidence.joined_evidence(F.col("evidence")).alias("joined"))
 
 
-@query(r"""WITH p AS (SELECT sample_id, list_filter(list_transform(regexp_split_to_array(evidence, '\n+|\.  '), lambda s: trim(s)), lambda s: length(s) >= 10) AS l FROM labeled_claims WHERE evidence IS NOT NULL)
-SELECT sample_id, len(list_filter(l, lambda s, i: list_position(list_transform(l, lambda z: lower(z)), lower(s)) = i)) AS n FROM p""")
+@query(r"""WITH p AS (SELECT sample_id, list_filter(list_transform(coalesce(CASE WHEN trim(evidence) LIKE '[%]' THEN try_cast(trim(evidence) AS varchar[]) END, regexp_split_to_array(evidence, '\n+|\.  ')), lambda s: trim(s)), lambda s: length(s) >= 10) AS l FROM labeled_claims WHERE evidence IS NOT NULL)
+SELECT sample_id, array_to_string(list_filter(l, lambda s, i: list_position(list_transform(l, lambda z: lower(z)), lower(s)) = i), chr(10)) AS statements FROM p""")
 def t32_evidence_list(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "labeled_claims").where("evidence is not null")
-    return own.select("sample_id", F.size(evidence.evidence_list(F.col("evidence"))).cast("long").alias("n"))
+    return evidence.with_evidence_list(own, "evidence", "s").select("sample_id", F.array_join("s", "\n").alias("statements"))
 
 
 @query(r"""WITH r AS (SELECT sample_id, unnest(CASE WHEN contains(evidence, '|||') THEN string_split(evidence, '|||') ELSE string_split(evidence, chr(10)) END) AS raw, generate_subscripts(CASE WHEN contains(evidence, '|||') THEN string_split(evidence, '|||') ELSE string_split(evidence, chr(10)) END, 1) AS pos FROM labeled_claims WHERE evidence IS NOT NULL),
@@ -163,7 +170,7 @@ def t39_reply_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT social_key, base64(encode('feedback:' || post_id)) AS feedback_id FROM social_posts")
 def t40_feedback_id(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "social_posts").select("social_key", F.base64(F.encode(F.concat(F.lit("feedback:"), "post_id"), "UTF-8")).alias("feedback_id"))
+    return table(spark, sf, "social_posts").select("social_key", text.feedback_id(F.col("post_id")).alias("feedback_id"))
 
 
 @query(r"""WITH u AS (SELECT social_key, 'https://s.example/groups/' || post_id || '/posts/' || post_id AS g, post_url FROM social_posts)
@@ -216,7 +223,7 @@ def f1_evidence_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE lang = 'vi' AND published_at >= TIMESTAMPTZ '2023-01-01 00:00:00+00:00' AND published_at <= TIMESTAMPTZ '2024-01-01 00:00:00+00:00'")
 def f2_term_and_range(spark: SparkSession, sf: str) -> DataFrame:
-    span = F.col("published_at").between(F.lit("2023-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    span = search.in_range(F.col("published_at"), F.lit("2023-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return table(spark, sf, "documents").where((F.col("lang") == "vi") & span).select("doc_id")
 
 
@@ -299,7 +306,7 @@ def w8_first_by_digest(spark: SparkSession, sf: str) -> DataFrame:
     return own.groupBy(F.md5("comment_text").alias("h")).agg(F.min("comment_key").alias("comment_key")).select("comment_key")
 
 
-@query()
+@query("SELECT sample_id, CAST('0x' || substr(md5('42|' || sample_id), 1, 7) AS bigint) % 10000 < 9000 AS in_train FROM labeled_claims")
 def w11_stable_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labeled_claims").select("sample_id", kb.in_split(F.col("sample_id"), 0.9).alias("in_train"))
 

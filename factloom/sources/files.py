@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.clock import lenient
 from factloom.functions.labels import label_id
 from factloom.functions.urls import feed_kind
-from factloom.operators.evidence import joined_evidence
+from factloom.operators.evidence import joined_evidence, with_evidence_list
 
 
 def labeled_csv(spark: SparkSession, path: str, as_of: str, policy: str = "loader") -> DataFrame:
@@ -59,11 +59,8 @@ def claim_evidence_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
     Claims that are blank or "nan", null evidence and empty evidence lists are left out and counted in the report.
     """
-    from factloom.operators.evidence import evidence_list, literal_list
-
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    items = F.filter(F.coalesce(literal_list(F.col("evidence")), evidence_list(F.col("evidence"))), lambda x: F.length(F.trim(x)) >= 10)
-    rows = raw.select(F.trim("claim").alias("claim"), items.alias("evidences"))
+    rows = with_evidence_list(raw, "evidence", "evidences").select(F.trim("claim").alias("claim"), "evidences")
     good = (F.coalesce(F.col("claim"), F.lit("")) != "") & (F.lower("claim") != "nan") & (F.coalesce(F.size("evidences"), F.lit(0)) > 0)
     rows = rows.withColumn("ok", F.coalesce(good, F.lit(False)))
     n = F.when(F.col("ok"), F.size("evidences"))

@@ -10,6 +10,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,17 +40,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """``path``, to be removed with the intermediate tables."""
+    _made[path] = spark
+    return path
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables written inside are removed at the end: a long session need not keep them until it exits.
+
+    The results that read them must have been written or collected by then.
+    """
+    before = set(_made)
+    try:
+        yield
+    finally:
+        _remove([p for p in _made if p not in before and not _is_root(p)])
+
+
 def count_at_most(df: DataFrame, limit: int) -> int:
     """Rows of ``df``, counted no further than ``limit`` + 1."""
     return df.limit(limit + 1).count()
 
 
-@atexit.register
-def _clean() -> None:
-    for path, spark in _made.items():
+def _is_root(path: str) -> bool:
+    return any(other != path and other.startswith(f"{path}/") for other in _made)
+
+
+def _remove(paths: list[str]) -> None:
+    for path in paths:
+        spark = _made.pop(path)
         try:
             jvm = spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session may be gone by then; the folder is scratch space anyway
             pass
+
+
+@atexit.register
+def _clean() -> None:
+    _remove(list(_made))

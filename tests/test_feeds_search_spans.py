@@ -95,3 +95,15 @@ def test_more_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "cl")).first().representative_claim == "a"
     sinks.write_samples(spark.createDataFrame([("c", "e", "true", "rule", 1)], "claim string, evidence string, label string, type string, x int"), str(tmp_path / "s"))
     assert spark.read.csv(str(tmp_path / "s"), header=True).columns == ["claim", "evidence", "label", "type"]
+
+
+def test_truncated_prompts(spark):
+    ids = lambda n, k: list(range(k, k + n))
+    rows = [(ids(5, 0), [ids(3, 10), ids(4, 20), ids(1, 30)]), (ids(30, 0), [ids(1, 9)]), ([], [])]
+    df = spark.createDataFrame(rows, "c array<int>, e array<array<int>>")
+    fixed = lambda n: F.array_repeat(F.lit(-1), n)
+    got = [r.x for r in df.select(spans.truncated(fixed(2), F.col("c"), fixed(1), F.col("e"), fixed(1), 16).alias("x")).collect()]
+    assert got[0] == [-1, -1, *ids(5, 0), -1, *ids(3, 10), -1]  # the item that does not fit ends the evidence
+    assert got[1] == [-1, -1, *ids(10, 0), -1, -1] and got[2] == [-1] * 4
+    with pytest.raises(Exception, match="template is too long"):
+        df.select(spans.truncated(fixed(9), F.col("c"), fixed(9), F.col("e"), fixed(1), 16)).collect()

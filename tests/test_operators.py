@@ -261,3 +261,43 @@ def test_stream_equals_batch(spark, tmp_path):
         ingest.upsert_stream(stream, str(tmp_path / "kb"), str(tmp_path / "cp"), "post_id", "seq", 4)
     got = {r.post_id: r.body for r in spark.read.parquet(str(tmp_path / "kb")).collect()}
     assert got == {f"p{k}": f"t{max(i for i in range(40) if i % 7 == k)}" for k in range(7)}
+
+
+def test_nested_and_joined_comments(spark):
+    rows = [(1, "p", "a", "1", False, None), (2, "p", "r", "2", True, "a"), (3, "p", "a", None, False, None), (4, "p", "x", "0", True, "gone"), (5, "q", None, None, False, None), (6, "p", None, "3", None, None)]
+    c = spark.createDataFrame(rows, "comment_key bigint, post_id string, comment_text string, comment_reactions string, is_reply boolean, parent_comment string")
+    got = {r.post_id: [(x.text, x.reaction_count, [tuple(y) for y in x.replies]) for x in r.comments] for r in posts.nested(c).collect()}
+    assert got == {"p": [("a", "1", [("r", "2")]), ("a", None, []), ("x", "0", []), (None, "3", [])], "q": [(None, None, [])]}
+    own = spark.createDataFrame([("p", ["u", "v"]), ("z", None)], "post_id string, image_urls array<string>")
+    flat = sorted((r.post_id, r.comment_text, r.comment_reactions, r.is_reply, r.parent_comment) for r in posts.joined_rows(own, c).collect())
+    assert flat == [("p", "", "3", False, ""), ("p", "a", "", False, ""), ("p", "a", "1", False, ""), ("p", "r", "2", True, "a"), ("p", "x", "0", True, "gone"), ("z", "", "", False, "")]
+    assert posts.nested(c.limit(0)).count() == 0
+
+
+def test_numbered_rows(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "v bigint").repartition(6)
+    assert [(r.place, r.v) for r in kb.numbered(df, ["v"]).orderBy("place").collect()] == [(i + 1, i) for i in range(1000)]
+    assert kb.numbered(df.limit(0), ["v"]).count() == 0
+
+
+def test_containing_and_feature_matrix(spark):
+    d = spark.createDataFrame([(1, "The Cat sat"), (2, "a cat"), (3, None), (4, "")], "id bigint, t string")
+    q = spark.createDataFrame([(1, "cat"), (2, "CAT S"), (3, " "), (4, None), (5, "cat")], "q bigint, t string")
+    got = sorted((r.query_id, r.doc_id) for r in retrieval.containing(d, "id", "t", q, "q", "t").collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (5, 1), (5, 2)] and retrieval.containing(d, "id", "t", q.limit(0), "q", "t").count() == 0
+    with pytest.raises(ValueError, match="at most 2"):
+        retrieval.containing(d, "id", "t", q, "q", "t", limit=2)
+    r = spark.createDataFrame([(1, 1, 0.9, 1.0, 0.5, 0.3), (1, 2, 0.8, 0.5, 0.4, 0.3)], "query_id int, final_rank int, score double, norm double, recency_score double, cyclicity_score double")
+    assert retrieval.feature_matrix(r, 3).first().features == [[0.9, 1.0, 0.5, 0.3], [0.8, 0.5, 0.4, 0.3], [0.0] * 4]
+
+
+def test_scope_removes_its_tables(spark):
+    from factloom import storage
+
+    kept = storage.materialize(spark.range(3), "kept")
+    with storage.scope():
+        inner = storage.materialize(spark.range(5), "inner")
+        assert inner.count() == 5
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|not_found|no such"):
+        spark.read.parquet(*inner.inputFiles()).count()
