@@ -27,6 +27,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.charform import form_column
-from factloom.storage import materialize
+from factloom.storage import count_at_most, materialize
 
 # Accented small letters of Vietnamese and Western European text, and their base letters.
 ACCENTED = "àáâãäåăạảấầẩẫậắằẳẵặçèéêëẹẻẽếềểễệìíîïĩỉịñòóôõöơọỏốồổỗộớờởỡợùúûüũưụủứừửữựýÿỳỵỷỹđß"
 BASE = "aaaaaaaaaaaaaaaaaaaceeeeeeeeeeeeiiiiiiinoooooooooooooooooouuuuuuuuuuuuuyyyyyyds"
 BANDS_FIGURES, BANDS_WORDS, BUCKET_ROWS = 10, 28, 5_000
+BROADCAST_CLASSES = 200_000
 # Fixed value: where passages and statements are joined.
 JOINTS = "\\s*\\|\\|\\||\\\\n|\\n|['\"]\\s*,\\s*['\"]|(?<=[.!?。])['\"]?\\s"
 
@@ -211,8 +213,9 @@ def difference(a: list[tuple[str, bool]], b: list[tuple[str, bool]], names_a: bo
     return cost, touched
 
 
+@lru_cache(4_096)
 def _distinct(text: str) -> list[list[tuple[str, bool]]]:
-    """The statements of a text's lines, equal ones once."""
+    """The statements of a text's lines, equal ones once. A text is compared with many others."""
     own: dict[tuple, list[tuple[str, bool]]] = {}
     for s in text.split("\n"):
         tokens = _tokens(s)
@@ -221,12 +224,30 @@ def _distinct(text: str) -> list[list[tuple[str, bool]]]:
     return list(own.values())
 
 
+@lru_cache(4_096)
+def _parties(text: str) -> tuple[list[str], set[str]]:
+    """The words that name parties, if the capitals tell, and all words."""
+    own = _distinct(text)
+    return sorted({w for s in own for w, c in s if c}) if _telling(own) else [], {w for s in own for w, _ in s}
+
+
+def _has_parties(a: str, b: str) -> bool:
+    """Whether each party of ``a`` may stand in ``b``: as it is, with a slip, or joined with or parted into other words.
+
+    The comparison refuses every pair that fails this; most chance candidates do.
+    """
+    names, words = _parties(a)[0], _parties(b)[1]
+    return all(w in words or any(abs(len(w) - len(v)) <= 1 and slip(w, v, True) or w in v or w.startswith(v) or w.endswith(v) for v in words) for w in names)
+
+
 def same_statements(a: str, b: str, share: float = 0.3, free: float = 2.0) -> bool:
     """Whether two fields (statements on lines) state the same with slight edits.
 
     Edits cost one a word, slips and joined words half; together they may cost ``free`` and ``share`` of the words, and
     touch at most half of the words.
     """
+    if not (_has_parties(a, b) and _has_parties(b, a)):
+        return False
     left, right = _distinct(a), _distinct(b)
     names_a, names_b = _telling(left), _telling(right)
     lk, rk = ({tuple(w for w, _ in s) for s in x} for x in (left, right))
@@ -272,7 +293,10 @@ def class_overlaps(claims: DataFrame, key: str, split: str, fields: list[str], t
         rows = one if rows is None else rows.unionByName(one)
     rows = materialize(rows, "records").where(F.size("canon") > 0)
     chosen = materialize(representatives(rows), "representatives")
-    classes = rows.join(chosen, ["field_name", "side", "cls", "record_key"], "left_semi").withColumn("cid", F.xxhash64("field_name", "cls"))
+    few = count_at_most(chosen, BROADCAST_CLASSES) <= BROADCAST_CLASSES
+    classes = rows.join(F.broadcast(chosen) if few else chosen, ["field_name", "side", "cls", "record_key"], "left_semi")
+    # written once: it is read for the keys and for the texts of either side
+    classes = materialize(classes.withColumn("cid", F.xxhash64("field_name", "cls")), "classes")
     of = lambda side: classes.where(F.col("side") == side)
     near = candidates(materialize(keys(of("e")), "eval_keys"), materialize(keys(of("t")), "train_keys"))
     near = materialize(near, "candidates")
