@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.charform import form_column
-from factloom.llm.patterns import WORD_CHARS, alternatives
+from factloom.llm.patterns import WORD_CHARS
 
 # Frequent function words of Vietnamese and English prose.
 COMMON_WORDS = (
@@ -39,17 +39,16 @@ def statistics(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and the columns of ``FEATURES`` for each row; shares of nothing are 0."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = documents.select(*keep, t.alias("t"), F.split(F.lower(form_column(t)), " ").alias("w"))
-    common = f" (?:{alternatives(COMMON_WORDS)})(?= )"
     n_words = F.when(F.get("w", F.lit(0)) == "", 0).otherwise(F.size("w"))
-    n = lambda pattern: F.regexp_count("t", F.lit(pattern))
+    n = lambda pattern: F.regexp_count("t", F.lit(pattern))  # noqa: E731; each pattern first tests the one character that most places fail
     some = base.withColumns({
         "n_words": n_words, "n_chars": F.length("t"),
-        "n_lines": n("\\S[^\\n]*"), "ends": n("(?m)[.!?…。:;][\"'”’)\\]]*\\s*$"),
+        "n_lines": n("(?:^|\\n)[^\\S\\n]*\\S"), "ends": n("(?m)[.!?…。:;][\"'”’)\\]]*\\s*$"),
         "symbols": n(f"[^a-zA-Z0-9\\s{WORD_CHARS}]"), "digits": n("[0-9]"),
-        "broken": n(f"(?<=\\p{{L}})[^a-zA-Z0-9\\s'’.\\u00AD{WORD_CHARS}-](?=\\p{{L}})"), "mixed": n("(?<=\\p{L})[0-9]|[0-9](?=\\p{L})"),
-        "bullets": n("(?m)^\\s*(?:[-–•*+]|\\d+[.)]|https?://|#)"), "cells": n("[|\\t]| {3,}|(?<=[0-9]),(?=[0-9])"),
+        "broken": n(f"(?=[^a-zA-Z0-9\\s'’.\\u00AD{WORD_CHARS}-])(?<=\\p{{L}})[^\\n](?=\\p{{L}})"), "mixed": n("(?=[0-9])(?:(?<=\\p{L})[0-9]|[0-9](?=\\p{L}))"),
+        "bullets": n("(?m)^\\s*(?:[-–•*+]|\\d+[.)]|https?://|#)"), "cells": n("(?=[|\\t ,])(?:[|\\t]| {3,}|(?<=[0-9]),(?=[0-9]))"),
         "sentences": n("[.!?。](?=\\s|$)"),
-        "common": F.regexp_count(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.lit(common)),
+        "common": F.size(F.filter("w", lambda w: w.isin(*COMMON_WORDS))),
         "kinds": F.size(F.array_distinct("w")),
     })
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
