@@ -58,19 +58,26 @@ def variants(url: Column) -> Column:
     return F.array_distinct(F.array(url, twin))
 
 
+def _any_of(column: Column, parts: tuple[str, ...], how: str) -> Column:
+    return F.greatest(*[getattr(column, how)(x) for x in parts])
+
+
+def blocked(url: Column) -> Column:
+    """Whether an address is a file or lies in a section without articles."""
+    return _any_of(F.lower(path(url)), STATIC_ENDINGS, "endswith") | _any_of(F.lower(url), BLOCKED_HINTS, "contains")
+
+
 def article_score(url: Column, title: Column) -> Column:
     """Points for looking like an article; 0 for roots, files and blocked sections. Articles have 2 or more."""
     low, p = F.lower(url), F.lower(path(url))
-    any_of = lambda c, parts, how: F.greatest(*[getattr(c, how)(x) for x in parts])
     points = (
         F.when(low.rlike(r"(?:^|[/-])20\d{2}(?:[/-]|$)"), 2).otherwise(0)
-        + F.when(any_of(p, ARTICLE_ENDINGS, "endswith"), 2).otherwise(0)
-        + F.when(any_of(low, ARTICLE_HINTS, "contains"), 1).otherwise(0)
+        + F.when(_any_of(p, ARTICLE_ENDINGS, "endswith"), 2).otherwise(0)
+        + F.when(_any_of(low, ARTICLE_HINTS, "contains"), 1).otherwise(0)
         + F.when(F.length(p) - F.length(F.replace(p, F.lit("/"))) >= 2, 1).otherwise(0)
         + F.when(F.length(F.coalesce(title, F.lit(""))) >= 20, 1).otherwise(0)
     )
-    out = (p == "") | (p == "/") | any_of(p, STATIC_ENDINGS, "endswith") | any_of(low, BLOCKED_HINTS, "contains")
-    return F.when(out, 0).otherwise(points)
+    return F.when((p == "") | (p == "/") | blocked(url), 0).otherwise(points)
 
 
 def behind_bot_wall(content: Column) -> Column:
@@ -84,16 +91,22 @@ def first_match(text: Column, *patterns: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
 
 
+# Where an address carries the id of a user, a group or a post.
+USER_IDS = (r"profile\.php\?id=(\d+)", r"/profile/(\d+)", r"id=(\d+)")
+GROUP_IDS = (r"/groups/(\d+)", r"group_id=(\d+)", r"gid=(\d+)")
+POST_IDS = (r"/posts/(?:[^/]+/)?(\d+)", r"story_fbid=(\d+)")
+
+
 def user_id(url: Column) -> Column:
-    return first_match(url, r"profile\.php\?id=(\d+)", r"/profile/(\d+)", r"id=(\d+)")
+    return first_match(url, *USER_IDS)
 
 
 def group_id(url: Column) -> Column:
-    return first_match(url, r"/groups/(\d+)", r"group_id=(\d+)", r"gid=(\d+)")
+    return first_match(url, *GROUP_IDS)
 
 
 def post_id(url: Column) -> Column:
-    return first_match(url, r"/posts/(?:[^/]+/)?(\d+)", r"story_fbid=(\d+)")
+    return first_match(url, *POST_IDS)
 
 
 def display_host(url: Column) -> Column:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the first by ``order``; rows with a null key form one group per key."""
-    w = W.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """One row per key, the first by ``order`` (nulls first); rows with a null key form one group per key.
+
+    An aggregate that combines on the map side: a key with very many rows, as the null key may be, sends one row a task.
+    """
+    return df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first")).select("_first.*")
 
 
 def backfilled(df: DataFrame, key: Column, text: str, time: str, order: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.storage import materialize
+
 
 def softmax(x: Column) -> Column:
     """Softmax of an array of doubles; the largest value is taken off first."""
@@ -95,7 +97,7 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similarity_ratio(a: Column, b: Column) -> Column:
-    """Ratio of matching characters of two texts (longest matching blocks)."""
+    """Ratio of matching characters of two texts (longest matching blocks). Its time grows with the product of their lengths."""
     return F.pandas_udf(_ratio, T.DoubleType())(a, b)
 
 
@@ -193,7 +195,8 @@ def choose_clusters(df: DataFrame, vector: str, least: int = 2, most: int = 6, s
     n = df.count()
     if n <= 2:
         return df.withColumn("cluster", F.lit(0))
-    ready = df.withColumn("_v", array_to_vector(unit(F.col(vector))))
+    # written once: every number of clusters and every iteration reads the unit vectors again
+    ready = materialize(df.withColumn("_u", unit(F.col(vector))), "unit_vectors").withColumn("_v", array_to_vector("_u")).drop("_u")
     judge = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster", distanceMeasure="cosine")
     best, score = None, -2.0
     for k in range(max(2, least), min(most, n - 1) + 1):

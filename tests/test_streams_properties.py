@@ -49,7 +49,7 @@ def test_any_text_can_be_read(text):
         assert order in (0, 1, 2)
     root = html.parse(text)
     html.article_text(root)
-    html.section_links(root, text)
+    html.section_candidates(root, text)
 
 
 @given(st.lists(st.integers(0, 400), min_size=2, max_size=2, unique=True))
