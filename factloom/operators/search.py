@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import collapse_blank, expand_query, is_verbatim, word_tokens
-from factloom.operators.retrieval import bm25, postings, small
+from factloom.functions.text import collapse_blank, expand_query, field_boost, is_verbatim, word_tokens
+from factloom.operators.retrieval import BROADCAST_ROWS, bm25, postings, small, term_vectors, top
 from factloom.storage import materialize
 
+# How many terms of a query count, and how many of them as a phrase.
 MAX_TERMS, MAX_PHRASE = 60, 32
 
 
@@ -72,6 +77,105 @@ def fielded(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFr
     return out.select("query_id", "doc_id", score.alias("score"))
 
 
+def fielded_top(docs: DataFrame, key: str, fields: tuple[str, ...], queries: DataFrame, query_key: str, query_text: str, k: int, digits: int = 9,
+                k1: float = 1.5, b: float = 0.75, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` best of ``fielded`` for each query; ``fields`` are written as ``name^boost``.
+
+    The clauses are formed as arrays where the documents lie. A task sends its ``k`` best of each query and every document
+    that holds the terms of a query's phrase, whose order is then looked at in the text; nothing else is shuffled. A query
+    set of more than ``limit`` distinct terms goes through ``fielded``.
+    """
+    boosts = dict(field_boost(f) for f in fields)
+    flat = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.slice(word_tokens(collapse_blank(F.col(query_text))), 1, MAX_TERMS).alias("t")).where(F.size("t") > 0)
+    asked = {r["query_id"]: list(r["t"]) for r in flat.limit(limit + 1).collect()}
+    terms = sorted({t for ts in asked.values() for t in ts})
+    if len(asked) > limit or sum(len(set(t)) for t in asked.values()) > limit:
+        return top(fielded(docs, key, boosts, queries, query_key, query_text).withColumn("score", F.round("score", digits)), k)
+    place, ids = {t: i for i, t in enumerate(terms)}, sorted(asked)
+    pairs = sorted((place[t], i, t in asked[q][:MAX_PHRASE]) for i, q in enumerate(ids) for t in set(asked[q]))
+    starts = np.searchsorted([p[0] for p in pairs], np.arange(len(terms) + 1))
+    sizes, leads = np.array([len(set(asked[q])) for q in ids]), np.array([len(set(asked[q][:MAX_PHRASE])) for q in ids])
+    vectors = None
+    for n, field in enumerate(boosts):
+        one = materialize(term_vectors(docs, key, word_tokens(F.col(field)), terms), "field_vectors").select("doc_id", F.lit(n).alias("field"), "dl", "t", "tf")
+        vectors = one if vectors is None else vectors.unionByName(one)
+    stats = {r["field"]: (r["n"], float(r["mean"] or 1) or 1.0) for r in vectors.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).collect()}
+    idf = np.zeros((len(boosts), len(terms)))
+    for r in vectors.select("field", F.explode("t").alias("t")).groupBy("field", "t").agg(F.count("*").alias("df")).collect():  # at most a row per field and asked term
+        idf[r["field"], r["t"]] = np.log(1 + (stats[r["field"]][0] - r["df"] + 0.5) / (r["df"] + 0.5))
+    # a document's fields beside each other: a few numbers per document are moved for it
+    one_row = F.transform(F.array_sort(F.collect_list(F.struct("field", "dl", "t", "tf"))), lambda x: x)
+    wide = materialize(vectors.where(F.size("t") > 0).groupBy("doc_id").agg(one_row.alias("f")), "documents_fields")
+    model = docs.sparkSession.sparkContext.broadcast((
+        idf, starts, np.array([p[1] for p in pairs], dtype=np.int64), np.array([p[2] for p in pairs], dtype=bool), np.array(ids, dtype=np.int64), sizes, leads,
+        np.array(list(boosts.values())), [stats.get(n, (0, 1.0))[1] for n in range(len(boosts))], k1, b, digits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        for docs_at, score, possible in _clause_blocks(batches, model.value):
+            best = score > 0
+            if len(docs_at) > k:
+                cut = np.partition(np.where(best, score, 0.0), len(docs_at) - k, axis=0)[len(docs_at) - k]
+                best &= (score >= cut) | possible
+            d, q = np.nonzero(best)
+            kept.append((model.value[4][q], docs_at[d], score[d, q], possible[d, q]))
+        if kept:
+            q, d, s, p = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.lexsort((d, -s, q))
+            q, d, s, p = q[order], d[order], s[order], p[order]
+            first = np.concatenate(([0], np.flatnonzero(np.diff(q)) + 1)) if len(q) else np.zeros(0, np.int64)
+            nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+            at = np.flatnonzero((nth < k) | p)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (q, d, s, p)], names=["query_id", "doc_id", "base", "possible"])
+
+    found = materialize(wide.mapInArrow(run, "query_id bigint, doc_id bigint, base double, possible boolean"), "found")
+    near = found.where("possible").join(small(flat.select("query_id", F.slice("t", 1, MAX_PHRASE).alias("p"))), "query_id")
+    near = near.join(docs.select(F.col(key).cast("bigint").alias("doc_id"), *[word_tokens(F.col(f)).alias(f"_{f}") for f in boosts]), "doc_id")
+    bonus = F.lit(0.0)
+    for field, boost in boosts.items():
+        bonus = bonus + F.when(in_order(F.col(f"_{field}"), F.col("p")), max(2.0, boost * 4.0)).otherwise(0.0)
+    out = found.join(near.select("query_id", "doc_id", bonus.alias("bonus")), ["query_id", "doc_id"], "left")
+    return top(out.select("query_id", "doc_id", F.round(F.col("base") + F.coalesce("bonus", F.lit(0.0)), digits).alias("score")), k)
+
+
+def _clause_blocks(batches: Iterator[pa.RecordBatch], model: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document ids, scores without the phrase, whether the phrase's terms are all there), the latter two documents by queries."""
+    idf, starts, columns, is_lead, queries, sizes, leads, boosts, means, k1, b, digits = model
+    n_q, n_f = len(queries), len(boosts)
+    step = max(1, 500_000 // max(1, n_q))
+    least = np.floor(sizes * np.where(sizes < 12, 0.6, 0.7))
+
+    def spread(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each asked pair of the terms ``t``: the place in ``t`` and the place in the pairs."""
+        n = starts[t + 1] - starts[t]
+        at = np.repeat(np.arange(len(t)), n)
+        return at, np.repeat(starts[t] - (np.cumsum(n) - n), n) + np.arange(len(at))
+
+    for batch in batches:
+        for lo in range(0, len(batch), step):
+            part = batch.slice(lo, step)
+            n_d, fields = len(part), part.column("f")
+            rows = fields.flatten()
+            doc = np.repeat(np.arange(n_d), np.diff(fields.offsets.to_numpy()))
+            field, dl = (np.asarray(rows.field(c)) for c in ("field", "dl"))
+            lists, tfs = rows.field("t"), rows.field("tf")
+            n_t = np.diff(lists.offsets.to_numpy())
+            t, tf, row = np.asarray(lists.flatten()), np.asarray(tfs.flatten()).astype(float), np.repeat(np.arange(len(doc)), n_t)
+            weight = idf[field[row], t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / np.array(means)[field[row]]))
+            at, pair = spread(t)
+            cell = (field[row[at]] * n_d + doc[row[at]]) * n_q + columns[pair]
+            score = np.bincount(cell, weights=weight[at], minlength=n_f * n_d * n_q).reshape(n_f, n_d, n_q) * boosts[:, None, None]
+            matched = np.bincount(cell, minlength=n_f * n_d * n_q).reshape(n_f, n_d, n_q)
+            either = np.unique(doc[row] * len(idf[0]) + t)
+            at, pair = spread(either % len(idf[0]))
+            cell = either[at] // len(idf[0]) * n_q + columns[pair]
+            whole = np.bincount(cell, minlength=n_d * n_q).reshape(n_d, n_q)
+            lead = np.bincount(cell[is_lead[pair]], minlength=n_d * n_q).reshape(n_d, n_q)
+            best = score.max(0)
+            total = best + np.where((sizes >= 3) & (whole == sizes), 2 * best, 0.0) + np.where(sizes >= 6, 1.5 * np.where(matched >= least, score, 0.0).sum(0), 0.0)
+            yield part.column("doc_id").to_numpy(), np.where(best > 0, np.round(total, digits), 0.0), (sizes >= 4) & (lead == leads) & (best > 0)
+
+
 def pool_size(n_docs: int, top: int, failed: bool = False) -> int:
     """Size of the candidate pool: 5 times ``top``, at least 200; of a known, non-empty index at least 500, at most all."""
     pool = max(5 * top, 200)

@@ -49,8 +49,7 @@ def r2_bm25_top(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def r4_bm25_fields(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.fielded(table(spark, sf, "documents"), "doc_id", {"title": 3.0, "text": 1.0}, _claims(spark, sf), "sample_id", "text")
-    return retrieval.top(found.withColumn("score", F.round("score", 9)), 20)
+    return search.fielded_top(table(spark, sf, "documents"), "doc_id", ("title^3", "text"), _claims(spark, sf), "sample_id", "text", 20)
 
 
 _DOT = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"

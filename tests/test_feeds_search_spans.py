@@ -1,10 +1,11 @@
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import feeds, models, search, spans
+from factloom.operators import feeds, models, retrieval, search, spans
 from factloom.sources import files, sinks, synthetic
 
 
@@ -51,6 +52,22 @@ def test_fielded_search(spark):
     assert [search.pool_size(*a) for a in ((0, 20), (50, 20), (10_000, 20), (10_000, 200), (10, 20, True))] == [200, 50, 500, 1000, 300]
 
 
+def test_fielded_bests_equal_the_joined_form(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(14)]
+    text = lambda n: " ".join(r.choices(words, k=n)) if r.random() < 0.9 else r.choice(["", None])
+    rows = [(i, text(r.randint(1, 4)), text(r.randint(1, 30))) for i in range(150)]
+    asked = [(i, " ".join(r.choices(words, k=r.randint(1, 8)))) for i in range(12)] + [(20, " ".join(words * 3)), (21, None), (22, "none"), (23, rows[3][2] or "w1")]
+    d, q = spark.createDataFrame(rows, "id bigint, title string, body string").repartition(4), spark.createDataFrame(asked, "q bigint, text string")
+    want = retrieval.top(search.fielded(d, "id", {"title": 3.0, "body": 1.0}, q, "q", "text").withColumn("score", F.round("score", 9)), 7)
+    for limit in (200_000, 5):
+        got = search.fielded_top(d, "id", ("title^3", "body"), q, "q", "text", 7, limit=limit)
+        key = lambda x: (x.query_id, x.rank)
+        a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+        assert [(x.query_id, x.rank, x.doc_id) for x in a] == [(x.query_id, x.rank, x.doc_id) for x in b] and [x.score for x in a] == pytest.approx([x.score for x in b])
+    assert search.fielded_top(d.limit(0), "id", ("title^3", "body"), q, "q", "text", 7).count() == 0 and search.fielded_top(d, "id", ("body",), q.limit(0), "q", "text", 7).count() == 0
+
+
 def test_spans(spark):
     df = spark.createDataFrame([(1, "ab cde f"), (2, "")], "k int, t string")
     tokens, chunks = spans.token_spans(df, "k", F.col("t")), spans.fixed_chunks(df, "k", F.col("t"), 4)
