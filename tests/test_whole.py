@@ -6,7 +6,7 @@ from datetime import datetime
 
 import pytest
 
-from factloom.operators import models, search
+from factloom.operators import models, retrieval, search
 from factloom.plans import search_queries
 
 
@@ -27,8 +27,9 @@ def _fused(texts, claim):
     return {i + 1: 1 / (60 + r) + 1 / (61 + i) for r, i in enumerate(order)}
 
 
-@pytest.mark.parametrize("n", [400, 15])
-def test_hybrid_fuses_all_documents(spark, tmp_path, n):
+@pytest.mark.parametrize(("n", "early_rows"), [(400, 2_000_000), (15, 2_000_000), (400, 0)])
+def test_hybrid_fuses_all_documents(spark, tmp_path, monkeypatch, n, early_rows):
+    monkeypatch.setattr(retrieval, "EARLY_ROWS", early_rows)
     r = random.Random(n)
     # the longer and the more alien a text, the worse it ranks: the first ones are the worst
     texts = [" ".join(r.choices("abcdefgh", k=r.randint(1, 4)) + ["z"] * (n // (i + 1) % 50)) if i % 7 else "y y" for i in range(n)]
