@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import collapse_blank, expand_query, field_boost, is_verbatim, word_tokens
-from factloom.operators.retrieval import BROADCAST_ROWS, bm25, postings, small, term_vectors, top
+from factloom.operators.retrieval import BROADCAST_ROWS, bm25, document_blocks, postings, small, term_vectors, top
 from factloom.storage import materialize
 
 # How many terms of a query count, and how many of them as a phrase.
@@ -142,7 +142,7 @@ def _clause_blocks(batches: Iterator[pa.RecordBatch], model: tuple) -> Iterator[
     """(document ids, scores without the phrase, whether the phrase's terms are all there), the latter two documents by queries."""
     idf, starts, columns, is_lead, queries, sizes, leads, boosts, means, k1, b, digits = model
     n_q, n_f = len(queries), len(boosts)
-    step = max(1, 500_000 // max(1, n_q))
+    step = max(1, 250_000 // max(1, n_q))
     least = np.floor(sizes * np.where(sizes < 12, 0.6, 0.7))
 
     def spread(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +152,11 @@ def _clause_blocks(batches: Iterator[pa.RecordBatch], model: tuple) -> Iterator[
         return at, np.repeat(starts[t] - (np.cumsum(n) - n), n) + np.arange(len(at))
 
     for batch in batches:
-        for lo in range(0, len(batch), step):
-            part = batch.slice(lo, step)
+        flat = batch.column("f").flatten().field("t")
+        terms_of = np.concatenate(([0], np.cumsum((starts[1:] - starts[:-1])[np.asarray(flat.flatten())])))
+        ends = np.concatenate(([0], np.cumsum(np.diff(flat.offsets.to_numpy()))))[batch.column("f").offsets.to_numpy() - batch.column("f").offsets[0].as_py()]
+        for lo, hi in document_blocks(np.diff(terms_of[ends]), step):
+            part = batch.slice(lo, hi - lo)
             n_d, fields = len(part), part.column("f")
             rows = fields.flatten()
             doc = np.repeat(np.arange(n_d), np.diff(fields.offsets.to_numpy()))
