@@ -12,10 +12,13 @@ party is not. What the comparison accepts bounds the parts:
 * at most half of the words are touched, so at least a third of the two records' words is shared. Min-hashes of words,
   ``BANDS_FIGURES`` single ones or, for records without figures, ``BANDS_WORDS`` pairs of them, agree in at least one
   place with a probability of 0.98 and 0.96 at that limit, and of nearly 1 for lighter edits;
-* each key carries a bitmap of its record's words. Bits of one record that the other lacks are words it lacks, so
-  candidates with more of them than half the words end in the join, before any text is read, and none is lost.
+* each record has a bitmap of its words. Bits of one record that the other lacks are words it lacks, so
+  candidates with more of them than half the words end before any text is read, and none is lost.
 
-No bucket is capped: evaluation and training keys of a large bucket are spread over as many salts as its size asks for.
+Neither keys nor texts are moved: the evaluation classes go out in blocks of bounded size, and the training classes are
+streamed past them where they lie, keys, bitmaps and comparison in one go. Evaluation sides of more than ``MAX_BLOCKS``
+blocks are joined on the keys instead; there, keys of a large bucket are spread over as many salts as its size asks for.
+No bucket is capped.
 
 Null keys, null and empty fields take part in nothing; a field of one word has no near copies. Records of other splits
 than the evaluation splits and train are left out.
@@ -25,18 +28,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.charform import form_column
+from factloom.operators.retrieval import document_blocks
 from factloom.storage import count_at_most, materialize
 
 # Accented small letters of Vietnamese and Western European text, and their base letters.
@@ -44,6 +49,8 @@ ACCENTED = "àáâãäåăạảấầẩẫậắằẳẵặçèéêëẹẻ
 BASE = "aaaaaaaaaaaaaaaaaaaceeeeeeeeeeeeiiiiiiinoooooooooooooooooouuuuuuuuuuuuuyyyyyyds"
 BANDS_FIGURES, BANDS_WORDS, BUCKET_ROWS = 10, 28, 5_000
 BROADCAST_CLASSES = 200_000
+# Characters of a block of evaluation classes and the number of blocks; pairs that are looked at in one step.
+BLOCK_CHARS, MAX_BLOCKS, STEP_PAIRS = 8_000_000, 256, 1_000_000
 # Fixed value: where passages and statements are joined.
 JOINTS = "\\s*\\|\\|\\||\\\\n|\\n|['\"]\\s*,\\s*['\"]|(?<=[.!?。])['\"]?\\s"
 
@@ -63,8 +70,8 @@ def canonical(text: Column) -> Column:
 def records(claims: DataFrame, key: str, split: str, field: str, train: str, evals: list[str]) -> DataFrame:
     """(record_key, side, field_name, cls, cased, canon): a row per record whose key and field are not null.
 
-    ``canon`` holds the distinct statements. It is empty for a field that states nothing; the caller leaves such rows out once
-    the table is written, as an earlier filter would be pushed below the statements and compute them twice.
+    ``canon`` holds the distinct statements. It is empty for a field that states nothing; ``signed`` leaves such rows out, as a
+    filter here would be pushed below the statements and compute them twice.
     """
     own = claims.where(F.col(split).isin(train, *evals) & F.col(field).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).alias("record_key"), F.when(F.col(split) == train, "t").otherwise("e").alias("side"), statements(F.col(field)).alias("s")
@@ -84,15 +91,18 @@ def representatives(rows: DataFrame) -> DataFrame:
     return rows.groupBy("field_name", "side", "cls").agg(F.max_by("record_key", F.struct(telling, capitals, "record_key")).alias("record_key"))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SIGNED = "side string, field_name string, cls binary, cased string, n int, buckets array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint"
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rand = np.random.default_rng(20)
     n_hash = max(BANDS_FIGURES, 2 * BANDS_WORDS)
     a, b = rand.integers(1, 1 << 62, n_hash, dtype=np.uint64) | np.uint64(1), rand.integers(1, 1 << 62, n_hash, dtype=np.uint64)
     mix, turn = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
     for batch in batches:
+        batch = batch.filter(pc.greater(batch.column("n"), 0))
         if len(batch) == 0:
             continue
-        cid, n = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
         figures, plain = batch.column("figures").to_numpy().view(np.uint64), batch.column("plain").to_numpy(zero_copy_only=False)
         lists = batch.column("w")
         offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -107,7 +117,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = words * a[k] + b[k]
             return np.minimum.reduceat(h ^ (h >> turn), starts)
 
-        buckets, rows = [], []
+        buckets, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         with_figures, without = np.flatnonzero(~plain), np.flatnonzero(plain)
         for band in range(BANDS_FIGURES if len(with_figures) else 0):
             buckets.append((least(band)[with_figures] ^ (figures[with_figures] + np.uint64(band))) * mix)
@@ -116,18 +126,25 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair = (least(2 * band)[without] * mix) ^ least(2 * band + 1)[without]
             buckets.append((pair ^ (figures[without] + np.uint64(band))) * mix)
             rows.append(without)
-        at = np.concatenate(rows)
-        cols = [np.concatenate(buckets).view(np.int64), cid[at], n[at], *(m[at].view(np.int64) for m in maps)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "cid", "n", "m0", "m1", "m2", "m3"])
+        at, every = np.concatenate(rows), np.concatenate(buckets).view(np.int64)
+        edges = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(batch))))).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(edges), pa.array(every[np.argsort(at, kind="stable")]))
+        cols = [*(batch.column(c) for c in ("record_key", "side", "field_name", "cls", "cased", "n")), listed, *(pa.array(m.view(np.int64)) for m in maps)]
+        yield pa.RecordBatch.from_arrays(cols, names=["record_key", "side", "field_name", "cls", "cased", "n", "buckets", "m0", "m1", "m2", "m3"])
 
 
-def keys(classes: DataFrame) -> DataFrame:
-    """(bucket, cid, n, m0..m3) of classes with field_name, cid, canon: min-hash keys, number of words, bitmap of the words."""
-    words = classes.select("field_name", "cid", "canon", F.flatten(F.transform("canon", lambda s: F.split(s, " "))).alias("all"))
+def signed(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``records`` that state something, with the number of words, min-hash keys and bitmap of the words in place of ``canon``."""
+    words = rows.select("*", F.flatten(F.transform("canon", lambda s: F.split(s, " "))).alias("all"))
     digits = F.array_join(F.array_sort(F.split(F.regexp_replace(F.array_join("canon", ""), "[^\\p{Nd}]+", ""), "")), "")
-    words = words.select("field_name", "cid", F.size("all").alias("n"), F.array_distinct(F.transform("all", lambda w: F.xxhash64(w))).alias("w"), digits.alias("digits"))
-    ready = words.select("cid", "n", F.xxhash64("field_name", "digits").alias("figures"), (F.col("digits") == "").alias("plain"), "w")
-    return ready.mapInArrow(_keys, "bucket bigint, cid bigint, n int, m0 bigint, m1 bigint, m2 bigint, m3 bigint")
+    words = words.select("record_key", "side", "field_name", "cls", "cased", F.size("all").alias("n"), F.array_distinct(F.transform("all", lambda w: F.xxhash64(w))).alias("w"), digits.alias("digits"))
+    ready = words.select("record_key", "side", "field_name", "cls", "cased", "n", F.xxhash64("field_name", "digits").alias("figures"), (F.col("digits") == "").alias("plain"), "w")
+    return ready.mapInArrow(_signed, f"record_key {rows.schema['record_key'].dataType.simpleString()}, {_SIGNED}")
+
+
+def keys(classes: DataFrame) -> DataFrame:
+    """(bucket, cid, n, m0..m3) of signed classes: a row per key."""
+    return classes.select(F.explode("buckets").alias("bucket"), "cid", "n", "m0", "m1", "m2", "m3")
 
 
 def candidates(evals: DataFrame, trains: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -231,13 +248,56 @@ def _parties(text: str) -> tuple[list[str], set[str]]:
     return sorted({w for s in own for w, c in s if c}) if _telling(own) else [], {w for s in own for w, _ in s}
 
 
+@lru_cache(20_000)
+def _variants(name: str) -> frozenset[str]:
+    """The words that a name may stand as because they are shorter or have two neighbours swapped: its beginnings and ends, and its slips."""
+    out = {name[:i] for i in range(1, len(name))} | {name[i:] for i in range(1, len(name))}
+    if len(name) >= 4:
+        out |= {name[:i] + name[i + 1] + name[i] + name[i + 2 :] for i in range(len(name) - 1)}
+    if len(name) >= 5:
+        out |= {name[:i] + name[i + 1 :] for i in range(len(name))}
+    return frozenset(out)
+
+
+def _stands(name: str, words: set[str], joined: str) -> bool:
+    """Whether a name may stand among ``words``: as it is, with a slip, or joined with or parted into other words.
+
+    ``joined`` has the words with blanks between; a name has none.
+    """
+    if name in joined or not _variants(name).isdisjoint(words):
+        return True
+    return any(len(v) == len(name) + 1 and slip(name, v, True) for v in words)
+
+
 def _has_parties(a: str, b: str) -> bool:
-    """Whether each party of ``a`` may stand in ``b``: as it is, with a slip, or joined with or parted into other words.
+    """Whether each party of ``a`` may stand in ``b``.
 
     The comparison refuses every pair that fails this; most chance candidates do.
     """
-    names, words = _parties(a)[0], _parties(b)[1]
-    return all(w in words or any(abs(len(w) - len(v)) <= 1 and slip(w, v, True) or w in v or w.startswith(v) or w.endswith(v) for v in words) for w in names)
+    words = _parties(b)[1]
+    joined = " ".join(words)
+    return all(_stands(w, words, joined) for w in _parties(a)[0])
+
+
+class _Text:
+    """What is looked at before two texts are compared: the words, their number, and those that name parties."""
+
+    __slots__ = ("joined", "n", "names", "text", "words")
+
+    def __init__(self, text: str):
+        self.text, (self.names, self.words) = text, _parties(text)
+        self.n, self.joined = sum(map(len, _distinct(text))), " ".join(self.words)
+
+    def like(self, other: _Text) -> bool:
+        """``same_statements``; at most half of the words are touched there, so no more distinct words may be missing on either side."""
+        missing = max(len(self.words), len(other.words)) - len(self.words & other.words)
+        if 2 * missing > max(self.n, other.n):
+            return False
+        for one, two in ((self, other), (other, self)):
+            for name in one.names:
+                if not _stands(name, two.words, two.joined):
+                    return False
+        return same_statements(self.text, other.text)
 
 
 def same_statements(a: str, b: str, share: float = 0.3, free: float = 2.0) -> bool:
@@ -283,6 +343,77 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_statements(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def _streamed(shared) -> Callable:
+    """The function that streams training classes past a block of evaluation classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, every, owner = shared.value
+        cased, field, cls, own, size = (table.column(c).combine_chunks() for c in ("cased", "field_name", "cls", "cid", "n"))
+        field, own, size = (np.asarray(x) for x in (field, own, size))
+        maps = np.stack([np.asarray(table.column(f"m{k}")).view(np.uint64) for k in range(4)])
+        known: dict[int, _Text] = {}
+        for batch in batches:
+            lists = batch.column("buckets")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            bucket = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+            row = np.repeat(np.arange(len(batch)), np.diff(offsets))
+            first = np.searchsorted(every, bucket, "left")
+            many = np.searchsorted(every, bucket, "right") - first
+            bucket_at = np.flatnonzero(many)
+            fields, cids, sizes = (np.asarray(batch.column(c)) for c in ("field_name", "cid", "n"))
+            bits = np.stack([batch.column(f"m{k}").to_numpy().view(np.uint64) for k in range(4)])
+            pairs = [np.zeros(0, np.int64)]
+            for lo, hi in document_blocks(many[bucket_at], len(bucket_at), STEP_PAIRS):
+                at = bucket_at[lo:hi]
+                n = many[at]
+                t = np.repeat(row[at], n)
+                e = owner[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(len(t))]
+                more, less = (np.zeros(len(t), np.int64) for _ in range(2))
+                for k in range(4):
+                    x, y = maps[k][e], bits[k][t]
+                    more += np.bitwise_count(x & ~y)
+                    less += np.bitwise_count(y & ~x)
+                keep = np.flatnonzero((2 * np.maximum(more, less) <= np.maximum(size[e], sizes[t])) & (own[e] != cids[t]))
+                keep = keep[field[e[keep]] == fields[t[keep]]]
+                pairs.append(np.unique(t[keep] * len(own) + e[keep]))
+            last, text, found = -1, None, []
+            for t, e in zip(*np.divmod(np.unique(np.concatenate(pairs)), max(1, len(own))), strict=True):
+                if t != last:
+                    last, text = t, _Text(batch.column("cased")[t].as_py())
+                other = known.get(e)
+                if other is None:
+                    other = known[e] = _Text(cased[e].as_py())
+                if other.like(text):
+                    found.append((field[e], cls[e].as_py(), batch.column("cls")[t].as_py()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["field_name", "ec", "tc"])
+
+    return run
+
+
+def near_streamed(evals: DataFrame, trains: DataFrame, n_blocks: int) -> DataFrame:
+    """(field_name, ec, tc): near copies, the evaluation classes broadcast block by block and the training classes streamed past each."""
+    out = None
+    for i in range(n_blocks):
+        table = evals.where(F.pmod("cid", F.lit(n_blocks)) == i).select("field_name", "cls", "cid", "cased", "n", "buckets", *[f"m{k}" for k in range(4)]).toArrow()
+        lists = table.column("buckets").combine_chunks()
+        every, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(every, kind="stable")
+        shared = evals.sparkSession.sparkContext.broadcast((table.drop_columns("buckets"), every[order], row[order]))
+        one = materialize(trains.select("field_name", "cls", "cid", "cased", "n", "buckets", *[f"m{k}" for k in range(4)]).mapInArrow(_streamed(shared), "field_name string, ec binary, tc binary"), "near")
+        shared.destroy()
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def near_joined(evals: DataFrame, trains: DataFrame) -> DataFrame:
+    """(field_name, ec, tc): near copies, by joins on the keys and of the texts."""
+    near = materialize(candidates(materialize(keys(evals), "eval_keys"), materialize(keys(trains), "train_keys")), "candidates")
+    texts = lambda df, side: df.select("field_name", F.col("cid").alias(f"{side}c"), F.col("cls").alias(f"{side}_cls"), F.col("cased").alias(f"{side}_text"))
+    near = near.join(texts(evals, "e"), "ec").join(texts(trains, "t"), ["field_name", "tc"]).where(_same("e_text", "t_text"))
+    return near.select("field_name", F.col("e_cls").alias("ec"), F.col("t_cls").alias("tc")).distinct()
+
+
 def class_overlaps(claims: DataFrame, key: str, split: str, fields: list[str], train: str = "train", evals: tuple[str, ...] = ("dev", "test")) -> tuple[DataFrame, DataFrame]:
     """(members, links): the class of every record (field_name, side, cls, record_key), and every link between an
     evaluation class and a training class with the same field, exactly or nearly (field_name, ec, tc).
@@ -291,22 +422,20 @@ def class_overlaps(claims: DataFrame, key: str, split: str, fields: list[str], t
     for field in fields:
         one = records(claims, key, split, field, train, list(evals))
         rows = one if rows is None else rows.unionByName(one)
-    rows = materialize(rows, "records").where(F.size("canon") > 0)
+    rows = materialize(signed(rows), "records")
     chosen = materialize(representatives(rows), "representatives")
-    few = count_at_most(chosen, BROADCAST_CLASSES) <= BROADCAST_CLASSES
-    classes = rows.join(F.broadcast(chosen) if few else chosen, ["field_name", "side", "cls", "record_key"], "left_semi")
-    # written once: it is read for the keys and for the texts of either side
-    classes = materialize(classes.withColumn("cid", F.xxhash64("field_name", "cls")), "classes")
+    same = ["field_name", "side", "cls", "record_key"]
+    if count_at_most(chosen, BROADCAST_CLASSES) <= BROADCAST_CLASSES:
+        classes = rows.join(F.broadcast(chosen), same, "left_semi")
+    else:
+        others = materialize(rows.select(*same).join(chosen, same, "left_anti"), "others")
+        few = count_at_most(others, BROADCAST_CLASSES) <= BROADCAST_CLASSES
+        classes = rows.join(F.broadcast(others), same, "left_anti") if few else materialize(rows.join(chosen, same, "left_semi"), "classes")
+    classes = classes.withColumn("cid", F.xxhash64("field_name", "cls"))
     of = lambda side: classes.where(F.col("side") == side)
-    near = candidates(materialize(keys(of("e")), "eval_keys"), materialize(keys(of("t")), "train_keys"))
-    near = materialize(near, "candidates")
-    words = F.array_distinct(F.flatten(F.transform("canon", lambda s: F.split(s, " "))))
-    texts = lambda side: of(side).select("field_name", F.col("cid").alias(f"{side}c"), F.col("cls").alias(f"{side}_cls"), F.col("cased").alias(f"{side}_text"), words.alias(f"{side}_w"), F.size(F.flatten(F.transform("canon", lambda s: F.split(s, " ")))).alias(f"{side}_n"))
-    near = near.join(texts("e"), "ec").join(texts("t"), ["field_name", "tc"])
-    # the comparison touches at most half of the words, so no more distinct words than that may be missing on either side
-    missing = F.greatest(F.size("e_w"), F.size("t_w")) - F.size(F.array_intersect("e_w", "t_w"))
-    near = near.where(2 * missing <= F.greatest("e_n", "t_n")).where(_same("e_text", "t_text"))
-    near = near.select("field_name", F.col("e_cls").alias("ec"), F.col("t_cls").alias("tc")).distinct()
+    chars = rows.where("side = 'e'").select(F.sum(F.length("cased") + 200).alias("n")).first()["n"] or 0
+    n_blocks = -(-chars // BLOCK_CHARS)
+    near = near_streamed(of("e"), of("t"), max(1, n_blocks)) if n_blocks <= MAX_BLOCKS else near_joined(of("e"), of("t"))
     sides = [chosen.where(F.col("side") == s).select("field_name", F.col("cls").alias("ec")) for s in "et"]
     equal = sides[0].join(sides[1], ["field_name", "ec"]).distinct().withColumn("tc", F.col("ec"))
     return rows.select("field_name", "side", "cls", "record_key"), materialize(near.unionByName(equal), "class_pairs")

@@ -91,3 +91,25 @@ def test_empty(spark):
     assert O.overlaps(df, "id", "split", ["text"]).count() == 0
     one = spark.createDataFrame([(1, "train", "word"), (2, "test", "word"), (3, "test", "x" * 50_000), (4, "train", "x" * 50_000)], "id bigint, split string, text string")
     assert {(r.eval_key, r.train_key) for r in O.overlaps(one, "id", "split", ["text"]).collect()} == {(2, 1), (3, 4)}
+
+
+def test_moves_neither_keys_nor_texts(spark, monkeypatch):
+    """What is written stays within the texts' own size, whatever the chance candidates; blocks and joins give the same links."""
+    r = random.Random(9)
+    voc = ["".join(r.choice("bdghklmnrstv") + r.choice("aeiou") for _ in range(3)) for _ in range(40)]
+    texts = ["The " + " ".join(r.choice(voc) for _ in range(14)) for _ in range(600)]
+    rows = [(i, "train", t) for i, t in enumerate(texts)] + [(1_000 + i, "test", t.replace(" ", " so ", 1)) for i, t in enumerate(texts[:200])]
+    df = spark.createDataFrame(rows, "id bigint, split string, text string")
+    names = []
+    monkeypatch.setattr(O, "materialize", lambda one, name, own=O.materialize: (names.append(name), own(one, name))[1])
+    got = lambda: {(x.eval_key, x.train_key) for x in O.overlaps(df, "id", "split", ["text"]).collect()}
+    whole = got()
+    assert {(1_000 + i, i) for i in range(200)} <= whole and not {"candidates", "train_keys", "classes"} & set(names)
+    monkeypatch.setattr(O, "BLOCK_CHARS", 10_000)
+    monkeypatch.setattr(O, "STEP_PAIRS", 50)
+    monkeypatch.setattr(O, "BROADCAST_CLASSES", 10)
+    assert got() == whole and names.count("near") > 5
+    monkeypatch.setattr(O, "MAX_BLOCKS", 0)
+    assert got() == whole and "candidates" in names
+    assert all(O._has_parties(x, y) for x, y in [("On Zanvanta so it", "on zanvnata"), ("On Zanvanta so it", "on zanvantas"), ("On Zanvanta so it", "zan vanta"), ("On Zanvanta so it", "xzanvantax")])
+    assert not any(O._has_parties(x, y) for x, y in [("On Zanvanta so it", "on zanvinta"), ("On Zed so it", "on zd")])
