@@ -301,3 +301,52 @@ def test_scope_removes_its_tables(spark):
     assert kept.count() == 3
     with pytest.raises(Exception, match="(?i)not exist|not_found|no such"):
         spark.read.parquet(*inner.inputFiles()).count()
+
+
+def test_sums_of_common_and_rare_terms():
+    """Common terms need no row per pair of a document and a query; the sums are those of all pairs."""
+    r = np.random.default_rng(3)
+    asked, held = r.random((40, 30)) < np.linspace(0.02, 0.9, 40)[:, None], r.random((50, 40)) < np.linspace(0.02, 0.9, 40)
+    t, q = np.nonzero(asked)
+    sums = retrieval.TermSums(np.searchsorted(t, np.arange(41)), q, 30, held.sum(0), 50)
+    doc, term = np.nonzero(held)
+    numbers = r.random(len(doc))
+    full = np.zeros((50, 40))
+    full[doc, term] = numbers
+    assert np.allclose(sums(doc, term, numbers, 50), full @ asked)
+    assert 0 < sums.weights(term).sum() < 0.05 * asked.sum(1)[term].sum()
+
+
+def test_large_pools_in_blocks_of_queries(spark, monkeypatch):
+    """A query set of few distinct terms but many pairs is scored where the documents lie, and of large pools no more than a few times the pool is sent."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    d = spark.createDataFrame([(i, " ".join(r.choices(words, k=12))) for i in range(3_000)], "doc_id bigint, text string").repartition(6)
+    q = spark.createDataFrame([(i, " ".join(r.choices(words, k=5))) for i in range(12)], "q bigint, text string")
+    tok = text.word_tokens(F.col("text"))
+    sent = []
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name, own=retrieval.materialize: (lambda one: (name == "pools" and sent.append(one.count()), one)[1])(own(df, name)))
+    found = retrieval.LexicalSearch(d, "doc_id", tok, q, "q", tok, limit=35)
+    assert found.joined is None and len(found.models) > 1
+    key = lambda x: (x.query_id, x.rank, x.doc_id)
+    want = sorted(key(x) for x in retrieval.top(found.scores(), 200).collect())
+    assert sorted(key(x) for x in found.top(200).collect()) == want and sum(sent) < 3 * 200 * 12
+    everything = found.scores()
+
+    def misled(rows, k, bounds):
+        """A sample whose bounds are far too high: every query comes out short and is asked again."""
+        own = everything if bounds else everything.withColumn("score", F.col("score") + 1e6)
+        return own.where(F.col("score") >= F.lit(min(bounds.values(), default=0.0)))
+
+    assert sorted(key(x) for x in retrieval.best_of(misled, found.vectors, 200).collect()) == want
+
+
+def test_stored_index_has_a_row_per_document(spark):
+    d = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (4, "c")], "id bigint, text string").coalesce(1)
+    index = retrieval.document_index(d, "id", text.word_tokens(F.col("text")))
+    rows = {x.doc_id: (x.dl, dict(zip(x.terms, x.tfs, strict=True))) for x in index.collect()}
+    assert rows == {1: (3, {"a": 1, "b": 2}), 2: (0, {}), 3: (0, {}), 4: (1, {"c": 1})}
+    q = spark.createDataFrame([(7, "b c")], "q bigint, text string")
+    for limit in (200_000, 1):
+        got = [retrieval.LexicalSearch(x, "id", tok, q, "q", text.word_tokens(F.col("text")), limit=limit, stored=stored).top(5).orderBy("rank").collect() for x, tok, stored in ((d, text.word_tokens(F.col("text")), False), (index, F.col("terms"), True))]
+        assert got[0] == got[1] and [x.doc_id for x in got[0]] == [4, 1]
