@@ -51,11 +51,10 @@ def src4_feed_list(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_BM25}, {_RANKED} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank < 5")
 def src11_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     path, docs, tokens = _folder(spark, "index"), table(spark, sf, "documents"), text.word_tokens(F.col("text"))
-    files.save_index({"postings": retrieval.postings(docs, "doc_id", tokens), "sizes": docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean"))}, path)
-    index = files.load_index(spark, path, ["postings", "sizes"])
-    n, mean = index["sizes"].first()
-    scored = retrieval.bm25(index["postings"], n, mean or 0.0, _claims(spark, sf), "sample_id", tokens).withColumn("score", F.round("score", 9))
-    return retrieval.top(scored, 5).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    files.save_index({"documents": retrieval.document_index(docs, "doc_id", tokens)}, path)
+    index = files.load_index(spark, path, ["documents"])["documents"]
+    found = retrieval.LexicalSearch(index, "doc_id", F.col("terms"), _claims(spark, sf), "sample_id", tokens, stored=True)
+    return found.top(5).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), 'http\S+|www\.\S+', ' ', 'g'), '[\p{L}\p{N}]+'), lambda w: NOT list_contains(string_split('"""
