@@ -8,6 +8,7 @@ import pytest
 
 from factloom.operators import models, retrieval, search
 from factloom.plans import search_queries
+from factloom.plans.registry import SQL
 
 
 def _corpus(spark, path, texts, claims):
@@ -70,3 +71,24 @@ def test_phrase_of_a_long_query(spark):
     asked = spark.createDataFrame([(1, " ".join(words))], "k long, q string")
     got = {r.doc_id: r.score for r in search.fielded(docs, "doc_id", {"text": 1.0}, asked, "k", "q").collect()}
     assert got[0] == pytest.approx(got[1] + 4.0) and got[2] < got[1] and 3 not in got
+
+
+def test_pooled_hybrid_asks_every_claim(spark, tmp_path, monkeypatch):
+    """Every claim's evidence is a query, equal ones too; blocks of queries give what the SQL gives in one piece."""
+    import duckdb
+
+    monkeypatch.setattr(search_queries, "_BLOCK_TERMS", 40)
+    r = random.Random(4)
+    voc = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(r.choices(voc, k=30)), r.choice(["a", "b"]), r.choice(["x", None, ""]), datetime(2025, 12, 1 + i % 28)) for i in range(80)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, doc_type string, published_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    evidence = [" ".join(r.choices(voc, k=6)) for _ in range(25)] + [" ".join(r.choices(voc, k=230)), docs[3][1], docs[3][1], "...", "unseen", " ", None]
+    spark.createDataFrame(list(enumerate(evidence, 1)), "sample_id long, evidence string").write.parquet(f"{tmp_path}/labeled_claims.parquet")
+    got = search_queries.r9_pooled_hybrid(spark, str(tmp_path)).toPandas()
+    assert set(got["query_id"]) == set(range(1, 31)) - {29} and got["verbatim"].sum() == 5
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    for name in ("documents", "labeled_claims"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    cells = lambda df: sorted(tuple(f"{v:.5g}" if isinstance(v, float) else str(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False))
+    assert cells(got) == cells(con.sql(SQL["r9_pooled_hybrid"]).df())
