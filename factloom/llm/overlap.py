@@ -12,8 +12,8 @@ party is not. What the comparison accepts bounds the parts:
 * at most half of the words are touched, so at least a third of the two records' words is shared. Min-hashes of words,
   ``BANDS_FIGURES`` single ones or, for records without figures, ``BANDS_WORDS`` pairs of them, agree in at least one
   place with a probability of 0.98 and 0.96 at that limit, and of nearly 1 for lighter edits;
-* each record has a bitmap of its words. Bits of one record that the other lacks are words it lacks, so
-  candidates with more of them than half the words end before any text is read, and none is lost.
+* each record has bitmaps of its words, a small one and one of ``WIDE`` bits. Bits of one record that the other lacks are words
+  it lacks, so candidates with more of them than half the words end before any text is read, and none is lost.
 
 Neither keys nor texts are moved: the evaluation classes go out in blocks of bounded size, and the training classes are
 streamed past them where they lie, keys, bitmaps and comparison in one go. Evaluation sides of more than ``MAX_BLOCKS``
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -50,7 +50,9 @@ BASE = "aaaaaaaaaaaaaaaaaaaceeeeeeeeeeeeiiiiiiinoooooooooooooooooouuuuuuuuuuuuuy
 BANDS_FIGURES, BANDS_WORDS, BUCKET_ROWS = 10, 28, 5_000
 BROADCAST_CLASSES = 200_000
 # Characters of a block of evaluation classes and the number of blocks; pairs that are looked at in one step.
-BLOCK_CHARS, MAX_BLOCKS, STEP_PAIRS = 8_000_000, 256, 1_000_000
+BLOCK_CHARS, MAX_BLOCKS, STEP_PAIRS = 32_000_000, 256, 1_000_000
+# Fixed value: bits of a record's wide bitmap. A small one is nearly full of the words of some sentences and tells little.
+WIDE = 1_024
 # Fixed value: where passages and statements are joined.
 JOINTS = "\\s*\\|\\|\\||\\\\n|\\n|['\"]\\s*,\\s*['\"]|(?<=[.!?。])['\"]?\\s"
 
@@ -91,7 +93,7 @@ def representatives(rows: DataFrame) -> DataFrame:
     return rows.groupBy("field_name", "side", "cls").agg(F.max_by("record_key", F.struct(telling, capitals, "record_key")).alias("record_key"))
 
 
-_SIGNED = "side string, field_name string, cls binary, cased string, n int, buckets array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint"
+_SIGNED = "side string, field_name string, cls binary, cased string, n int, buckets array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint, wide binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +115,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = (words >> np.uint64(6)) & np.uint64(3)
         maps = [np.bitwise_or.reduceat(np.where(part == np.uint64(k), bit, np.uint64(0)), starts) for k in range(4)]
 
+        bits = np.zeros((len(batch), WIDE), bool)
+        bits[np.repeat(np.arange(len(batch)), np.diff(offsets)), (words >> np.uint64(8)) & np.uint64(WIDE - 1)] = True
+        wide = pa.Array.from_buffers(pa.binary(WIDE // 8), len(batch), [None, pa.py_buffer(np.packbits(bits, axis=1))]).cast(pa.binary())
+
         def least(k: int) -> np.ndarray:
             h = words * a[k] + b[k]
             return np.minimum.reduceat(h ^ (h >> turn), starts)
@@ -129,8 +135,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, every = np.concatenate(rows), np.concatenate(buckets).view(np.int64)
         edges = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(batch))))).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(edges), pa.array(every[np.argsort(at, kind="stable")]))
-        cols = [*(batch.column(c) for c in ("record_key", "side", "field_name", "cls", "cased", "n")), listed, *(pa.array(m.view(np.int64)) for m in maps)]
-        yield pa.RecordBatch.from_arrays(cols, names=["record_key", "side", "field_name", "cls", "cased", "n", "buckets", "m0", "m1", "m2", "m3"])
+        cols = [*(batch.column(c) for c in ("record_key", "side", "field_name", "cls", "cased", "n")), listed, *(pa.array(m.view(np.int64)) for m in maps), wide]
+        yield pa.RecordBatch.from_arrays(cols, names=["record_key", "side", "field_name", "cls", "cased", "n", "buckets", "m0", "m1", "m2", "m3", "wide"])
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -164,6 +170,7 @@ def candidates(evals: DataFrame, trains: DataFrame, bucket_rows: int = BUCKET_RO
 _WORD = re.compile(r"[^\W_]+")
 
 
+@lru_cache(100_000)
 def _base(word: str) -> str:
     out = unicodedata.normalize("NFD", word.lower().replace("đ", "d").replace("ß", "ss"))
     return "".join(c for c in out if not unicodedata.combining(c))
@@ -259,14 +266,14 @@ def _variants(name: str) -> frozenset[str]:
     return frozenset(out)
 
 
-def _stands(name: str, words: set[str], joined: str) -> bool:
+def _stands(name: str, words: set[str], joined: str, longer: Iterable[str]) -> bool:
     """Whether a name may stand among ``words``: as it is, with a slip, or joined with or parted into other words.
 
-    ``joined`` has the words with blanks between; a name has none.
+    ``joined`` has the words with blanks between; a name has none. ``longer`` are those of one letter more.
     """
     if name in joined or not _variants(name).isdisjoint(words):
         return True
-    return any(len(v) == len(name) + 1 and slip(name, v, True) for v in words)
+    return any(slip(name, v, True) for v in longer)
 
 
 def _has_parties(a: str, b: str) -> bool:
@@ -276,17 +283,20 @@ def _has_parties(a: str, b: str) -> bool:
     """
     words = _parties(b)[1]
     joined = " ".join(words)
-    return all(_stands(w, words, joined) for w in _parties(a)[0])
+    return all(_stands(w, words, joined, [v for v in words if len(v) == len(w) + 1]) for w in _parties(a)[0])
 
 
 class _Text:
     """What is looked at before two texts are compared: the words, their number, and those that name parties."""
 
-    __slots__ = ("joined", "n", "names", "text", "words")
+    __slots__ = ("by_length", "joined", "n", "names", "text", "words")
 
     def __init__(self, text: str):
         self.text, (self.names, self.words) = text, _parties(text)
         self.n, self.joined = sum(map(len, _distinct(text))), " ".join(self.words)
+        self.by_length: dict[int, list[str]] = {}
+        for word in self.words:
+            self.by_length.setdefault(len(word), []).append(word)
 
     def like(self, other: _Text) -> bool:
         """``same_statements``; at most half of the words are touched there, so no more distinct words may be missing on either side."""
@@ -295,7 +305,7 @@ class _Text:
             return False
         for one, two in ((self, other), (other, self)):
             for name in one.names:
-                if not _stands(name, two.words, two.joined):
+                if not _stands(name, two.words, two.joined, two.by_length.get(len(name) + 1, ())):
                     return False
         return same_statements(self.text, other.text)
 
@@ -343,6 +353,11 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_statements(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def _wide(column: pa.Array) -> np.ndarray:
+    """(rows, words of 64 bits) of the wide bitmaps."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), WIDE // 64)
+
+
 def _streamed(shared) -> Callable:
     """The function that streams training classes past a block of evaluation classes."""
 
@@ -351,6 +366,8 @@ def _streamed(shared) -> Callable:
         cased, field, cls, own, size = (table.column(c).combine_chunks() for c in ("cased", "field_name", "cls", "cid", "n"))
         field, own, size = (np.asarray(x) for x in (field, own, size))
         maps = np.stack([np.asarray(table.column(f"m{k}")).view(np.uint64) for k in range(4)])
+        wide = _wide(table.column("wide").combine_chunks())
+        held = np.bitwise_count(wide).sum(1, dtype=np.int64)
         known: dict[int, _Text] = {}
         for batch in batches:
             lists = batch.column("buckets")
@@ -362,6 +379,8 @@ def _streamed(shared) -> Callable:
             bucket_at = np.flatnonzero(many)
             fields, cids, sizes = (np.asarray(batch.column(c)) for c in ("field_name", "cid", "n"))
             bits = np.stack([batch.column(f"m{k}").to_numpy().view(np.uint64) for k in range(4)])
+            more_bits = _wide(batch.column("wide"))
+            more_held = np.bitwise_count(more_bits).sum(1, dtype=np.int64)
             pairs = [np.zeros(0, np.int64)]
             for lo, hi in document_blocks(many[bucket_at], len(bucket_at), STEP_PAIRS):
                 at = bucket_at[lo:hi]
@@ -375,7 +394,13 @@ def _streamed(shared) -> Callable:
                     less += np.bitwise_count(y & ~x)
                 keep = np.flatnonzero((2 * np.maximum(more, less) <= np.maximum(size[e], sizes[t])) & (own[e] != cids[t]))
                 keep = keep[field[e[keep]] == fields[t[keep]]]
-                pairs.append(np.unique(t[keep] * len(own) + e[keep]))
+                t, e = np.divmod(np.unique(t[keep] * len(own) + e[keep]), max(1, len(own)))
+                common = np.zeros(len(t), np.int64)
+                for k in range(WIDE // 64):
+                    common += np.bitwise_count(wide[e, k] & more_bits[t, k])
+                missing = np.maximum(held[e], more_held[t]) - common
+                fit = 2 * missing <= np.maximum(size[e], sizes[t])
+                pairs.append(t[fit] * len(own) + e[fit])
             last, text, found = -1, None, []
             for t, e in zip(*np.divmod(np.unique(np.concatenate(pairs)), max(1, len(own))), strict=True):
                 if t != last:
@@ -395,12 +420,12 @@ def near_streamed(evals: DataFrame, trains: DataFrame, n_blocks: int) -> DataFra
     """(field_name, ec, tc): near copies, the evaluation classes broadcast block by block and the training classes streamed past each."""
     out = None
     for i in range(n_blocks):
-        table = evals.where(F.pmod("cid", F.lit(n_blocks)) == i).select("field_name", "cls", "cid", "cased", "n", "buckets", *[f"m{k}" for k in range(4)]).toArrow()
+        table = evals.where(F.pmod("cid", F.lit(n_blocks)) == i).select("field_name", "cls", "cid", "cased", "n", "buckets", *[f"m{k}" for k in range(4)], "wide").toArrow()
         lists = table.column("buckets").combine_chunks()
         every, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
         order = np.argsort(every, kind="stable")
         shared = evals.sparkSession.sparkContext.broadcast((table.drop_columns("buckets"), every[order], row[order]))
-        one = materialize(trains.select("field_name", "cls", "cid", "cased", "n", "buckets", *[f"m{k}" for k in range(4)]).mapInArrow(_streamed(shared), "field_name string, ec binary, tc binary"), "near")
+        one = materialize(trains.select("field_name", "cls", "cid", "cased", "n", "buckets", *[f"m{k}" for k in range(4)], "wide").mapInArrow(_streamed(shared), "field_name string, ec binary, tc binary"), "near")
         shared.destroy()
         out = one if out is None else out.unionByName(one)
     return out.distinct()
@@ -433,8 +458,11 @@ def class_overlaps(claims: DataFrame, key: str, split: str, fields: list[str], t
         classes = rows.join(F.broadcast(others), same, "left_anti") if few else materialize(rows.join(chosen, same, "left_semi"), "classes")
     classes = classes.withColumn("cid", F.xxhash64("field_name", "cls"))
     of = lambda side: classes.where(F.col("side") == side)
-    chars = rows.where("side = 'e'").select(F.sum(F.length("cased") + 200).alias("n")).first()["n"] or 0
+    # the classes' own size: of copies, one is compared
+    chars = rows.where("side = 'e'").groupBy("field_name", "cls").agg(F.max(F.length("cased") + 200).alias("n")).agg(F.sum("n").alias("n")).first()["n"] or 0
     n_blocks = -(-chars // BLOCK_CHARS)
+    if n_blocks > 1 and 2 * chosen.count() < rows.count():  # every pass would read the copies too
+        classes = materialize(classes, "compared")
     near = near_streamed(of("e"), of("t"), max(1, n_blocks)) if n_blocks <= MAX_BLOCKS else near_joined(of("e"), of("t"))
     sides = [chosen.where(F.col("side") == s).select("field_name", F.col("cls").alias("ec")) for s in "et"]
     equal = sides[0].join(sides[1], ["field_name", "ec"]).distinct().withColumn("tc", F.col("ec"))

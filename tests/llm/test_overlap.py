@@ -1,6 +1,10 @@
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import overlap as O
 
@@ -113,3 +117,25 @@ def test_moves_neither_keys_nor_texts(spark, monkeypatch):
     assert got() == whole and "candidates" in names
     assert all(O._has_parties(x, y) for x, y in [("On Zanvanta so it", "on zanvnata"), ("On Zanvanta so it", "on zanvantas"), ("On Zanvanta so it", "zan vanta"), ("On Zanvanta so it", "xzanvantax")])
     assert not any(O._has_parties(x, y) for x, y in [("On Zanvanta so it", "on zanvinta"), ("On Zed so it", "on zd")])
+
+
+def test_copies_need_no_more_passes_and_few_texts_are_looked_at(spark, monkeypatch):
+    """Evaluation classes go out by their own size, not by that of their copies; chance candidates end at the bitmaps before any text is read."""
+    r = random.Random(11)
+    voc = ["".join(r.choice("bdghklmnrstv") + r.choice("aeiou") for _ in range(3)) for _ in range(200)]
+    texts = ["The " + " ".join(r.choice(voc) for _ in range(60)) for _ in range(400)]
+    rows = [(10_000 * c + i, "train", t) for c in range(3) for i, t in enumerate(texts)] + [(10_000 * c + 1_000 + i, "test", t + " so") for c in range(3) for i, t in enumerate(texts[:100])]
+    df = spark.createDataFrame(rows, "id bigint, split string, text string")
+    monkeypatch.setattr(O, "BLOCK_CHARS", 90_000)  # the 100 classes have about 60,000 characters, their copies three times as many
+    names, looked = [], []
+    monkeypatch.setattr(O, "materialize", lambda one, name, own=O.materialize: (names.append(name), own(one, name))[1])
+    got = {(x.eval_key, x.train_key) for x in O.overlaps(df, "id", "split", ["text"]).collect()}
+    assert {(10_000 * c + 1_000 + i, 10_000 * d + i) for c in range(3) for d in range(3) for i in range(100)} <= got and names.count("near") == 1
+    table = O.signed(O.records(df.where("id < 10000"), "id", "split", "text", "train", ["test"])).withColumn("cid", F.xxhash64("cls")).toArrow()
+    side = {s: table.filter(pc.equal(table.column("side"), s)).combine_chunks() for s in "et"}
+    lists = side["e"].column("buckets").combine_chunks()
+    every, row = lists.flatten().to_numpy(), np.repeat(np.arange(100), np.diff(lists.offsets.to_numpy()))
+    order = np.argsort(every, kind="stable")
+    monkeypatch.setattr(O._Text, "like", lambda self, other, own=O._Text.like: (looked.append(1), own(self, other))[1])
+    found = sum(len(b) for b in O._streamed(SimpleNamespace(value=(side["e"].drop_columns("buckets"), every[order], row[order])))(iter(side["t"].to_batches())))
+    assert found == 100 and len(looked) < 1_500
