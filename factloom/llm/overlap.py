@@ -26,6 +26,7 @@ than the evaluation splits and train are left out.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
@@ -36,13 +37,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.charform import form_column
+from factloom.llm.charform import ASCII_BLANKS, PLAIN, visual_form
 from factloom.operators.retrieval import document_blocks
-from factloom.storage import count_at_most, materialize
+from factloom.storage import compact, count_at_most, materialize
 
 # Accented small letters of Vietnamese and Western European text, and their base letters.
 ACCENTED = "àáâãäåăạảấầẩẫậắằẳẵặçèéêëẹẻẽếềểễệìíîïĩỉịñòóôõöơọỏốồổỗộớờởỡợùúûüũưụủứừửữựýÿỳỵỷỹđß"
@@ -54,33 +55,52 @@ BLOCK_CHARS, MAX_BLOCKS, STEP_PAIRS = 32_000_000, 256, 1_000_000
 # Fixed value: bits of a record's wide bitmap. A small one is nearly full of the words of some sentences and tells little.
 WIDE = 1_024
 # Fixed value: where passages and statements are joined.
-JOINTS = "\\s*\\|\\|\\||\\\\n|\\n|['\"]\\s*,\\s*['\"]|(?<=[.!?。])['\"]?\\s"
+JOINTS = re.compile(r"""\s*\|\|\||\\n|\n|['"]\s*,\s*['"]|(?<=[.!?。])['"]?\s""", re.ASCII)
+_STATES = re.compile(r"[^\W_]")
+_DIRTY = re.compile(f"[^{PLAIN}\U0001f300-\U0001faff]")
+_BLANKS, _BLANK_RUNS = re.compile(f"[{ASCII_BLANKS}]+"), re.compile(f"  |[{ASCII_BLANKS[1:]}]")
+# Characters that are worked on in one step; what a character without a small letter or figure of its own is.
+STEP_CHARS, BREAK, DROP = 500_000, 10, 1
 
 
-def statements(text: Column) -> Column:
-    """The statements of a field as an array, cut at joins of passages and ends of sentences."""
-    form = form_column(text, keep_lines=True)
-    return F.filter(F.split(form, JOINTS), lambda s: s.rlike("[\\p{L}\\p{N}]"))
+def statements(text: str) -> list[str]:
+    """The statements of a field's visual form, cut at joins of passages and ends of sentences."""
+    if not text.isascii() and _DIRTY.search(text):
+        text = visual_form(text, keep_lines=True)
+    if _BLANK_RUNS.search(text):
+        text = _BLANKS.sub(" ", text)
+    return [s for s in JOINTS.split(text) if _STATES.search(s)]
 
 
-def canonical(text: Column) -> Column:
-    """Small base letters and figures, one space between words."""
-    low = F.translate(F.lower(text), ACCENTED, BASE)
-    return F.trim(F.regexp_replace(F.regexp_replace(low, "\\p{M}+", ""), "[^\\p{L}\\p{N}]+", " "))
+class _Letters:
+    """What each character is in the canonical form: a small base letter or a figure, 0 between words, ``DROP`` for marks."""
 
+    def __init__(self):
+        self.known, self.upper, self.figure = (np.zeros(0x110000, bool) for _ in range(3))
+        self.canon = np.zeros(0x110000, np.uint32)
+        self.base = dict(zip(ACCENTED, BASE, strict=True)) | {"ς": "σ"}
 
-def records(claims: DataFrame, key: str, split: str, field: str, train: str, evals: list[str]) -> DataFrame:
-    """(record_key, side, field_name, cls, cased, canon): a row per record whose key and field are not null.
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        seen = np.zeros(0x110000, bool)
+        seen[points] = True
+        for point in np.flatnonzero(seen & ~self.known):
+            c = chr(point)
+            low = [self.base.get(x, x) for x in c.lower()]
+            low = [x for x in low if not unicodedata.category(x).startswith("M")]
+            letter = bool(low) and unicodedata.category(low[0])[0] in "LN"
+            self.canon[point] = BREAK if c == "\n" else DROP if not low else ord(low[0]) if letter else 0
+            self.upper[point], self.figure[point] = unicodedata.category(c) == "Lu", letter and unicodedata.category(low[0]) == "Nd"
+            self.known[point] = True
+        return self.canon[points]
 
-    ``canon`` holds the distinct statements. It is empty for a field that states nothing; ``signed`` leaves such rows out, as a
-    filter here would be pushed below the statements and compute them twice.
-    """
-    own = claims.where(F.col(split).isin(train, *evals) & F.col(field).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("record_key"), F.when(F.col(split) == train, "t").otherwise("e").alias("side"), statements(F.col(field)).alias("s")
-    )
-    canon = F.array_distinct(F.filter(F.transform("s", canonical), lambda x: x != ""))
-    own = own.select("record_key", "side", F.lit(field).alias("field_name"), F.array_join("s", "\n").alias("cased"), canon.alias("canon"))
-    return own.withColumn("cls", F.unhex(F.md5(F.array_join(F.array_sort("canon"), "\n"))))
+
+_letters = lru_cache(1)(_Letters)
+
+
+def records(claims: DataFrame, key: str, split: str, field: str, train: str, evals: list[str]) -> DataFrame:
+    """(record_key, side, field_name, text): a row per record whose key and field are not null."""
+    own = claims.where(F.col(split).isin(train, *evals) & F.col(field).isNotNull() & F.col(key).isNotNull())
+    return own.select(F.col(key).alias("record_key"), F.when(F.col(split) == train, "t").otherwise("e").alias("side"), F.lit(field).alias("field_name"), F.col(field).cast("string").alias("text"))
 
 
 def representatives(rows: DataFrame) -> DataFrame:
@@ -88,12 +108,83 @@ def representatives(rows: DataFrame) -> DataFrame:
 
     No text is shuffled for it. An all-capital or all-small copy stands for its class only if there is no other.
     """
-    capitals = F.regexp_count("cased", F.lit("[ \\n]\\p{Lu}"))
-    telling = (capitals > 0) & (2 * capitals <= F.regexp_count("cased", F.lit("[ \\n]")))
-    return rows.groupBy("field_name", "side", "cls").agg(F.max_by("record_key", F.struct(telling, capitals, "record_key")).alias("record_key"))
+    return rows.groupBy("field_name", "side", "cls").agg(F.max_by("record_key", F.struct("telling", "capitals", "record_key")).alias("record_key"))
+
+
+_SIGNED = (
+    "side string, field_name string, cls binary, cased string, n int, capitals int, telling boolean, buckets array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint, wide binary"
+)
+
+
+def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
+    x = (x + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
 
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-_SIGNED = "side string, field_name string, cls binary, cased string, n int, buckets array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint, wide binary"
+
+def _read(cased: list[str]) -> tuple[np.ndarray, ...]:
+    """Of texts (statements on lines): each one's class in two numbers, its number of words, capitals and whether they tell names
+    apart, its figures in one number and whether it has none, and the distinct words (text, hash), text by text.
+
+    Repeated statements of a text count once. The class leaves the order of statements aside, the figures' number that of digits.
+    """
+    n_texts, one = len(cased), np.uint64(1)
+    letters = _letters()
+    points = np.frombuffer("\n".join(cased).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, cased), np.int64, n_texts) + 1)
+    starts = ends - np.diff(ends, prepend=0)
+    canon = letters(points)
+    blank = (points == 32) | (points == 10)
+    after = np.zeros(len(points), bool)
+    after[1:] = blank[:-1] & letters.upper[points[1:]]
+    after[starts] = False
+    count = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[np.concatenate(([0], np.minimum(ends, len(points))))])
+    blank[ends[:-1] - 1] = False
+    capitals, blanks = count(after), count(blank)
+    # words: marks go first, they part nothing
+    at = np.flatnonzero(canon != DROP)
+    canon, figure = canon[at], letters.figure[points[at]]
+    inside = canon > BREAK
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    chars = np.flatnonzero(inside)
+    begins = np.flatnonzero(first[chars])
+    word_of = np.cumsum(first[chars]) - 1
+    place = np.arange(len(chars)) - begins[word_of]
+    code = _mixed(canon[chars].astype(np.uint64), 1) * _powers(int(place.max()) + 1, 0xD6E8FEB86659FD93)[place]
+    words = _mixed(np.add.reduceat(code, begins), 2)
+    line = np.cumsum(canon == BREAK)[chars[begins]]
+    text = np.searchsorted(ends, at[chars[begins]], "right")
+    # statements, each of a text once
+    opening = np.flatnonzero(np.diff(line, prepend=-1))
+    of = np.cumsum(np.diff(line, prepend=-1) != 0) - 1
+    nth = np.arange(len(words)) - opening[of]
+    power = _powers(int(nth.max()) + 1, 0xA0761D6478BD642F)[nth]
+    sums = [_mixed(np.add.reduceat(_mixed(words, k) * power, opening), k) for k in (3, 4)]
+    order = np.lexsort((sums[1], sums[0], text[opening]))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (text[opening][order[1:]] == text[opening][order[:-1]]) & (sums[0][order[1:]] == sums[0][order[:-1]]) & (sums[1][order[1:]] == sums[1][order[:-1]])
+    cls = np.zeros((n_texts, 2), np.uint64)
+    for k in range(2):
+        np.add.at(cls[:, k], text[opening][~again], sums[k][~again])
+    counted = ~again[of]
+    n = np.bincount(text[counted], minlength=n_texts)
+    digit = np.flatnonzero(figure[chars] & counted[word_of])
+    figures = np.zeros(n_texts, np.uint64)
+    np.add.at(figures, text[word_of[digit]], _mixed(canon[chars[digit]].astype(np.uint64), 5))
+    plain = np.bincount(text[word_of[digit]], minlength=n_texts) == 0
+    text, words = text[counted], words[counted]
+    order = np.lexsort((words, text))
+    text, words = text[order], words[order]
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (words[1:] != words[:-1])
+    return cls, n, capitals, (capitals > 0) & (2 * capitals <= blanks), _mixed(figures, 6) | one, plain, text[fresh], words[fresh]
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,51 +192,59 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n_hash = max(BANDS_FIGURES, 2 * BANDS_WORDS)
     a, b = rand.integers(1, 1 << 62, n_hash, dtype=np.uint64) | np.uint64(1), rand.integers(1, 1 << 62, n_hash, dtype=np.uint64)
     mix, turn = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
-    for batch in batches:
-        batch = batch.filter(pc.greater(batch.column("n"), 0))
-        if len(batch) == 0:
-            continue
-        figures, plain = batch.column("figures").to_numpy().view(np.uint64), batch.column("plain").to_numpy(zero_copy_only=False)
-        lists = batch.column("w")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        words = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
-        offsets -= offsets[0]
-        starts = offsets[:-1]
+    for whole, cased in _steps(batches):
+        names = whole.column("field_name").to_pylist()
+        field = np.array([int.from_bytes(hashlib.md5(f.encode()).digest()[:8], "little") for f in dict.fromkeys(names)], np.uint64)
+        which = {f: i for i, f in enumerate(dict.fromkeys(names))}
+        cls, n, capitals, telling, figures, plain, text, words = _read(cased)
+        figures = _mixed(figures ^ field[[which[f] for f in names]], 7)
+        starts = np.searchsorted(text, np.arange(len(whole)))
         bit = np.uint64(1) << (words & np.uint64(63))
         part = (words >> np.uint64(6)) & np.uint64(3)
         maps = [np.bitwise_or.reduceat(np.where(part == np.uint64(k), bit, np.uint64(0)), starts) for k in range(4)]
+        bits = np.zeros((len(whole), WIDE), bool)
+        bits[text, (words >> np.uint64(8)) & np.uint64(WIDE - 1)] = True
+        binary = lambda x: pa.Array.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
 
-        bits = np.zeros((len(batch), WIDE), bool)
-        bits[np.repeat(np.arange(len(batch)), np.diff(offsets)), (words >> np.uint64(8)) & np.uint64(WIDE - 1)] = True
-        wide = pa.Array.from_buffers(pa.binary(WIDE // 8), len(batch), [None, pa.py_buffer(np.packbits(bits, axis=1))]).cast(pa.binary())
-
-        def least(k: int) -> np.ndarray:
-            h = words * a[k] + b[k]
+        def least(k: int, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            h = at * a[k] + b[k]
             return np.minimum.reduceat(h ^ (h >> turn), starts)
 
         buckets, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        with_figures, without = np.flatnonzero(~plain), np.flatnonzero(plain)
-        for band in range(BANDS_FIGURES if len(with_figures) else 0):
-            buckets.append((least(band)[with_figures] ^ (figures[with_figures] + np.uint64(band))) * mix)
-            rows.append(with_figures)
-        for band in range(BANDS_WORDS if len(without) else 0):
-            pair = (least(2 * band)[without] * mix) ^ least(2 * band + 1)[without]
-            buckets.append((pair ^ (figures[without] + np.uint64(band))) * mix)
-            rows.append(without)
+        for rows_of, bands in ((np.flatnonzero(~plain), BANDS_FIGURES), (np.flatnonzero(plain), BANDS_WORDS)):
+            if len(rows_of) == 0:
+                continue
+            own = np.zeros(len(whole), bool)
+            own[rows_of] = True
+            some = words[own[text]]
+            begin = np.searchsorted(text[own[text]], rows_of)
+            for band in range(bands):
+                key = least(band, some, begin) if bands == BANDS_FIGURES else (least(2 * band, some, begin) * mix) ^ least(2 * band + 1, some, begin)
+                buckets.append((key ^ (figures[rows_of] + np.uint64(band))) * mix)
+                rows.append(rows_of)
         at, every = np.concatenate(rows), np.concatenate(buckets).view(np.int64)
-        edges = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(batch))))).astype(np.int32)
+        edges = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(whole))))).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(edges), pa.array(every[np.argsort(at, kind="stable")]))
-        cols = [*(batch.column(c) for c in ("record_key", "side", "field_name", "cls", "cased", "n")), listed, *(pa.array(m.view(np.int64)) for m in maps), wide]
-        yield pa.RecordBatch.from_arrays(cols, names=["record_key", "side", "field_name", "cls", "cased", "n", "buckets", "m0", "m1", "m2", "m3", "wide"])
+        cols = [*(whole.column(c) for c in ("record_key", "side", "field_name")), binary(cls), pa.array(cased), pa.array(n, pa.int32()), pa.array(capitals, pa.int32()), pa.array(telling), listed]
+        cols += [*(pa.array(m.view(np.int64)) for m in maps), binary(np.packbits(bits, axis=1))]
+        yield pa.RecordBatch.from_arrays(cols, names=["record_key", "side", "field_name", "cls", "cased", "n", "capitals", "telling", "buckets", "m0", "m1", "m2", "m3", "wide"])
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The rows that state something with their statements on lines, about ``STEP_CHARS`` at a time."""
+    for batch in batches:
+        cased = ["\n".join(statements(t)) for t in batch.column("text").to_pylist()]
+        keep = [i for i, t in enumerate(cased) if t]
+        for lo, hi in document_blocks(np.array([len(cased[i]) for i in keep], np.int64), len(keep), STEP_CHARS):
+            yield batch.take(pa.array(keep[lo:hi])), [cased[i] for i in keep[lo:hi]]
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """``rows`` of ``records`` that state something, with the number of words, min-hash keys and bitmap of the words in place of ``canon``."""
-    words = rows.select("*", F.flatten(F.transform("canon", lambda s: F.split(s, " "))).alias("all"))
-    digits = F.array_join(F.array_sort(F.split(F.regexp_replace(F.array_join("canon", ""), "[^\\p{Nd}]+", ""), "")), "")
-    words = words.select("record_key", "side", "field_name", "cls", "cased", F.size("all").alias("n"), F.array_distinct(F.transform("all", lambda w: F.xxhash64(w))).alias("w"), digits.alias("digits"))
-    ready = words.select("record_key", "side", "field_name", "cls", "cased", "n", F.xxhash64("field_name", "digits").alias("figures"), (F.col("digits") == "").alias("plain"), "w")
-    return ready.mapInArrow(_signed, f"record_key {rows.schema['record_key'].dataType.simpleString()}, {_SIGNED}")
+    """``rows`` of ``records`` that state something: their class, statements on lines, number of words, capitals, min-hash keys and bitmaps of the words.
+
+    Records with the same distinct statements in canonical form (small base letters and figures, one space between words) are one class.
+    """
+    return rows.mapInArrow(_signed, f"record_key {rows.schema['record_key'].dataType.simpleString()}, {_SIGNED}")
 
 
 def keys(classes: DataFrame) -> DataFrame:
@@ -447,7 +546,7 @@ def class_overlaps(claims: DataFrame, key: str, split: str, fields: list[str], t
     for field in fields:
         one = records(claims, key, split, field, train, list(evals))
         rows = one if rows is None else rows.unionByName(one)
-    rows = materialize(signed(rows), "records")
+    rows = compact(signed(rows), "records")
     chosen = materialize(representatives(rows), "representatives")
     same = ["field_name", "side", "cls", "record_key"]
     if count_at_most(chosen, BROADCAST_CLASSES) <= BROADCAST_CLASSES:

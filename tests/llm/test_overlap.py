@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 from types import SimpleNamespace
 
 import numpy as np
@@ -139,3 +141,23 @@ def test_copies_need_no_more_passes_and_few_texts_are_looked_at(spark, monkeypat
     monkeypatch.setattr(O._Text, "like", lambda self, other, own=O._Text.like: (looked.append(1), own(self, other))[1])
     found = sum(len(b) for b in O._streamed(SimpleNamespace(value=(side["e"].drop_columns("buckets"), every[order], row[order])))(iter(side["t"].to_batches())))
     assert found == 100 and len(looked) < 1_500
+
+
+def test_reading_of_many_texts_at_once():
+    """Classes, words, figures and capitals of a step of texts are those of each text alone, worked out statement by statement."""
+    r = random.Random(8)
+    pool = ["The Cat sat", "the cät SAT", "x 4.5 %", "X 4,5", "Đường İx", "duong ix", "á _ b", "中文 12", "«»q", "B Ca", "b ca", "ñ"]
+    texts = ["\n".join(r.choices(pool, k=r.randint(1, 5))) for _ in range(300)]
+
+    def canonical(s):
+        low = "".join(c for c in unicodedata.normalize("NFD", s.lower().replace("đ", "d")) if not unicodedata.combining(c))
+        return " ".join(re.findall(r"[^\W_]+", low))
+
+    cls, n, capitals, telling, figures, plain, text, words = O._read(texts)
+    want = [{canonical(s) for s in t.split("\n")} for t in texts]
+    for key, of in ((lambda i: tuple(cls[i]), lambda i: frozenset(want[i])), (lambda i: figures[i], lambda i: "".join(sorted(c for c in "".join(want[i]) if c.isdecimal())))):
+        seen, back = {}, {}
+        assert all(seen.setdefault(key(i), of(i)) == of(i) and back.setdefault(of(i), key(i)) == key(i) for i in range(300))
+    assert n.tolist() == [sum(len(s.split()) for s in w) for w in want] and np.bincount(text).tolist() == [len(set(" ".join(w).split())) for w in want]
+    assert capitals.tolist() == [len(re.findall(r"[ \n][A-ZĐ]", t)) for t in texts] and plain.tolist() == [not any(c.isdecimal() for c in t) for t in texts]
+    assert telling.tolist() == [c > 0 and 2 * c <= t.count(" ") + t.count("\n") for c, t in zip(capitals.tolist(), texts, strict=True)]
